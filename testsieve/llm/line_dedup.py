@@ -12,7 +12,7 @@ only where a partner can be: two lines within one edit share the words before or
 Linked lines are verified by the lengths of their common first and last words before they go.
 
 Memory: minima are pre-aggregated before each shuffle and groups are never gathered, so a line, half or key that a third of
-all rows share costs a task one row for it. Texts are moved once, by doc_id, and that exchange is used twice.
+all rows share costs a task one row for it. Texts are moved twice, by doc_id; what one step has moved is released before the next.
 
 Defined cases: null text stays null; empty text stays; rows with equal doc_id and text are one document, and each gets its
 result; null doc_id comes after all others; other columns are kept as they are."""
@@ -87,11 +87,16 @@ def _near(distinct: DataFrame, moved: DataFrame) -> DataFrame:
     """(h1, h2) of the distinct lines that have an earlier line within the edit bound.
 
     distinct: (h1, h2, first, n, halves); moved: the documents, dealt by doc_id."""
+    # a line has a key once, so a key that occurs twice is shared; line and kind travel as one number, the line's lowest bits
+    # being rebuilt by the join (lines that differ in these alone only keep more than they need)
     halves = distinct.select("h1", F.posexplode("halves").alias("kind", "key")).where("key is not null")
-    shared = halves.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
-    kinds = halves.join(shared, "key", "left_semi").groupBy("h1").agg(*[F.max(F.col("kind") == k).alias(f"k{k}") for k in range(4)])
-    wanted = distinct.join(kinds, "h1").groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.uid").alias("uid"))
-    wanted = wanted.agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "h1", "h2", "n", "k0", "k1", "k2", "k3", "first")).alias("ls"))
+    halves = halves.select("key", F.shiftleft(F.shiftright("h1", 2), 2).bitwiseOR(F.col("kind").cast("bigint")).alias("who"))
+    shared = halves.groupBy("key").count().where("count > 1").select("key")
+    kinds = halves.join(shared, "key", "left_semi").groupBy(F.shiftright("who", 2).alias("line_no"))
+    kinds = kinds.agg(*[F.max(F.col("who").bitwiseAND(F.lit(3)) == k).alias(f"k{k}") for k in range(4)])
+    lines = distinct.select("h1", "h2", "first", "n").join(kinds, F.shiftright("h1", 2) == F.col("line_no"))
+    wanted = lines.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.uid").alias("uid"))
+    wanted = cut(wanted.agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "h1", "h2", "n", "k0", "k1", "k2", "k3", "first")).alias("ls")), "wanted")
     texts = moved.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), F.split("text", "\n").alias("lines"))
     met = texts.join(wanted.withColumnRenamed("doc_id", "_d").withColumnRenamed("uid", "_u"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("uid") == F.col("_u")))
     lines = met.select("lines", F.explode("ls").alias("l")).select(F.element_at("lines", F.col("l.pos") + 1).alias("line"), "l.*")
