@@ -8,8 +8,8 @@ FILTER_MOST features, then the next one is chained. Likeness compares each filte
 the longer one: the bits that both have, less what two filters of these weights share by chance, divided by the most that they
 could share; averaged, 0 to 1.
 
-Texts under WINDOW + RUN bytes have all their windows as features, a text under WINDOW bytes is one window. Equal texts give
-equal digests. Null and empty texts have the empty digest; it is like itself (1), and unlike any other (0).
+Short texts have few windows that stand out, so texts under SHORT bytes have runs of SMALL bytes as features too. Equal texts
+give equal digests. Null and empty texts have the empty digest; it is like itself (1), and unlike any other (0).
 
 op2: documents are dealt into runs of neighbouring doc_id by quantiles of the ids; the first row of each run also goes to the
 run before, so each text is moved once (compressed) and the next one is at hand. Ties of doc_id are ordered by the text's hash;
@@ -27,9 +27,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import POWERS, mix, with_batch_rows
+from .common import POWERS, gather, mix, with_batch_rows
 
-WINDOW, RUN, POINTS = 64, 64, 16
+WINDOW, RUN, POINTS = 64, 64, 6
+#: Texts under SHORT bytes have features of SMALL bytes too: every one under WINDOW + RUN - 1 bytes, else a quarter of them.
+SHORT, SMALL = 512, 8
 FILTER_BITS, FILTER_MOST, HASHES = 2048, 160, 5
 #: Documents of a run of neighbours at least, and runs at most (the driver holds a bound and an id of each; longer runs are
 #: streamed, so their length costs no memory).
@@ -82,15 +84,21 @@ def window_entropy(data: np.ndarray) -> np.ndarray:
 
 
 def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the features of all rows, by place. Rows under WINDOW bytes are one window."""
+    """(row, hash) of the features of all rows, by place."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     up, down = POWERS.get(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     lens = np.diff(offsets)
-    short = np.flatnonzero((lens > 0) & (lens < WINDOW))
-    starts, ends = [offsets[short]], [offsets[short] + lens[short]]
+    short = np.flatnonzero((lens > 0) & (lens < SHORT))
+    small = np.minimum(SMALL, lens[short])
+    n = lens[short] - small + 1
+    starts = [gather(offsets[short], n)]
+    ends = [starts[0] + np.repeat(small, n)]
+    thin = np.repeat(lens[short] >= WINDOW + RUN - 1, n)
+    thin &= (mix((sums[ends[0]] - sums[starts[0]]) * down[starts[0]]) & np.uint64(3)) != 0
+    starts[0], ends[0] = starts[0][~thin], ends[0][~thin]
     if len(data) >= WINDOW:
         index = window_entropy(data) >> 34
         rank = _RANK[np.minimum(index, len(_RANK) - 1)].astype(np.uint64)
@@ -107,12 +115,10 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         place, points = np.unique(best, return_counts=True) if len(best) else (best, best)
         place = place[(points >= POINTS)].astype(np.int64)
         place = place[rank[place] < 1000]
-        few = np.flatnonzero((lens >= WINDOW) & (lens < WINDOW + RUN - 1))
-        all_of = [np.arange(offsets[r], offsets[r + 1] - WINDOW + 1) for r in few]
         # a row in which no window stands out, such as one repeated character, still has its first window
         got = np.bincount(np.searchsorted(offsets, place, side="right") - 1, minlength=len(lens))
         bare = np.flatnonzero((lens >= WINDOW + RUN - 1) & (got == 0))
-        place = np.concatenate([place, offsets[bare], *all_of])
+        place = np.concatenate([place, offsets[bare]])
         starts.append(place)
         ends.append(place + WINDOW)
     starts, ends = np.concatenate(starts), np.concatenate(ends)

@@ -8,14 +8,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from .bpe import op3_bpe
+from .chat import op1_chat_format
 from .decontam import op5_decontam
+from .digest import op2_rare_digest
 from .langid import op6_lang_id
+from .licenses import op4_license_scan
 from .line_dedup import op7_line_dedup
+from .secrets import op8_secret_scan
 from .simhash import op10_simhash_neardup
 
 
 def queries() -> dict[str, Callable]:
-    found = [op3_bpe, op5_decontam, op6_lang_id, op7_line_dedup, op10_simhash_neardup]
+    found = [op1_chat_format, op2_rare_digest, op3_bpe, op4_license_scan, op5_decontam, op6_lang_id, op7_line_dedup, op8_secret_scan, op10_simhash_neardup]
     return {f.__name__: f for f in found}
 
 
