@@ -16,10 +16,11 @@ from .licenses import op4_license_scan
 from .line_dedup import op7_line_dedup
 from .secrets import op8_secret_scan
 from .simhash import op10_simhash_neardup
+from .toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable]:
-    found = [op1_chat_format, op2_rare_digest, op3_bpe, op4_license_scan, op5_decontam, op6_lang_id, op7_line_dedup, op8_secret_scan, op10_simhash_neardup]
+    found = [op1_chat_format, op2_rare_digest, op3_bpe, op4_license_scan, op5_decontam, op6_lang_id, op7_line_dedup, op8_secret_scan, op9_toxicity, op10_simhash_neardup]
     return {f.__name__: f for f in found}
 
 
