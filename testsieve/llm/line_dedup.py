@@ -42,7 +42,7 @@ def _last(line: Column, n: Column) -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, uid, pos, line, h1, h2) of all lines that aren't blank."""
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.where(F.trim(F.translate("line", "\t\r\x0b\x0c", "    ")) != "")
+    rows = rows.where(F.ltrim("line", F.lit(" \t\r\x0b\x0c")) != "")
     return rows.select("doc_id", "uid", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
@@ -83,10 +83,10 @@ def _within_one_edit(a: Column, b: Column) -> Column:
     return same >= longer - EDITS
 
 
-def _near(distinct: DataFrame, moved: DataFrame) -> DataFrame:
+def _near(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     """(h1, h2) of the distinct lines that have an earlier line within the edit bound.
 
-    distinct: (h1, h2, first, n, halves); moved: the documents, dealt by doc_id."""
+    distinct: (h1, h2, first, n, halves)."""
     # a line has a key once, so a key that occurs twice is shared; line and kind travel as one number, the line's lowest bits
     # being rebuilt by the join (lines that differ in these alone only keep more than they need)
     halves = distinct.select("h1", F.posexplode("halves").alias("kind", "key")).where("key is not null")
@@ -97,7 +97,7 @@ def _near(distinct: DataFrame, moved: DataFrame) -> DataFrame:
     lines = distinct.select("h1", "h2", "first", "n").join(kinds, F.shiftright("h1", 2) == F.col("line_no"))
     wanted = lines.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.uid").alias("uid"))
     wanted = cut(wanted.agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "h1", "h2", "n", "k0", "k1", "k2", "k3", "first")).alias("ls")), "wanted")
-    texts = moved.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), F.split("text", "\n").alias("lines"))
+    texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), F.split("text", "\n").alias("lines"))
     met = texts.join(wanted.withColumnRenamed("doc_id", "_d").withColumnRenamed("uid", "_u"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("uid") == F.col("_u")))
     lines = met.select("lines", F.explode("ls").alias("l")).select(F.element_at("lines", F.col("l.pos") + 1).alias("line"), "l.*")
     lines = cut(lines.select("line", "h1", "h2", "first", F.col("n").cast("bigint").alias("n"), "k0", "k1", "k2", "k3"), "lines")
@@ -118,18 +118,17 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     told = F.struct(_ord("doc_id", "pos").alias("first"), "n", F.array(*_halves(F.col("line"), F.col("n"))).alias("halves"))
     distinct = found.select("h1", "h2", told.alias("told")).groupBy("h1", "h2").agg(F.min("told").alias("told"), F.count(F.lit(1)).alias("times"))
     distinct = cut(distinct.select("h1", "h2", "told.*", "times"), "distinct")
-    moved = docs.repartition("doc_id")
-    near = cut(_near(distinct, moved), "near")
+    near = cut(_near(distinct, docs), "near")
     marked = distinct.select("h1", "h2", "first", "times").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
     once = marked.where("near and times = 1").select(F.col("first.doc_id").alias("doc_id"), F.col("first.uid").alias("uid"), F.col("first.pos").alias("pos"))
     repeated = marked.where("times > 1").select("h1", "h2", "first", "near")
     again = found.select("h1", "h2", "doc_id", "uid", "pos").join(repeated, ["h1", "h2"])
     again = again.where(F.col("near").isNotNull() | (_ord("doc_id", "pos") != F.col("first"))).select("doc_id", "uid", "pos")
     gone = once.union(again).groupBy(F.col("doc_id").alias("_d"), F.col("uid").alias("_u")).agg(F.collect_set("pos").alias("gone"))
-    rows = moved.withColumn("_uid", F.xxhash64("doc_id", "text"))
+    rows = docs.withColumn("_uid", F.xxhash64("doc_id", "text"))
     rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_uid") == F.col("_u")), "left")
-    lines = F.split("text", "\n")
-    # the places that go become null in a map, so a long text's lines are looked up, not searched
+    rows = rows.withColumn("_lines", F.split("text", "\n"))
+    lines = F.col("_lines")
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(_without(lines, F.col("gone")), "\n"))
     rows = rows.withColumn("kept", kept).withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint"))
     rows = rows.withColumn("n_kept", F.col("n_lines") - F.coalesce(F.size("gone"), F.lit(0)))
