@@ -34,3 +34,10 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["flagship_overlap"](spark, sf_dir)
+
+
+def _register_all() -> None:
+    from . import safety_queries, store_queries, text_queries, vector_queries  # noqa: F401
+
+
+_register_all()
