@@ -174,6 +174,14 @@ def gather(flat_offsets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(flat_offsets - before, lengths) + np.arange(total)
 
 
+def fresh_name(df: DataFrame, base: str) -> str:
+    """A column name that df doesn't have."""
+    name = f"_{base}"
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def with_batch_rows(df: DataFrame) -> DataFrame:
     """df, after bounding the rows of an Arrow batch for the session."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -111,8 +111,11 @@ def _near(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.where(_within_one_edit(F.col("line"), F.col("earlier"))).select("h1", "h2").distinct()
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, more...) -> the same rows and columns, and kept (text without the lines that go), n_lines, n_kept."""
+def _dedup(docs: DataFrame) -> DataFrame:
+    """docs -> (doc_id, text, row, kept, n_lines, n_kept): row holds the other columns, so none can clash with ours; kept is the
+    text without the lines that go."""
+    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("row")
+    docs = docs.select("doc_id", "text", row)
     n = (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("int")
     found = _lines(docs).withColumn("n", n)
     told = F.struct(_ord("doc_id", "pos").alias("first"), "n", F.array(*_halves(F.col("line"), F.col("n"))).alias("halves"))
@@ -130,9 +133,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("_lines", F.split("text", "\n"))
     lines = F.col("_lines")
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(_without(lines, F.col("gone")), "\n"))
-    rows = rows.withColumn("kept", kept).withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint"))
-    rows = rows.withColumn("n_kept", F.col("n_lines") - F.coalesce(F.size("gone"), F.lit(0)))
-    return rows.select(*docs.columns, "kept", "n_lines", "n_kept")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint")
+    return rows.select("doc_id", "text", "row", kept.alias("kept"), n_lines.alias("n_lines"), (n_lines - F.coalesce(F.size("gone"), F.lit(0))).alias("n_kept"))
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, more...) -> the same rows and columns, text being what stays of it; n_chars, if there, counts anew."""
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
+    return _dedup(docs).select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def _without(lines: Column, gone: Column) -> Column:
@@ -145,9 +153,9 @@ def _without(lines: Column, gone: Column) -> Column:
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document with its lines that stay."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", F.col("kept").alias("text"), "n_lines", "n_kept")
+    return _dedup(docs).select("doc_id", F.col("kept").alias("text"), "n_lines", "n_kept")
 
 
 def line_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with the lines that stay; n_chars counts them anew. Documents stay, even where all their lines go."""
-    return dedup_lines(docs).select(*[F.col("kept").alias("text") if c == "text" else F.length("kept").cast("bigint").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    """docs with the lines that stay. Documents stay, even where all their lines go."""
+    return dedup_lines(docs)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, LOWER, cut, spans, utf8, with_batch_rows
+from .common import CHUNK_BYTES, LOWER, cut, fresh_name, spans, utf8, with_batch_rows
 from .components import components
 
 RADIUS, PARTS, WIDTH = 3, 4, 16
@@ -303,7 +303,7 @@ def op10_simhash_neardup(spark, sf_dir: str) -> DataFrame:
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without the near copies: of each component the row of the smallest doc_id stays, of repeated rows one."""
-    rows = docs.withColumn("_uid", F.xxhash64(*docs.columns))
-    kept = near_duplicates(rows, key=("doc_id", "_uid")).where((F.col("doc_id").eqNullSafe(F.col("rep.doc_id"))) & (F.col("_uid") == F.col("rep._uid")))
-    kept = kept.select("_uid").distinct()
-    return rows.join(kept, "_uid", "left_semi").dropDuplicates(["_uid"]).select(*docs.columns)
+    uid = fresh_name(docs, "uid")
+    rows = docs.withColumn(uid, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    kept = near_duplicates(rows, key=("doc_id", uid)).where((F.col("doc_id").eqNullSafe(F.col("rep.doc_id"))) & (F.col(uid) == F.col("rep")[uid]))
+    return rows.join(kept.select(uid).distinct(), uid, "left_semi").dropDuplicates([uid]).select(*[F.col(f"`{c}`") for c in docs.columns])
