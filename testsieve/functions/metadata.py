@@ -51,6 +51,7 @@ def complexity(exec_time_ms: Column, lines: Column, kind: Column, digits: int =
     weight = F.lit(KIND_WEIGHTS["unit"])
     for k, w in KIND_WEIGHTS.items():
         weight = F.when(kind == k, w).otherwise(weight)
-    time = F.coalesce(F.least(F.lit(1.0), exec_time_ms / 1000) * 0.3, F.lit(0.0))
-    covered = F.coalesce(F.least(F.lit(1.0), lines / 100) * 0.3, F.lit(0.0))
+    # least() passes over nulls, so they are asked for
+    time = F.when(exec_time_ms.isNull(), 0.0).otherwise(F.least(F.lit(1.0), exec_time_ms / 1000) * 0.3)
+    covered = F.when(lines.isNull(), 0.0).otherwise(F.least(F.lit(1.0), lines / 100) * 0.3)
     return F.round(time + covered + weight * 0.4, digits)

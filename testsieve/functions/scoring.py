@@ -50,6 +50,11 @@ def percent(score: Column) -> Column:
     return F.floor(score * 100 + 0.5).cast("int")
 
 
+def one_decimal(x: Column) -> Column:
+    """Rounded half up in binary arithmetic, so that engines agree on ties."""
+    return F.format_string("%.1f", F.floor(x * 10 + 0.5) / 10)
+
+
 def recommendation(score: Column, redundant: Column, high: float = HIGH, medium: float = MEDIUM) -> Column:
     p, n = percent(score), redundant.cast("string")
     return (
@@ -70,7 +75,7 @@ def rationale(score: Column, redundant: Column, seconds_saved: Column, overlap:
             F.when(redundant >= 10, F.concat(F.lit("Large number of redundant tests ("), n, F.lit(") amplifies impact"))).when(
                 redundant >= 5, F.concat(F.lit("Multiple redundant tests ("), n, F.lit(") offer consolidation opportunity"))
             ),
-            F.when(seconds_saved > 10, F.concat(F.lit("Removing redundant tests would save "), F.format_string("%.1f", seconds_saved), F.lit("s per test run"))),
+            F.when(seconds_saved > 10, F.concat(F.lit("Removing redundant tests would save "), one_decimal(seconds_saved), F.lit("s per test run"))),
             F.when(overlap > 90, F.concat(F.lit("Tests have "), F.floor(overlap + 0.5), F.lit("% coverage overlap"))),
         ),
         lambda s: s.isNotNull(),
@@ -81,7 +86,7 @@ def duration_text(ms: Column) -> Column:
     """Milliseconds, seconds, or minutes and seconds."""
     return (
         F.when(ms < 1000, F.concat(F.floor(ms + 0.5), F.lit("ms")))
-        .when(ms < 60000, F.concat(F.format_string("%.1f", ms / 1000), F.lit("s")))
+        .when(ms < 60000, F.concat(one_decimal(ms / 1000), F.lit("s")))
         .otherwise(F.concat(F.floor(ms / 60000), F.lit("m "), F.floor(F.pmod(ms, F.lit(60000.0)) / 1000), F.lit("s")))
     )
 

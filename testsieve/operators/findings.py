@@ -155,6 +155,6 @@ def report_counts(found: DataFrame) -> DataFrame:
 def csv_rows(tests: DataFrame) -> DataFrame:
     """redundant_tests() as the rows of the CSV report."""
     return tests.select(
-        F.col("id").alias("test"), "cluster_id", "status", F.size("similar_tests").cast("long").alias("similar_count"), F.format_string("%.1f%%", F.col("max_similarity") * 100).alias("max_similarity"),
+        F.col("id").alias("test"), "cluster_id", "status", F.size("similar_tests").cast("long").alias("similar_count"), F.concat(S.one_decimal(F.col("max_similarity") * 100), F.lit("%")).alias("max_similarity"),
         F.array_join(F.transform("similar_tests", lambda x: x.cast("string")), "; ").alias("similar_tests"),
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.vectors import jaccard
+from .settle import settle
 
 # Words of a test's purpose and the expression of its opposite.
 OPPOSITES = [
@@ -138,12 +139,12 @@ def intent_conflicts(names: DataFrame, strict: bool = True, boundary_merging: bo
     """(cluster_id, a, b, reason) of names of a cluster, a < b, whose intents conflict. The names of each kind are met with
     those of the other kind of its rule, not all with all."""
     # names are short and their intents are used by every rule below
-    each = names.distinct().withColumn("intent", intent(F.col("name"))).persist()
+    each = names.distinct().withColumn("intent", intent(F.col("name")))
     low = F.lower("name")
     edge = F.lit(False)
     for w in BOUNDARY_WORDS:
         edge = edge | F.contains(low, F.lit(w))
-    each = each.withColumn("edge", edge)
+    each = settle(each.withColumn("edge", edge), "intents")
     flags = each.select("cluster_id", "name", F.explode("intent").alias("k", "v"))
 
     def side(kind: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.vectors import doubles
 from ..operators import cluster, entropy, findings, metrics, reduce, safety, sketch, store, tfidf
+from ..operators.settle import settle
 from .config import Settings
 
 
@@ -50,7 +51,8 @@ def cluster_rows(rows: DataFrame, settings: Settings) -> DataFrame:
     if name == "dbscan":
         if len(rows.first()["v"]) > 128:
             pca = reduce.PCA(min(128, max(1, n - 1)), standardized=False).fit(rows)
-            rows = pca.transform(rows).select("id", F.slice("v", 1, reduce.components_for(pca.explained())).alias("v")).persist()
+            rows = pca.transform(rows).select("id", F.slice("v", 1, reduce.components_for(pca.explained())).alias("v"))
+            rows = settle(rows, "reduced")
         samples = cluster.min_samples_for(n, settings.min_samples)
         eps = settings.eps if settings.eps is not None else cluster.best_eps(rows, samples)[0]
         return cluster.dbscan(rows, eps, samples)
@@ -58,30 +60,33 @@ def cluster_rows(rows: DataFrame, settings: Settings) -> DataFrame:
         kept = reduce.varying_columns(rows)
         rows = rows.select("id", F.transform(F.array(*[F.lit(k + 1) for k in kept]), lambda k: F.element_at("v", k)).alias("v"))
         rows = reduce.standardize(rows) if len(kept) <= 128 else reduce.PCA(min(128, max(1, n - 1)), whiten=True).fit(rows).transform(rows)
-        return cluster.merge_small(cluster.kmeans(rows.persist(), settings.n_clusters, 2, settings.max_clusters))
+        return cluster.merge_small(cluster.kmeans(settle(rows, "prepared"), settings.n_clusters, 2, settings.max_clusters))
     return cluster.get_clusterer(name)(rows)
 
 
 def run(spark: SparkSession, sources: DataFrame, lines: DataFrame, tests: DataFrame, settings: Settings = Settings()) -> Result:  # noqa: B008
     """sources(id, source), lines(test_case_id, file, line), tests(id, path, method, exec_time_ms)."""
     sem, cov = vectorize(spark, sources, settings), fingerprint(lines)
-    rows = entropy.combine(sem, cov, settings.semantic_dim, sketch.BITS).join(sources.select("id"), "id", "left_semi").persist()
+    rows = entropy.combine(sem, cov, settings.semantic_dim, sketch.BITS).join(sources.select("id"), "id", "left_semi")
+    rows = settle(rows, "vectors")
     if settings.entropy_damping:
         parts = rows.select("id", F.slice("v", 1, settings.semantic_dim).alias("sem"), F.slice("v", settings.semantic_dim + 1, sketch.BITS).alias("cov"))
         weights = entropy.quality(parts).select("id", F.col("semantic_quality").alias("ws"), F.col("coverage_quality").alias("wc"))
-        rows = entropy.damp(rows, weights, settings.semantic_dim).persist()
+        rows = settle(entropy.damp(rows, weights, settings.semantic_dim), "damped")
     names = tests.select("id", F.concat_ws("::", "path", "method").alias("name"))
-    found = cluster_rows(rows, settings).select("id", F.col("cluster_id").cast("long").alias("cluster_id")).join(names, "id").persist()
+    found = settle(cluster_rows(rows, settings).select("id", F.col("cluster_id").cast("long").alias("cluster_id")).join(names, "id"), "clusters")
     safe = found
     if settings.validate_safety:
-        split = safety.semantic_split(safety.split_unsafe(found.select("cluster_id", "name"))).select("cluster_id", "name").distinct()
-        safe = split.join(names, "name").select("id", "cluster_id", "name").persist()
+        split = settle(safety.split_unsafe(found.select("cluster_id", "name").distinct()), "split")
+        split = safety.semantic_split(split).select("cluster_id", "name").distinct()
+        safe = settle(split.join(names, "name").select("id", "cluster_id", "name"), "safe")
     dropped = found.join(safe.select("id"), "id", "left_anti")
     counts = store.line_counts(lines).withColumnRenamed("test_case_id", "id")
     members = safe.join(rows, "id").join(tests.select("id", "exec_time_ms"), "id").join(counts, "id", "left")
-    members = members.select("cluster_id", "id", doubles(F.col("v")).alias("v"), "exec_time_ms", "lines_covered").persist()
+    members = settle(members.select("cluster_id", "id", doubles(F.col("v")).alias("v"), "exec_time_ms", "lines_covered"), "members")
     split_at, sem_w, cov_w = settings.semantic_dim, settings.semantic_weight, settings.coverage_weight
-    pairs = findings.cluster_pairs(members, _combined(split_at, sem_w, cov_w)).persist()
+    pairs = findings.cluster_pairs(members, _combined(split_at, sem_w, cov_w))
+    pairs = settle(pairs, "pairs")
     redundant = findings.redundant_tests(members, pairs, settings.levels, settings.include_noise)
     return Result(safe, redundant, findings.ordered(findings.findings(members, pairs, lines, settings.high_threshold, settings.threshold)), findings.redundancy_summary(redundant), dropped)
 

@@ -300,7 +300,7 @@ def f10(spark, sf_dir):
     return t.select("id", M.test_kind(F.col("path"), F.col("method")).alias("kind"))
 
 
-_COMPLEX = f"coalesce(least(1e0, exec_time_ms / 1000) * 0.3e0, 0) + coalesce(least(1e0, n / 100e0) * 0.3e0, 0) + CASE {_KIND} WHEN 'integration' THEN 0.6e0 WHEN 'api' THEN 0.8e0 WHEN 'e2e' THEN 1e0 ELSE 0.2e0 END * 0.4e0"
+_COMPLEX = f"CASE WHEN exec_time_ms IS NULL THEN 0 ELSE least(1e0, exec_time_ms / 1000) * 0.3e0 END + CASE WHEN n IS NULL THEN 0 ELSE least(1e0, n / 100e0) * 0.3e0 END + CASE {_KIND} WHEN 'integration' THEN 0.6e0 WHEN 'api' THEN 0.8e0 WHEN 'e2e' THEN 1e0 ELSE 0.2e0 END * 0.4e0"
 
 
 @register("f11_complexity", ctes("tests", "lines") + f", c AS (SELECT test_case_id, count(*) AS n FROM lines GROUP BY 1) SELECT id, {R(_COMPLEX)} AS complexity FROM tests LEFT JOIN c ON test_case_id = id")
@@ -422,12 +422,12 @@ _SCORED = {
     "f19_rationale": (
         "concat_ws('|', CASE WHEN score >= 0.95 THEN concat('Tests are ', CAST(floor(score * 100 + 0.5) AS INT), '% similar, indicating nearly identical functionality') WHEN score >= 0.85 THEN concat('High similarity (', CAST(floor(score * 100 + 0.5) AS INT), '%) suggests significant overlap in test coverage') END, "
         "CASE WHEN redundant >= 10 THEN concat('Large number of redundant tests (', redundant, ') amplifies impact') WHEN redundant >= 5 THEN concat('Multiple redundant tests (', redundant, ') offer consolidation opportunity') END, "
-        "CASE WHEN seconds > 10 THEN concat('Removing redundant tests would save ', printf('%.1f', seconds), 's per test run') END, CASE WHEN overlap > 90 THEN concat('Tests have ', CAST(floor(overlap + 0.5) AS INT), '% coverage overlap') END)",
+        "CASE WHEN seconds > 10 THEN concat('Removing redundant tests would save ', printf('%.1f', floor(seconds * 10 + 0.5e0) / 10), 's per test run') END, CASE WHEN overlap > 90 THEN concat('Tests have ', CAST(floor(overlap + 0.5) AS INT), '% coverage overlap') END)",
         lambda s, n, t, o: F.array_join(S.rationale(s, n, t, o), "|"),
     ),
     "f20_savings": (R("redundant / (redundant + 1e0) * 100"), lambda s, n, t, o: F.round(n / (n + 1) * 100, 6) + 0.0),
     "f21_duration": (
-        "CASE WHEN seconds * 100 < 1000 THEN concat(CAST(floor(seconds * 100 + 0.5) AS BIGINT), 'ms') WHEN seconds * 100 < 60000 THEN concat(printf('%.1f', seconds * 100 / 1000), 's') ELSE concat(CAST(floor(seconds * 100 / 60000) AS BIGINT), 'm ', CAST(floor((seconds * 100) % 60000 / 1000) AS BIGINT), 's') END",
+        "CASE WHEN seconds * 100 < 1000 THEN concat(CAST(floor(seconds * 100 + 0.5) AS BIGINT), 'ms') WHEN seconds * 100 < 60000 THEN concat(printf('%.1f', floor(seconds * 100 / 1000 * 10 + 0.5e0) / 10), 's') ELSE concat(CAST(floor(seconds * 100 / 60000) AS BIGINT), 'm ', CAST(floor((seconds * 100) % 60000 / 1000) AS BIGINT), 's') END",
         lambda s, n, t, o: S.duration_text(t * 100),
     ),
 }

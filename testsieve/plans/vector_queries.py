@@ -393,7 +393,7 @@ def r02(spark, sf_dir):
     return rounded(_redundant(spark, sf_dir).select("cluster_id", "id", joined("similar_tests").alias("similar_tests"), "max_similarity", "status"))
 
 
-@register("k04_csv_rows", _R02 + "SELECT id AS test, cluster_id, status, similar_count, printf('%.1f%%', m * 100) AS max_similarity, replace(similar_tests, ',', '; ') AS similar_tests FROM r")
+@register("k04_csv_rows", _R02 + "SELECT id AS test, cluster_id, status, similar_count, concat(printf('%.1f', floor(m * 100 * 10 + 0.5e0) / 10), '%') AS max_similarity, replace(similar_tests, ',', '; ') AS similar_tests FROM r")
 def k04(spark, sf_dir):
     return findings.csv_rows(_redundant(spark, sf_dir))
 
