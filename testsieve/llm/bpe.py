@@ -28,7 +28,7 @@ from .common import CHUNK_BYTES, gather, spans, utf8, with_batch_rows
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
-#: Words that a worker keeps with their ids; when they are too many it starts anew.
+#: Words that a worker keeps with their ids; when there are more it begins anew with those of the chunk at hand.
 KEPT_WORDS = 200_000
 
 
@@ -76,8 +76,10 @@ class Codec:
         self._forget()
 
     def _forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Leaves only the special tokens, which are words of one id."""
+        self.index: dict[str, int] = {token: i for i, token in enumerate(self.special)}
+        self.flat = np.array(list(self.special.values()), np.int64)
+        self.at, self.n = np.arange(len(self.special)), np.ones(len(self.special), np.int64)
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, one after the other, and how many each has. No word may be empty."""
@@ -113,8 +115,6 @@ class Codec:
         return symbols[order], np.bincount(owner, minlength=len(words))
 
     def _learn(self, fresh: list[str]) -> None:
-        if len(self.index) + len(fresh) > KEPT_WORDS and self.index:
-            raise OverflowError
         flat, n = self.merge([w.encode() for w in fresh])
         at = np.cumsum(n) - n + len(self.flat)
         self.index.update(zip(fresh, range(len(self.n), len(self.n) + len(fresh))))
@@ -135,27 +135,18 @@ class Codec:
             got = self._cut_words(t)
             counts.append(len(got))
             words += got
-        if not self.index and self.special:
-            self._seed()
         fresh = [w for w in dict.fromkeys(words) if w not in self.index]
+        if fresh and len(self.index) + len(fresh) > KEPT_WORDS:
+            self._forget()
+            fresh = [w for w in dict.fromkeys(words) if w not in self.index]
         if fresh:
-            try:
-                self._learn(fresh)
-            except OverflowError:
-                self._forget()
-                self._seed()
-                self._learn([w for w in dict.fromkeys(words) if w not in self.index])
+            self._learn(fresh)
         number = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         n = self.n[number]
         ids = self.flat[gather(self.at[number], n)]
         ends = np.concatenate([[0], np.cumsum(n)])
         return ids, ends[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
 
-    def _seed(self) -> None:
-        for token, i in self.special.items():
-            self.index[token] = len(self.n)
-            self.flat, self.at, self.n = np.append(self.flat, i), np.append(self.at, len(self.flat)), np.append(self.n, 1)
-
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """The texts of ids that lie one after the other; bytes that aren't UTF-8 become replacement characters."""
         n = self.token_len[ids]

@@ -22,7 +22,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,66 +81,71 @@ def fold(events: DataFrame) -> DataFrame:
     return messages.select("conv_id", (F.row_number().over(order) - 1).cast("long").alias("turn"), "role", "text")
 
 
-def _rendered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        made = [render(r, t) for r, t in zip(b["role"], b["text"])]
-        yield pd.DataFrame({"conv_id": b["conv_id"], "turn": b["turn"], "piece": [m[0] for m in made], "loss": b["role"] == "assistant", "loss_start": [m[1] for m in made], "loss_end": [m[2] for m in made]})
+        made = [render(r, t) for r, t in zip(b.column("role").to_pylist(), b.column("text").to_pylist())]
+        piece, start, end = zip(*made) if made else ((), (), ())
+        loss = pa.array([r == "assistant" for r in b.column("role").to_pylist()], pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), pa.array(piece, pa.string()), loss, pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["conv_id", "turn", "piece", "loss", "loss_start", "loss_end"])
 
 
 def format_chat(events: DataFrame) -> DataFrame:
     """events -> (conv_id, turn, piece, loss, loss_start, loss_end); a conversation's output is its pieces by turn."""
     kind = dict(events.dtypes)["conv_id"]
-    return fold(events).mapInPandas(_rendered, f"conv_id {kind}, turn long, piece string, loss boolean, loss_start long, loss_end long")
+    return fold(events).select("conv_id", "turn", "role", "text").mapInArrow(_rendered, f"conv_id {kind}, turn long, piece string, loss boolean, loss_start long, loss_end long")
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces, read back and reduced to what the digests take."""
     for b in batches:
-        turns = [[f"{role}\n{text}\n" for role, text in read_back(p)] for p in b["piece"]]
-        masked = [unescape(p[s:e]) if on else "" for p, on, s, e in zip(b["piece"], b["loss"], b["loss_start"], b["loss_end"])]
-        yield pd.DataFrame({"conv_id": b["conv_id"], "turn": b["turn"], "n": [len(t) for t in turns], "turns": ["".join(t) for t in turns], "masked": masked, "chars": [len(p) for p in b["piece"]]})
+        pieces = b.column("piece").to_pylist()
+        turns = [[f"{role}\n{text}\n" for role, text in read_back(p)] for p in pieces]
+        spans = zip(pieces, *(b.column(c).to_pylist() for c in ("loss", "loss_start", "loss_end")))
+        masked = [unescape(p[s:e]) if on else "" for p, on, s, e in spans]
+        more = [pa.array([len(t) for t in turns], pa.int64()), pa.array(["".join(t) for t in turns], pa.string()), pa.array(masked, pa.string()), pa.array([len(p) for p in pieces], pa.int64())]
+        yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), *more], ["conv_id", "turn", "n", "turns", "masked", "chars"])
 
 
-_RESULT = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+_RESULT = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
 
-def _digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows of whole conversations; one hash state at a time, however long a conversation is."""
-    now, state = None, None
+    key, state = None, None
 
-    def out(done: list) -> pd.DataFrame:
-        frame = pd.DataFrame(done, columns=_RESULT)
-        return frame.astype({"conv_id": "Int64"}) if len(frame) else frame
+    def told() -> list:
+        return [key, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]]
+
+    def out(done: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*done) if done else [[]] * len(_RESULT), _RESULT)], schema=_RESULT)
 
     for b in batches:
         done = []
-        null = b["conv_id"].isna()
-        for key, isnull, n, turns, masked, chars in zip(b["conv_id"], null, b["n"], b["turns"], b["masked"], b["chars"]):
-            key = (bool(isnull), None if isnull else int(key))
-            if key != now:
-                if now is not None:
-                    done.append([now[1], state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]])
-                now, state = key, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+        for conv, n, turns, masked, chars in zip(*(b.column(c).to_pylist() for c in ("conv_id", "n", "turns", "masked", "chars"))):
+            if state is None or conv != key:
+                if state is not None:
+                    done.append(told())
+                key, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
             state[0] += n
             state[1].update(turns.encode())
             state[2] += len(masked)
             state[3].update(masked.encode())
             state[4] += chars
         yield out(done)
-    if now is not None:
-        yield out([[now[1], state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]]])
+    if state is not None:
+        yield out([told()])
 
 
 def digests(pieces: DataFrame) -> DataFrame:
     """What is read back from the output of each conversation (conv_id: an integer)."""
-    read = pieces.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "piece", "loss", "loss_start", "loss_end").mapInPandas(_read, "conv_id long, turn long, n long, turns string, masked string, chars long")
+    read = pieces.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "piece", "loss", "loss_start", "loss_end").mapInArrow(_read, "conv_id long, turn long, n long, turns string, masked string, chars long")
     read = read.repartition("conv_id").sortWithinPartitions("conv_id", "turn")
-    return read.mapInPandas(_digested, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return read.mapInArrow(_digested, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
     """A table of finished turns (conv_id, turn, role, text) as a log: each row starts a message and streams its text in two
-    deltas. Equal turns are messages of their own, told apart by role and text, and repeated rows by their number."""
+    deltas. Equal turns are messages of their own, told apart by role and text, and repeated rows by their number. Rows without a turn come first."""
     same = Window.partitionBy("conv_id", "turn", "role", "text").orderBy(F.lit(0))
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     rows = rows.withColumn("msg", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.row_number().over(same).alias("n")))
@@ -151,7 +156,7 @@ def conversation_events(conversations: DataFrame) -> DataFrame:
         F.struct(F.lit("delta").alias("kind"), F.lit(2).alias("step"), F.substring("text", half + 1, F.length("text")).alias("part")),
     )
     rows = rows.select("conv_id", "turn", "msg", "role", F.explode(parts).alias("p"))
-    return rows.select("conv_id", (F.col("turn") * 3 + F.col("p.step")).alias("seq"), F.col("p.kind").alias("kind"), "msg", "role", F.col("p.part").alias("text"))
+    return rows.select("conv_id", (F.coalesce(F.col("turn") * 3, F.lit(-(1 << 62))) + F.col("p.step")).alias("seq"), F.col("p.kind").alias("kind"), "msg", "role", F.col("p.part").alias("text"))
 
 
 def op1_chat_format(spark, sf_dir: str) -> DataFrame:

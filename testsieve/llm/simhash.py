@@ -28,8 +28,9 @@ from .common import CHUNK_BYTES, LOWER, cut, fresh_name, spans, utf8, with_batch
 from .components import components
 
 RADIUS, PARTS, WIDTH = 3, 4, 16
-#: Distinct fingerprints that one task compares with one another.
-GROUP_MOST = 1 << 14
+#: Distinct fingerprints that one task compares with one another, and how often larger groups are divided. What is larger even
+#: then (so many fingerprints that agree in all but a dozen bits can't be) is compared in one task, in blocks.
+GROUP_MOST, LEVELS = 1 << 14, 6
 
 
 def _hashes(text: bytes, words: int, seed: int) -> list[int]:
@@ -175,8 +176,9 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _roots_of_group(fps: np.ndarray, radius: int, block: int = 512) -> np.ndarray:
-    """As _roots, over all pairs of one large group, a block of rows at a time."""
+    """As _roots, over all pairs of one large group, a block of rows at a time: memory doesn't grow with the group's square."""
     label, big = np.arange(len(fps)), len(fps)
+    block = max(1, min(block, (1 << 24) // max(1, big)))
     while True:
         before = label.copy()
         for s in range(0, len(fps), block):
@@ -242,7 +244,11 @@ def _link(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordB
 
 def _divide(rows: DataFrame, masks: list[int], radius: int) -> tuple[DataFrame, list[int]]:
     """Rows of too large groups, sent on to radius + 1 blocks of the bits that their mask leaves free."""
-    blocks = {m: [_mask(list(b)) for b in np.array_split([i for i in range(64) if not (m >> i) & 1], radius + 1) if len(b)] for m in masks}
+    blocks = {}
+    for m in masks:
+        free = [i for i in range(64) if not (m >> i) & 1]
+        cuts = [len(free) * k // (radius + 1) for k in range(radius + 2)]
+        blocks[m] = [_mask(free[a:b]) for a, b in zip(cuts, cuts[1:]) if b > a]
     more = F.lit(None).cast("array<bigint>")
     for m, bs in blocks.items():
         more = F.when(F.col("mask") == m, F.array(*[F.lit(b).cast("bigint") for b in bs])).otherwise(more)
@@ -267,8 +273,8 @@ def link(prints: DataFrame, radius: int = RADIUS, most: int = GROUP_MOST) -> Dat
     rows = prints.select("fp", sent.alias("p")).select(F.col("p.m").alias("mask"), F.col("fp").bitwiseAND(F.col("p.m")).bitwiseXOR(F.col("p.f")).alias("value"), "fp")
     masks, edges = sorted({m for m, _ in probes}), None
     largest = most + 1 if len(probes) > len(parts) else max(int(h.max()) for h in histograms)
-    while True:
-        if largest > most:
+    for level in range(LEVELS + 1):
+        if largest > most and level < LEVELS:
             large = rows.groupBy("mask", "value").count().where(F.col("count") > most).select("mask", "value")
             fit, rest = rows.join(large, ["mask", "value"], "left_anti"), rows.join(large, ["mask", "value"], "left_semi")
         else:
@@ -277,8 +283,9 @@ def link(prints: DataFrame, radius: int = RADIUS, most: int = GROUP_MOST) -> Dat
         edges = got if edges is None else edges.union(got)
         masks = [m for m in masks if m != -1]
         if rest is None or not masks or rest.isEmpty():
-            return edges
+            break
         rows, masks = _divide(rest, masks, radius)
+    return edges
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = 3, seed: int = 42, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
