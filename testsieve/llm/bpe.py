@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import CHUNK_BYTES, gather, spans, utf8, with_batch_rows
+from .common import CHUNK_BYTES, gather, read_table, spans, utf8, with_batch_rows
 
 #: The pattern of byte-level BPE words, and the bytes that its alphabet writes as themselves.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -198,7 +198,7 @@ def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def op3_bpe(spark, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document, encoded and decoded."""
-    return encode_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return encode_digests(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def bpe_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

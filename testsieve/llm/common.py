@@ -174,6 +174,15 @@ def gather(flat_offsets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(flat_offsets - before, lengths) + np.arange(total)
 
 
+def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A stored table, or some of its columns. A table of a few splits, fewer than there are cores, is dealt out, so that the
+    Python kernels use them all; any other is read where it lies and nothing of it moves."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = df.select(*columns) if columns else df
+    cores = min(spark.sparkContext.defaultParallelism, 32)
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fresh_name(df: DataFrame, base: str) -> str:
     """A column name that df doesn't have."""
     name = f"_{base}"

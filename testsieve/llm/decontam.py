@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, WORD_BYTE, fold_case, gather, mix, spans, utf8, with_batch_rows, word_bounds, word_hashes
+from .common import CHUNK_BYTES, WORD_BYTE, fold_case, gather, mix, read_table, spans, utf8, with_batch_rows, word_bounds, word_hashes
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 20, 7
 ITEM_BYTES = 32 << 20
@@ -223,7 +223,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def op5_decontam(spark, sf_dir: str) -> DataFrame:
     """All documents that hold a benchmark item, with the items."""
-    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contaminated(read_table(spark, sf_dir, "documents", "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def _clean(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import POWERS, gather, mix, with_batch_rows
+from .common import POWERS, gather, mix, read_table, with_batch_rows
 
 WINDOW, RUN, POINTS = 64, 64, 6
 #: Texts under SHORT bytes have features of SMALL bytes too: every one under WINDOW + RUN - 1 bytes, else a quarter of them.
@@ -284,4 +284,4 @@ def _heads(keyed: DataFrame, bounds: list[int]) -> dict[int, tuple[int | None, i
 
 def op2_rare_digest(spark, sf_dir: str) -> DataFrame:
     """Digests of every document and of its edited text, and their likeness."""
-    return neighbour_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return neighbour_digests(read_table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, LOWER, spans, utf8, with_batch_rows
+from .common import CHUNK_BYTES, LOWER, read_table, spans, utf8, with_batch_rows
 
 GRAMS, BUCKETS, DIM = (3, 4), 1 << 16, 16
 SAMPLE, SAMPLE_CHARS, EPOCHS, RATE, REJECT, SEED = 600, 20_000, 6, 0.5, 0.001, 7
@@ -212,7 +212,7 @@ def fit(docs: DataFrame) -> Model | None:
 
 def op6_lang_id(spark, sf_dir: str) -> DataFrame:
     """The predicted language of every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     found = identify(docs, fit(docs))
     return found.select("doc_id", F.coalesce(_part() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import CHUNK_BYTES, LOWER, WORD_BYTE, spans, utf8, with_batch_rows, word_bounds
+from .common import CHUNK_BYTES, LOWER, WORD_BYTE, read_table, spans, utf8, with_batch_rows, word_bounds
 
 #: The base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -142,4 +142,4 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
     """Words, base phrases and labels of every document."""
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
+    return scan(read_table(spark, sf_dir, "documents", "doc_id", "text")).drop("spans")

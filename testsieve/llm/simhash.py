@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, LOWER, cut, fresh_name, spans, utf8, with_batch_rows
+from .common import CHUNK_BYTES, LOWER, cut, fresh_name, read_table, spans, utf8, with_batch_rows
 from .components import components
 
 RADIUS, PARTS, WIDTH = 3, 4, 16
@@ -304,7 +304,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = 3, seed:
 
 def op10_simhash_neardup(spark, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and the smallest doc_id of its component."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("rep.doc_id").alias("component_id"))
 
 

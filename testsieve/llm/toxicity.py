@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, WORD_BYTE, fold_case, gather, spans, utf8, with_batch_rows, word_bounds, word_hashes
+from .common import CHUNK_BYTES, WORD_BYTE, fold_case, gather, read_table, spans, utf8, with_batch_rows, word_bounds, word_hashes
 
 WINDOW, STRIDE = 24, 12
 HIDDEN, WORD_DIM, CHAR_DIM, WORD_BUCKETS, CHAR_BUCKETS = 8, 8, 12, 1 << 12, 1 << 13
 POSITIVES, NEGATIVES, SAMPLE_CHARS = 900, 1500, 3000
-EPOCHS, BATCH_TEXTS, RATE, SEED = 10, 48, 0.01, 11
+EPOCHS, BATCH_TEXTS, RATE, SEED = 5, 24, 0.015, 11
 #: Windows that are read at once.
 WINDOWS = 2048
 
@@ -335,6 +335,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     """The score of every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     found = score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")))
     return found.select("doc_id", F.coalesce(_part() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
