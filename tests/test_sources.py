@@ -128,3 +128,51 @@ def test_stream_counts_a_fact_once(spark, tmp_path):
     known = spark.createDataFrame([(1, "keep", "", "2024-01-01")], "cluster_id long, action string, reason string, timestamp string")
     batch = spark.createDataFrame([(1, "merge", "", "2024-01-02")], known.schema)
     assert ingest.latest_feedback(batch, known).select(F.col("action")).first()["action"] == "merge"
+
+
+def test_feedback_can_be_compacted_cleared_and_moved(spark, tmp_path):
+    log, out = str(tmp_path / "log"), str(tmp_path / "out")
+    for cluster, action, at in ((1, "keep", "2024-01-01"), (1, "merge", "2024-01-02"), (2, "ignore", "2024-01-01")):
+        sinks.append_feedback(spark, log, cluster, action, "r", at)
+    sinks.compact_feedback(spark, log)
+    assert sorted((r["cluster_id"], r["action"]) for r in spark.read.json(log).collect()) == [(1, "merge"), (2, "ignore")]
+    sinks.export_feedback(spark, log, out)
+    sinks.clear_feedback(spark, log, 2)
+    assert [r["cluster_id"] for r in sinks.read_feedback(spark, log).collect()] == [1]
+    sinks.import_feedback(spark, log, out)
+    assert sinks.read_feedback(spark, log).count() == 2
+    put(tmp_path, "bad.json", '{"x": 1}\n')
+    with pytest.raises(ValueError):
+        sinks.import_feedback(spark, log, str(tmp_path / "bad.json"))
+    sinks.clear_feedback(spark, log)
+    assert not (tmp_path / "log").exists()
+
+
+def test_runs_can_be_changed(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    spark.createDataFrame([(1, "a"), (2, "b")], "id long, git_commit_hash string").write.parquet(path)
+    sinks.update_run(spark, path, 2, git_commit_hash="c")
+    assert sorted((r["id"], r["git_commit_hash"]) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c")]
+
+
+def test_code_of_tests(spark):
+    tests = spark.createDataFrame([(1, "App\\Test", "one"), (2, "a.php", "two")], "id long, path string, method string")
+    files = spark.createDataFrame([("a.php", "class A { function two() { $this->go(); } }")], "path string, content string")
+    got = {r["id"]: r["source"] for r in readers.test_code(tests, files).collect()}
+    assert got == {1: "test_method one class App\\Test method one", 2: "test_method two function call_two call_go"}
+    with pytest.raises(Exception, match="test file not found"):
+        readers.test_code(tests.where("id = 2"), files.where("false")).collect()
+    with pytest.raises(ValueError, match="missing columns: x"):
+        readers.require_columns(tests, ["id", "x"])
+
+
+def test_results_and_vectors(spark, tmp_path):
+    members = spark.createDataFrame([(0, 1, "a"), (0, 2, "b")], "cluster_id long, id long, name string")
+    pairs = spark.createDataFrame([(0, 1, 2, 0.9)], "grp long, a long, b long, score double")
+    result = pipeline.Result(members, findings.redundant_tests(members, pairs), None, None, None)
+    vectors = spark.createDataFrame([("a", [1.0])], "name string, value array<double>")
+    sinks.save_results(result, spark.range(1), {"algorithm": "kmeans"}, str(tmp_path / "r"), vectors)
+    assert sorted(x.name for x in (tmp_path / "r").iterdir()) == ["clusters.json", "redundancy_report.csv", "results.json", "vectors.json"]
+    report = spark.read.csv(str(tmp_path / "r/redundancy_report.csv"), header=True).collect()
+    assert {(r["test"], r["max_similarity"]) for r in report} == {("1", "90.0%"), ("2", "90.0%")}
+    assert readers.vectors(spark, put(tmp_path, "v.json", '{"a": [1, 2.5]}')).first()["v"] == [1.0, 2.5]

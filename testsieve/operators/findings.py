@@ -158,3 +158,23 @@ def csv_rows(tests: DataFrame) -> DataFrame:
         F.col("id").alias("test"), "cluster_id", "status", F.size("similar_tests").cast("long").alias("similar_count"), F.concat(S.one_decimal(F.col("max_similarity") * 100), F.lit("%")).alias("max_similarity"),
         F.array_join(F.transform("similar_tests", lambda x: x.cast("string")), "; ").alias("similar_tests"),
     )
+
+
+def cluster_csv_rows(members: DataFrame, sem: DataFrame, cov: DataFrame, both: DataFrame, levels: dict[str, float] = S.LEVELS) -> DataFrame:
+    """The rows of the cluster summary report: size, mean similarities (percent) of three sets of pairs, level, tests."""
+    def mean(pairs: DataFrame, name: str) -> DataFrame:
+        return pairs.groupBy(F.col("grp").alias("cluster_id")).agg(F.avg("score").alias(name))
+
+    sizes = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), "; ").alias("tests"))
+    out = sizes.join(mean(sem, "s"), "cluster_id", "left").join(mean(cov, "c"), "cluster_id", "left").join(mean(both, "b"), "cluster_id", "left").fillna(0.0, ["s", "c", "b"])
+    percent = lambda c: F.concat(S.one_decimal(F.col(c) * 100), F.lit("%"))
+    return out.select(
+        "cluster_id", "size", percent("s").alias("avg_semantic_similarity"), percent("c").alias("avg_coverage_similarity"), percent("b").alias("avg_combined_similarity"), S.level(F.col("b"), levels).alias("redundancy_level"), "tests"
+    )
+
+
+def result_totals(found: DataFrame, tests: DataFrame) -> DataFrame:
+    """One row: redundant tests, their share of all tests in percent, findings of high priority."""
+    totals = found.agg(F.coalesce(F.sum(F.size("redundant_tests")), F.lit(0)).alias("redundant"), F.coalesce(F.sum((F.col("priority") == "high").cast("long")), F.lit(0)).alias("high_priority"))
+    n = tests.agg(F.count(F.lit(1)).alias("n"))
+    return totals.crossJoin(n).select("redundant", F.when(F.col("n") == 0, 0.0).otherwise(F.col("redundant") / F.col("n") * 100).alias("reduction_percent"), "high_priority")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as X
 from ..operators import cluster, entropy, findings, metrics, pairs, reduce
+from ..operators.settle import settle
 from .catalog import register
 from .fixtures import ctes, load
 from .store_queries import R, rounded
@@ -427,7 +428,8 @@ def _finding_inputs(spark, sf_dir):
     counts = store.line_counts(lines).withColumnRenamed("test_case_id", "id")
     tests = load(spark, sf_dir, "tests").select("id", "exec_time_ms")
     m = _members(spark, sf_dir).join(tests, "id", "left").join(counts, "id", "left")
-    return m, findings.cluster_pairs(m), lines
+    # pairs are used three times below; they are made once
+    return m, settle(findings.cluster_pairs(m), "pairs"), lines
 
 
 @register("w03_representatives", _FOUND + f"SELECT cluster_id, rep AS representative, {R('sc')} AS score FROM rp")

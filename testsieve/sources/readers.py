@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import class_from_path, skipped_file, split_identifier
+from ..functions.text import class_from_path, code_tokens, method_body, normalize_code, skipped_file, split_identifier
 from ..operators.store import text_blocks
 
 DEFAULT_EXCLUDE, DEFAULT_FOCUS = ["vendor", "bootstrap", "node_modules", "public", "storage"], ["app", "src"]
@@ -128,3 +128,35 @@ def feedback_log(spark: SparkSession, path: str) -> DataFrame:
     the lines of the log."""
     rows = spark.read.text(path).select(F.from_json("value", "cluster_id bigint, action string, reason string, timestamp string").alias("r"), F.monotonically_increasing_id().alias("pos"))
     return rows.select("r.*", "pos").where("cluster_id is not null and action is not null")
+
+
+def vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(name, v) from JSON, or from YAML where the library for it is there."""
+    if not path.endswith((".yaml", ".yml")):
+        return vectors_json(spark, path)
+    try:
+        import yaml
+    except ImportError as e:
+        raise ValueError("reading YAML needs the yaml package") from e
+    with open(path, encoding="utf-8") as f:
+        rows = [(str(k), [float(x) for x in v]) for k, v in yaml.safe_load(f).items()]
+    return spark.createDataFrame(rows, "name string, v array<double>")
+
+
+def test_code(tests: DataFrame, files: DataFrame) -> DataFrame:
+    """tests(id, path, method), files(path, content) -> (id, source): what vectors are made of. A class name stands for itself;
+    of a file the normalized method is taken; a path that is neither fails the run, as an unreadable test would."""
+    met = tests.join(files.select("path", "content"), "path", "left")
+    head = F.concat(F.lit("test_method "), F.col("method"), F.lit(" "))
+    missing = F.raise_error(F.concat(F.lit("test file not found: "), F.col("path"))).cast("string")
+    body = F.array_join(code_tokens(normalize_code(method_body(F.col("content"), F.col("method")))), " ")
+    named = F.concat(F.lit("class "), "path", F.lit(" method "), "method")
+    source = F.when(F.contains("path", F.lit("\\")), named).when(F.col("content").isNull(), missing).otherwise(body)
+    return met.select("id", F.concat(head, source).alias("source"))
+
+
+def require_columns(df: DataFrame, required: list[str]) -> DataFrame:
+    missing = sorted(set(required) - set(df.columns))
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return df

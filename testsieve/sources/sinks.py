@@ -142,3 +142,63 @@ def append_feedback(spark: SparkSession, path: str, cluster_id: int, action: str
     if action not in ("keep", "ignore", "merge"):
         raise ValueError(f"unknown action {action}")
     spark.createDataFrame([(cluster_id, action, reason, timestamp)], "cluster_id long, action string, reason string, timestamp string").write.mode("append").json(path)
+
+
+def update_run(spark: SparkSession, path: str, run_id: int, **values: str) -> None:
+    """Sets columns of one run. Files aren't changed in place: the (small) table of runs is written anew."""
+    runs = spark.read.parquet(path)
+    mine = F.col("id") == run_id
+    replace(runs.select(*[F.when(mine, F.lit(values[c]).cast(k)).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c, k in runs.dtypes]), path)
+
+
+def read_feedback(spark: SparkSession, path: str) -> DataFrame:
+    """The log's latest line of each cluster, by timestamp."""
+    rows = spark.read.schema("cluster_id long, action string, reason string, timestamp string").json(path).where("cluster_id is not null")
+    return rows.groupBy("cluster_id").agg(F.max_by(F.struct("action", "reason", "timestamp"), F.col("timestamp")).alias("f")).select("cluster_id", "f.*")
+
+
+def _rewrite_json(df: DataFrame, path: str) -> None:
+    """Writes beside the path, then takes its place."""
+    spark, beside = df.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    df.write.json(beside)
+    fs, target = _filesystem(spark, path)
+    fs.delete(target, True)
+    fs.rename(_filesystem(spark, beside)[1], target)
+
+
+def compact_feedback(spark: SparkSession, path: str) -> None:
+    """Leaves one line per cluster."""
+    _rewrite_json(read_feedback(spark, path), path)
+
+
+def clear_feedback(spark: SparkSession, path: str, cluster_id: int | None = None) -> None:
+    """Removes the feedback of a cluster, or all of it."""
+    if cluster_id is None:
+        fs, target = _filesystem(spark, path)
+        fs.delete(target, True)
+    else:
+        _rewrite_json(read_feedback(spark, path).where(F.col("cluster_id") != cluster_id), path)
+
+
+def export_feedback(spark: SparkSession, path: str, to: str) -> None:
+    read_feedback(spark, path).write.mode("overwrite").json(to)
+
+
+def import_feedback(spark: SparkSession, path: str, exported: str) -> None:
+    """Appends exported feedback; an error where it isn't feedback."""
+    rows = spark.read.schema("cluster_id long, action string, reason string, timestamp string").json(exported)
+    if not rows.where("cluster_id is null or action is null").isEmpty():
+        raise ValueError("invalid feedback")
+    rows.write.mode("append").json(path)
+
+
+def save_results(result, counts: DataFrame, settings: dict, folder: str, save_vectors: DataFrame | None = None, save_csv: bool = True) -> None:
+    """clusters, redundancy report (CSV), results (JSON lines) and, if given, vectors(name, value) under a folder."""
+    from ..operators.findings import csv_rows
+
+    write_clusters(result.clusters, settings, f"{folder}/clusters.json")
+    if save_csv:
+        write_csv(csv_rows(result.redundancy), f"{folder}/redundancy_report.csv")
+    if save_vectors is not None:
+        write_json_map(save_vectors, f"{folder}/vectors.json")
+    counts.write.mode("overwrite").json(f"{folder}/results.json")
