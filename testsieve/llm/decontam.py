@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import CHUNK_BYTES, WORD_BYTE, fold_case, gather, mix, read_table, spans, utf8, with_batch_rows, word_bounds, word_hashes
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 20, 7
-ITEM_BYTES = 32 << 20
+ITEM_BYTES = 4 << 20
 #: Windows that are fingerprinted at once.
 WINDOWS = 4096
 

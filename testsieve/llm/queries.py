@@ -1,7 +1,7 @@
 """The registered queries of this folder: each applies one operator to its whole table.
 
-None has SQL to be held against: each needs hashes, regex positions, models or iteration that the SQL check's engine lacks.
-tests/llm holds each against a brute-force version, an exact round trip or held-out accuracy."""
+Those whose rows SQL can express are held against it (oracles.py). tests/llm holds each against a brute-force version, an exact
+round trip or held-out accuracy."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from .digest import op2_rare_digest
 from .langid import op6_lang_id
 from .licenses import op4_license_scan
 from .line_dedup import op7_line_dedup
+from .oracles import oracle_sql
 from .secrets import op8_secret_scan
 from .simhash import op10_simhash_neardup
 from .toxicity import op9_toxicity
@@ -24,5 +25,4 @@ def queries() -> dict[str, Callable]:
     return {f.__name__: f for f in found}
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries"]

@@ -27,7 +27,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 
 SECRET40 = r"(?<![A-Za-z0-9/+=])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])"
-ENDPOINT = r"https?://[A-Za-z0-9._~:@%/?#&=+-]{4,200}|(?<![A-Za-z0-9.-])[a-z0-9][a-z0-9.-]{0,100}\.(?:amazonaws\.com|core\.windows\.net|googleapis\.com)"
+ENDPOINT = r"https?://[A-Za-z0-9._~:@%/?#&=+-]{4,200}|[a-z0-9][a-z0-9.-]{0,100}\.(?:amazonaws\.com|core\.windows\.net|googleapis\.com)"
 USER = r"""(?i:user(?:name)?|account|login)["']?\x20{0,8}[:=]\x20{0,8}["']?[A-Za-z0-9._@-]{3,64}"""
 
 #: In the order in which spans of equal starts are listed.
