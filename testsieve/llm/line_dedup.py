@@ -46,28 +46,33 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "uid", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def _halves(line: Column, n: Column) -> list[Column]:
-    """Keys that a partner shares: the words before (0, 2) or after (1, 3) the middle, for partners of at most as many words
-    (0, 1; the tag is our word count) and of one more (2, 3; the tag is theirs)."""
+def _halves(lines: DataFrame) -> DataFrame:
+    """lines(line, n, ...) with halves: keys that a partner shares, the words before (0, 2) or after (1, 3) the middle, for
+    partners of at most as many words (0, 1; the tag is our word count) and of one more (2, 3; the tag is theirs)."""
+    n, line = F.col("n"), F.col("line")
     less, more = F.floor((n - 1) / 2), F.floor(n / 2)
-    return [
-        F.when(n >= MIN_WORDS, F.xxhash64(F.lit(0), n, _first(line, less))),
-        F.when(n >= MIN_WORDS, F.xxhash64(F.lit(1), n, _last(line, less))),
-        F.when(n >= MIN_WORDS - 1, F.xxhash64(F.lit(0), n + 1, _first(line, more))),
-        F.when(n >= MIN_WORDS - 1, F.xxhash64(F.lit(1), n + 1, _last(line, more))),
+    lines = lines.withColumn("head", F.when(n >= MIN_WORDS - 1, _first(line, more))).withColumn("tail", F.when(n >= MIN_WORDS - 1, _last(line, more)))
+    # of an odd number of words both halves are the same
+    short_head, short_tail = F.when(n % 2 == 1, F.col("head")).otherwise(_first(F.col("head"), less)), F.when(n % 2 == 1, F.col("tail")).otherwise(_last(F.col("tail"), less))
+    keys = [
+        F.when(n >= MIN_WORDS, F.xxhash64(F.lit(0), n, short_head)),
+        F.when(n >= MIN_WORDS, F.xxhash64(F.lit(1), n, short_tail)),
+        F.when(n >= MIN_WORDS - 1, F.xxhash64(F.lit(0), n + 1, "head")),
+        F.when(n >= MIN_WORDS - 1, F.xxhash64(F.lit(1), n + 1, "tail")),
     ]
+    return lines.withColumn("halves", F.array(*keys))
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """(key, h1, h2, first) of the deletion neighbourhood, for the halves that a partner can differ in."""
+    """(key, h1) of the deletion neighbourhood, for the halves that a partner can differ in. A line has a key once."""
     n, line = F.col("n"), F.col("line")
     less, more = F.floor((n - 1) / 2), F.floor(n / 2)
     none = F.array().cast("array<bigint>")
     deletions = F.array_union(F.when(F.col("k0"), F.sequence(less, n - 1)).otherwise(none), F.when(F.col("k1"), F.sequence(F.lit(0).cast("bigint"), n - 1 - less)).otherwise(none))
     gaps = F.array_union(F.when(F.col("k2"), F.sequence(more, n)).otherwise(none), F.when(F.col("k3"), F.sequence(F.lit(0).cast("bigint"), n - more)).otherwise(none))
     places = F.concat(F.transform(deletions, lambda i: F.struct(i.alias("i"), (n - 1 - i).alias("after"))), F.transform(gaps, lambda i: F.struct(i.alias("i"), (n - i).alias("after"))))
-    rows = lines.select("h1", "h2", "first", "line", F.explode(places).alias("p"))
-    return rows.select(F.xxhash64(F.col("p.i"), F.col("p.after"), _first(line, F.col("p.i")), _last(line, F.col("p.after"))).alias("key"), "h1", "h2", "first")
+    rows = lines.select("h1", "line", F.explode(places).alias("p"))
+    return rows.select(F.xxhash64(F.col("p.i"), F.col("p.after"), _first(line, F.col("p.i")), _last(line, F.col("p.after"))).alias("key"), "h1")
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -101,9 +106,9 @@ def _near(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     met = texts.join(wanted.withColumnRenamed("doc_id", "_d").withColumnRenamed("uid", "_u"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("uid") == F.col("_u")))
     lines = met.select("lines", F.explode("ls").alias("l")).select(F.element_at("lines", F.col("l.pos") + 1).alias("line"), "l.*")
     lines = cut(lines.select("line", "h1", "h2", "first", F.col("n").cast("bigint").alias("n"), "k0", "k1", "k2", "k3"), "lines")
-    variants = _variants(lines)
-    shared = variants.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
-    members = cut(variants.join(shared, "key", "left_semi"), "variants")
+    variants = cut(_variants(lines), "variants")
+    shared = variants.groupBy("key").count().where("count > 1").select("key")
+    members = cut(variants.join(shared, "key", "left_semi").join(lines.select("h1", "h2", "first"), "h1"), "members")
     heads = members.groupBy("key").agg(F.min(F.struct("first", "h1", "h2")).alias("head"))
     pairs = members.join(heads, "key").where("first <> head.first").select("h1", "h2", F.col("head.h1").alias("e1"), F.col("head.h2").alias("e2")).distinct()
     text = lines.select("h1", "h2", "line").distinct()
@@ -117,9 +122,9 @@ def _dedup(docs: DataFrame) -> DataFrame:
     row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("row")
     docs = docs.select("doc_id", "text", row)
     n = (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("int")
-    found = _lines(docs).withColumn("n", n)
-    told = F.struct(_ord("doc_id", "pos").alias("first"), "n", F.array(*_halves(F.col("line"), F.col("n"))).alias("halves"))
-    distinct = found.select("h1", "h2", told.alias("told")).groupBy("h1", "h2").agg(F.min("told").alias("told"), F.count(F.lit(1)).alias("times"))
+    found = _lines(docs)
+    told = F.struct(_ord("doc_id", "pos").alias("first"), "n", "halves")
+    distinct = _halves(found.withColumn("n", n)).select("h1", "h2", told.alias("told")).groupBy("h1", "h2").agg(F.min("told").alias("told"), F.count(F.lit(1)).alias("times"))
     distinct = cut(distinct.select("h1", "h2", "told.*", "times"), "distinct")
     near = cut(_near(distinct, docs), "near")
     marked = distinct.select("h1", "h2", "first", "times").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
