@@ -59,15 +59,19 @@ def overlaps(prints: DataFrame, threshold: float = 0.3) -> DataFrame:
     return met.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def pair_jaccard(lines: DataFrame, group: DataFrame) -> DataFrame:
-    """(a, b, common, jaccard) of all tests of a group(test_case_id, group) that share a line, by counting common lines: the
-    join on the line lets only pairs meet that have one."""
-    keyed = lines.join(group, "test_case_id").select("group", "test_case_id", "file", "line")
-    a, b = keyed.withColumnRenamed("test_case_id", "a"), keyed.withColumnRenamed("test_case_id", "b")
-    common = a.join(b, ["group", "file", "line"]).where("a < b").groupBy("group", "a", "b").agg(F.count(F.lit(1)).alias("common"))
+def pair_jaccard(lines: DataFrame, tests: DataFrame) -> DataFrame:
+    """lines, tests(test_case_id, group, more...) -> (group, a, b, common, jaccard, more_a..., more_b...) of all tests of a group
+    that share a line, by counting common lines: the join on the line lets only pairs meet that have one.
+
+    What belongs to a test travels with its lines, which are fewer than pairs, so pairs are shuffled once, for their count."""
+    more = [c for c in tests.columns if c not in ("test_case_id", "group")]
     sizes = lines.groupBy("test_case_id").agg(F.count(F.lit(1)).alias("n"))
-    out = common.join(sizes.withColumnsRenamed({"test_case_id": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"test_case_id": "b", "n": "nb"}), "b")
-    return out.select("group", "a", "b", "common", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("jaccard"))
+    keyed = lines.join(tests.join(sizes, "test_case_id"), "test_case_id")
+    sides = [keyed.select("group", "file", "line", F.col("test_case_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", *more)]) for s in ("a", "b")]
+    carried = [f"{c}_{s}" for s in ("a", "b") for c in ("n", *more)]
+    common = sides[0].join(sides[1], ["group", "file", "line"]).where("a < b").groupBy("group", "a", "b").agg(F.count(F.lit(1)).alias("common"), *[F.max(c).alias(c) for c in carried])
+    jaccard_ = F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
+    return common.select("group", "a", "b", "common", jaccard_.alias("jaccard"), *[f"{c}_{s}" for s in ("a", "b") for c in more])
 
 
 def weighted_minhash(lines: DataFrame, requested: DataFrame, n: int = PERMUTATIONS, skip_shared: bool = True, use_idf: bool = True) -> DataFrame:

@@ -41,10 +41,9 @@ def joined(c: str):
 def flagship_overlap(spark, sf_dir):
     """Pairwise coverage overlap of the tests of each run, with each test's uniqueness and the pair's level."""
     tests, lines = load(spark, sf_dir, "tests"), load(spark, sf_dir, "lines")
-    pairs = sketch.pair_jaccard(lines, tests.select(F.col("id").alias("test_case_id"), F.col("test_run_id").alias("group")))
     uniq = store.uniqueness(lines).select("test_case_id", "uniqueness")
-    out = pairs.join(uniq.withColumnsRenamed({"test_case_id": "a", "uniqueness": "uniqueness_a"}), "a").join(uniq.withColumnsRenamed({"test_case_id": "b", "uniqueness": "uniqueness_b"}), "b")
-    return rounded(out.select(F.col("group").alias("run_id"), "a", "b", "common", "jaccard", "uniqueness_a", "uniqueness_b", S.level(F.col("jaccard")).alias("level")))
+    pairs = sketch.pair_jaccard(lines, tests.select(F.col("id").alias("test_case_id"), F.col("test_run_id").alias("group")).join(uniq, "test_case_id"))
+    return rounded(pairs.select(F.col("group").alias("run_id"), "a", "b", "common", "jaccard", "uniqueness_a", "uniqueness_b", S.level(F.col("jaccard")).alias("level")))
 
 
 @register("p01_find_many", ctes("tests") + "SELECT id, path, method FROM tests WHERE id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
