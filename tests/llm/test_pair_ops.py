@@ -114,7 +114,7 @@ class TestSimhash:
         rng = np.random.default_rng(0)
         for _ in range(5):
             t = simhash.allocate([rng.integers(0, int(rng.integers(1, 50)), 1 << 6) for _ in range(4)])
-            assert sum(t) == simhash.RADIUS - 4 + 1 and min(t) >= -1
+            assert sum(t) >= simhash.RADIUS - 4 + 1 and min(t) >= -1
 
     def test_uneven_thresholds_find_all(self, spark, monkeypatch):
         rng = random.Random(7)
@@ -130,7 +130,44 @@ class TestSimhash:
         far = rng.integers(0, 1 << 62, 50).astype(np.uint64)
         every = np.unique(np.concatenate([fps, far]))
         want = self.brute([int(x) for x in every])
-        assert simhash._roots_of_group(every, 3, block=64).tolist() == want
+        assert simhash._roots_of_group(every[:, None], simhash.STRICT, block=64).tolist() == want
+
+    def test_similar_texts_against_brute_force(self, spark):
+        w = Words(9)
+        base = [w.text(120) for _ in range(25)]
+        texts = base + [w.changed(t, n) for t in base for n in (1, 2, 4, 9, 20)] + ODD + ["one two three", "one two three four five"]
+        rule = simhash.similar_rule()
+        docs = frame(spark, texts)
+        made = {r["doc_id"]: [np.uint64(r[c] % (1 << 64)) for c in rule.columns] for r in simhash.fingerprints(docs, rule=rule).collect()}
+        x = np.array([made[i] for i in range(len(texts))], np.uint64)
+        assert [int(f) for f in x[:, 0]] == [fingerprint(t) for t in texts]
+        near = rule.near(x[:, None], x[None])
+        label = roots(len(texts), zip(*(k.tolist() for k in np.nonzero(near))))
+        got = {r["doc_id"]: r["rep"]["doc_id"] for r in simhash.near_duplicates(docs, rule).collect()}
+        assert got == dict(enumerate(label))
+
+        def similarity(a, b):
+            a, b = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+            return len(a & b) / len(a | b)
+
+        pairs = [(i, j, similarity(texts[i], texts[j])) for i in range(25) for j in range(25, 150)]
+        high, low = [p for p in pairs if p[2] >= 0.85], [p for p in pairs if p[2] < 0.5]
+        assert len(high) > 30 and sum(bool(near[i, j]) for i, j, _ in high) >= 0.9 * len(high)
+        assert sum(bool(near[i, j]) for i, j, _ in low) <= 0.002 * len(low)
+
+    @pytest.mark.parametrize("most", [1 << 14, 60])
+    def test_wide_radius_in_a_dense_group(self, spark, most):
+        rng = random.Random(4)
+        rows = set()
+        for c in [[rng.getrandbits(64) for _ in range(3)] for _ in range(20)]:
+            for _ in range(15 if len(rows) else 150):
+                rows.add(tuple(x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 7))) for x in c))
+        rows = sorted(rows)
+        signed = [tuple(x - (1 << 64) if x >> 63 else x for x in r) for r in rows]
+        rule, x = simhash.similar_rule(), np.array(rows, np.uint64)
+        node = {int(n): i for i, n in enumerate(rule.nodes(x))}
+        edges = [(node[r["a"]], node[r["b"]]) for r in simhash.link(spark.createDataFrame(signed, "fp long, s0 long, s1 long"), rule, most).collect()]
+        assert roots(len(rows), edges) == roots(len(rows), zip(*(k.tolist() for k in np.nonzero(rule.near(x[:, None], x[None])))))
 
     def test_stage(self, spark):
         w = Words(3)

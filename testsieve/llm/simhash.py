@@ -6,6 +6,13 @@ thresholds are set by dynamic programming over estimated candidate counts, taken
 values. Each distinct fingerprint is sent to its part values (and those within t_i bits), rows that meet are verified by
 their full distance inside the task, and only a spanning set of links leaves it, so a group of n copies gives O(n) rows.
 
+Two rules share this. op10 links fingerprints of 3-word shingles that differ in at most 3 bits. The pipeline's stage also links
+texts whose five-word shingles are similar to 0.8 or more: they are probed by the same fingerprints within NEAR_RADIUS bits (of
+pairs of that similarity some 99 in 100 lie within it) and verified by two more SimHashes, of the five-word shingles, whose
+distance stands for the similarity (128 bits; those of unrelated texts differ in 64 on average, the bound is 19).
+
+Thresholds of 2k - 1 and 2k are probed by sending each fingerprint to all values within k bits, so two meet half way.
+
 A value that more than `most` distinct fingerprints share is divided again: its members differ in at most r of the free bits,
 so of r + 1 blocks of free bits one must be equal. That repeats until groups are small; no row or pair is dropped.
 
@@ -15,6 +22,7 @@ give repeated result rows; null doc_id is carried through and never is a compone
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 from itertools import combinations
 
@@ -24,13 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, LOWER, cut, fresh_name, read_table, spans, utf8, with_batch_rows
+from .common import CHUNK_BYTES, LOWER, cut, fresh_name, mix, read_table, spans, utf8, with_batch_rows
 from .components import components
 
 RADIUS, PARTS, WIDTH = 3, 4, 16
-#: Distinct fingerprints that one task compares with one another, and how often larger groups are divided. What is larger even
-#: then (so many fingerprints that agree in all but a dozen bits can't be) is compared in one task, in blocks.
-GROUP_MOST, LEVELS = 1 << 14, 6
+NEAR_RADIUS, NEAR_WORDS, NEAR_SIMILARITY = 11, 5, 0.8
+#: Distinct prints that one task compares with one another, and the sets of bits by which larger groups are divided, again and
+#: again. What is larger even then is compared in one task, in blocks.
+GROUP_MOST, MASKS_MOST = 1 << 14, 1 << 14
 
 
 def _hashes(text: bytes, words: int, seed: int) -> list[int]:
@@ -48,42 +57,82 @@ def _hashes(text: bytes, words: int, seed: int) -> list[int]:
     return [digest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :])]
 
 
-def _majority(hashes: list[int], lengths: list[int]) -> np.ndarray:
+def _majority(hashes: np.ndarray, lengths: list[int]) -> np.ndarray:
     """Of each run of hashes: the bits that are set in more than half of it."""
     out = np.zeros(len(lengths), np.uint64)
     lens = np.array(lengths)
     full = np.flatnonzero(lens)
     if len(full):
-        bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         begins = np.cumsum(lens[full]) - lens[full]
         counts = np.stack([bits[a : a + n].sum(axis=0, dtype=np.int64) for a, n in zip(begins, lens[full])])
         out[full] = np.packbits(2 * counts > lens[full, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
-def _fingerprint(batches: Iterator[pa.RecordBatch], words: int, seed: int) -> Iterator[pa.RecordBatch]:
+@dataclass(frozen=True)
+class Rule:
+    """Which prints are linked: columns fp (and s0, s1) of a row; fp within `strict` bits, or within `radius` bits with s0 and s1
+    within `limit` bits together."""
+
+    radius: int = RADIUS
+    strict: int = RADIUS
+    limit: int | None = None
+
+    @property
+    def columns(self) -> list[str]:
+        return ["fp"] if self.limit is None else ["fp", "s0", "s1"]
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """a, b: (..., columns) of unsigned 64-bit numbers."""
+        apart = np.bitwise_count(a[..., 0] ^ b[..., 0])
+        if self.limit is None:
+            return apart <= self.radius
+        apart2 = np.bitwise_count(a[..., 1] ^ b[..., 1]) + np.bitwise_count(a[..., 2] ^ b[..., 2])
+        return (apart <= self.strict) | ((apart <= self.radius) & (apart2 <= self.limit))
+
+    def nodes(self, prints: np.ndarray) -> np.ndarray:
+        """One number for each print: the fingerprint itself, or a hash of all columns."""
+        out = prints[:, 0]
+        for k in range(1, prints.shape[1]):
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) ^ prints[:, k])
+        return np.ascontiguousarray(out).view(np.int64)
+
+
+STRICT = Rule()
+
+
+def similar_rule(similarity: float = NEAR_SIMILARITY, radius: int = NEAR_RADIUS) -> Rule:
+    """The Jaccard similarity of shingle sets as an angle of their vectors, and that as a share of 128 bits."""
+    cosine = 2 * similarity / (1 + similarity)
+    return Rule(radius, RADIUS, int(128 * np.arccos(cosine) / np.pi))
+
+
+def _fingerprint(batches: Iterator[pa.RecordBatch], words: int, seed: int, rule: Rule) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
-        prints = []
+        prints = [np.zeros((0, len(rule.columns)), np.uint64)]
         for a, b in spans(offsets, CHUNK_BYTES // 2):
             low = LOWER[data[offsets[a] : offsets[b]]].tobytes()
             at = (offsets[a : b + 1] - offsets[a]).tolist()
-            hashes, lengths = [], []
-            for s, e in zip(at, at[1:]):
-                got = _hashes(low[s:e], words, seed)
-                lengths.append(len(got))
-                hashes += got
-            prints.append(_majority(hashes, lengths))
-        fp = np.concatenate(prints).view(np.int64) if prints else np.zeros(0, np.int64)
-        rest = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "text"]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(fp)], [n for n in batch.schema.names if n != "text"] + ["fp"])
-
-
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs(key..., text) -> (key..., fp long)."""
+            texts, columns = [low[s:e] for s, e in zip(at, at[1:])], []
+            for width in [words] if rule.limit is None else [words, NEAR_WORDS]:
+                each = [_hashes(t, width, seed) for t in texts]
+                lengths, hashes = [len(h) for h in each], np.array([x for h in each for x in h], np.uint64)
+                columns += [_majority(hashes, lengths)] if not columns else [_majority(mix(hashes ^ np.uint64(k)), lengths) for k in (0x243F6A8885A308D3, 0x13198A2E03707344)]
+            prints.append(np.stack(columns, axis=1))
+        made = np.concatenate(prints)
+        rest = [i for i, n in enumerate(batch.schema.names) if n != "text"]
+        columns = [pa.array(np.ascontiguousarray(made[:, k]).view(np.int64)) for k in range(made.shape[1])]
+        names = [batch.schema.names[i] for i in rest] + rule.columns
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), *columns, pa.array(rule.nodes(made))], [*names, "node"])
+
+
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, key: tuple[str, ...] = ("doc_id",), rule: Rule = STRICT) -> DataFrame:
+    """docs(key..., text) -> (key..., fp long, more of the rule's columns, node long)."""
     kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", fp long"
-    return with_batch_rows(docs).select(*key, "text").mapInArrow(partial(_fingerprint, words=words, seed=seed), schema)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in key), *(f"{c} long" for c in rule.columns), "node long"])
+    return with_batch_rows(docs).select(*key, "text").mapInArrow(partial(_fingerprint, words=words, seed=seed, rule=rule), schema)
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -125,6 +174,16 @@ def _flips(bits: list[int], most: int) -> list[int]:
     return [_mask(list(c)) for k in range(most + 1) for c in combinations(bits, k)]
 
 
+def _met(histogram: np.ndarray, within: int) -> np.ndarray:
+    """How many prints are sent to each value if each goes to all values within so many bits."""
+    at, width = np.arange(len(histogram)), len(histogram).bit_length() - 1
+    return sum(histogram[at ^ sum(1 << b for b in c)] for k in range(within + 1) for c in combinations(range(width), k))
+
+
+#: Thresholds beyond this would be probed by too many values.
+THRESHOLD_MOST = 4
+
+
 def allocate(histograms: list[np.ndarray], radius: int = RADIUS) -> list[int]:
     """The thresholds of the parts, least in estimated cost: compared pairs and sent rows.
 
@@ -132,12 +191,10 @@ def allocate(histograms: list[np.ndarray], radius: int = RADIUS) -> list[int]:
     parts = len(histograms)
     costs = []
     for h in histograms:
-        width, met, cost = len(h).bit_length() - 1, h.astype(float), {-1: 0.0}
-        at = np.arange(len(h))
-        for t in range(radius + 1):
-            if t:
-                for c in combinations(range(width), t):
-                    met = met + h[at ^ sum(1 << b for b in c)]
+        cost = {-1: 0.0}
+        for t in range(min(radius, THRESHOLD_MOST) + 1):
+            if t == 0 or t % 2:
+                met = _met(h, (t + 1) // 2).astype(float)
             cost[t] = float((met * met).sum() + 20 * met.sum())
         costs.append(cost)
     best = {0: (0.0, [])}
@@ -148,7 +205,8 @@ def allocate(histograms: list[np.ndarray], radius: int = RADIUS) -> list[int]:
                 if s + t not in then or c + more < then[s + t][0]:
                     then[s + t] = (c + more, [*ts, t])
         best = then
-    return best[radius - parts + 1][1]
+    # any sum from there on covers the radius
+    return min((found for s, found in best.items() if s >= radius - parts + 1), key=lambda f: f[0])[1]
 
 
 def _part_values(batches: Iterator[pa.RecordBatch], parts: list[list[int]]) -> Iterator[pa.RecordBatch]:
@@ -175,14 +233,14 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = then
 
 
-def _roots_of_group(fps: np.ndarray, radius: int, block: int = 512) -> np.ndarray:
+def _roots_of_group(prints: np.ndarray, rule: Rule, block: int = 512) -> np.ndarray:
     """As _roots, over all pairs of one large group, a block of rows at a time: memory doesn't grow with the group's square."""
-    label, big = np.arange(len(fps)), len(fps)
-    block = max(1, min(block, (1 << 24) // max(1, big)))
+    label, big = np.arange(len(prints)), len(prints)
+    block = max(1, min(block, (1 << 22) // max(1, big)))
     while True:
         before = label.copy()
-        for s in range(0, len(fps), block):
-            near = np.bitwise_count(fps[s : s + block, None] ^ fps[None, :]) <= radius
+        for s in range(0, len(prints), block):
+            near = rule.near(prints[s : s + block, None], prints[None])
             least = np.where(near, label[None, :], big).min(axis=1)
             label = np.minimum(label, np.where(near, least[:, None], big).min(axis=0))
             label = label[label]
@@ -190,45 +248,48 @@ def _roots_of_group(fps: np.ndarray, radius: int, block: int = 512) -> np.ndarra
             return label
 
 
-def _link_runs(mask: np.ndarray, value: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (a, b) of the fingerprints that share mask and value and lie within the radius. Rows: sorted by both."""
-    n = len(fps)
+def _link_runs(mask: np.ndarray, value: np.ndarray, prints: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (a, b) of the nodes that share mask and value and are linked by the rule. Rows: sorted by both."""
+    n = len(prints)
     begins = np.flatnonzero(np.concatenate([[True], (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])]))
     ends = np.append(begins[1:], n)
     out_a, out_b = [], []
     for s, e in zip(begins[ends - begins > 256], ends[ends - begins > 256]):
-        root = _roots_of_group(fps[s:e], radius) + s
         out_a.append(np.arange(s, e))
-        out_b.append(root)
+        out_b.append(_roots_of_group(prints[s:e], rule) + s)
     small = np.repeat(ends - begins <= 256, ends - begins)
     left = np.repeat(ends, ends - begins)
     rows, step, a, b = np.flatnonzero(small), 1, [], []
     while len(rows := rows[rows + step < left[rows]]):
-        near = rows[np.bitwise_count(fps[rows] ^ fps[rows + step]) <= radius]
+        # the first column decides nearly always
+        close = rows[np.bitwise_count(prints[rows, 0] ^ prints[rows + step, 0]) <= rule.radius]
+        near = close[rule.near(prints[close], prints[close + step])]
         a.append(near)
         b.append(near + step)
         step += 1
-    if a and len(pa_ := np.concatenate(a)):
-        root = _roots(n, pa_, np.concatenate(b))
+    if a and len(first := np.concatenate(a)):
+        root = _roots(n, first, np.concatenate(b))
         moved = np.flatnonzero(root != np.arange(n))
         out_a.append(moved)
         out_b.append(root[moved])
     if not out_a:
-        return fps[:0], fps[:0]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b = np.concatenate(out_a), np.concatenate(out_b)
-    return fps[a[a != b]], fps[b[a != b]]
+    a, b = a[a != b], b[a != b]
+    return rule.nodes(prints[a]), rule.nodes(prints[b])
 
 
-def _link(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+def _link(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (mask, value); the last, maybe unfinished, group of a batch waits for the next."""
     held = None
 
-    def out(mask, value, fps):
-        a, b = _link_runs(mask, value, np.ascontiguousarray(fps).view(np.uint64), radius)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+    def out(mask, value, *columns):
+        prints = np.stack(columns, axis=1).view(np.uint64)
+        a, b = _link_runs(mask, value, prints, rule)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     for batch in batches:
-        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("mask", "value", "fp")]
+        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("mask", "value", *rule.columns)]
         if held is not None:
             now = [np.concatenate(x) for x in zip(held, now)]
         if not len(now[0]):
@@ -242,24 +303,24 @@ def _link(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordB
         yield out(*held)
 
 
-def _divide(rows: DataFrame, masks: list[int], radius: int) -> tuple[DataFrame, list[int]]:
-    """Rows of too large groups, sent on to radius + 1 blocks of the bits that their mask leaves free."""
-    blocks = {}
+def _divide(rows: DataFrame, masks: list[int], rule: Rule) -> tuple[DataFrame, list[int]]:
+    """Rows of too large groups, sent on to radius + 1 blocks of the bits that their mask leaves free. The table of blocks has
+    at most MASKS_MOST rows."""
+    parts = rule.radius + 1
+    blocks = []
     for m in masks:
         free = [i for i in range(64) if not (m >> i) & 1]
-        cuts = [len(free) * k // (radius + 1) for k in range(radius + 2)]
-        blocks[m] = [_mask(free[a:b]) for a, b in zip(cuts, cuts[1:]) if b > a]
-    more = F.lit(None).cast("array<bigint>")
-    for m, bs in blocks.items():
-        more = F.when(F.col("mask") == m, F.array(*[F.lit(b).cast("bigint") for b in bs])).otherwise(more)
-    out = rows.select(F.explode(more).alias("b"), "mask", "value", "fp").select(
-        F.col("mask").bitwiseOR(F.col("b")).alias("mask"), F.col("value").bitwiseOR(F.col("fp").bitwiseAND(F.col("b"))).alias("value"), "fp"
+        cuts = [len(free) * k // parts for k in range(parts + 1)]
+        blocks += [(m, _mask(free[a:b])) for a, b in zip(cuts, cuts[1:]) if b > a]
+    table = rows.sparkSession.createDataFrame(blocks, "mask long, block long")
+    out = rows.join(F.broadcast(table), "mask").select(
+        F.col("mask").bitwiseOR(F.col("block")).alias("mask"), F.col("value").bitwiseOR(F.col("fp").bitwiseAND(F.col("block"))).alias("value"), *rule.columns
     )
-    return out, sorted({m | b for m, bs in blocks.items() for b in bs})
+    return out, sorted({m | b for m, b in blocks})
 
 
-def link(prints: DataFrame, radius: int = RADIUS, most: int = GROUP_MOST) -> DataFrame:
-    """prints(fp), distinct -> links (a, b) that connect just those fingerprints that chains of steps within radius connect."""
+def link(prints: DataFrame, rule: Rule = STRICT, most: int = GROUP_MOST) -> DataFrame:
+    """prints (the rule's columns), distinct -> links (a, b) of nodes that connect just those that chains of the rule connect."""
     counts = np.zeros(65 * 65)
     for r in prints.mapInArrow(_together, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # 4,225 rows
         counts[r["cell"]] = r["n"]
@@ -268,38 +329,39 @@ def link(prints: DataFrame, radius: int = RADIUS, most: int = GROUP_MOST) -> Dat
     # at most parts * 2**16 rows, however many fingerprints
     for r in prints.mapInArrow(partial(_part_values, parts=parts), "part int, value long, n long").groupBy("part", "value").agg(F.sum("n").alias("n")).collect():
         histograms[r["part"]][r["value"]] = r["n"]
-    probes = [(_mask(p), f) for p, t in zip(parts, allocate(histograms, radius)) if t >= 0 for f in _flips(p, t)]
+    ways = [(t + 1) // 2 if t >= 0 else -1 for t in allocate(histograms, rule.radius)]
+    probes = [(_mask(p), f) for p, k in zip(parts, ways) for f in _flips(p, k)]
     sent = F.explode(F.array(*[F.struct(F.lit(m).cast("bigint").alias("m"), F.lit(f).cast("bigint").alias("f")) for m, f in probes]))
-    rows = prints.select("fp", sent.alias("p")).select(F.col("p.m").alias("mask"), F.col("fp").bitwiseAND(F.col("p.m")).bitwiseXOR(F.col("p.f")).alias("value"), "fp")
+    rows = prints.select(*rule.columns, sent.alias("p")).select(F.col("p.m").alias("mask"), F.col("fp").bitwiseAND(F.col("p.m")).bitwiseXOR(F.col("p.f")).alias("value"), *rule.columns)
     masks, edges = sorted({m for m, _ in probes}), None
-    largest = most + 1 if len(probes) > len(parts) else max(int(h.max()) for h in histograms)
-    for level in range(LEVELS + 1):
-        if largest > most and level < LEVELS:
+    # how many rows meet at a value follows from the histograms
+    largest = max(int(_met(h, k).max()) for h, k in zip(histograms, ways) if k >= 0)
+    while True:
+        if largest > most and len(masks) * (rule.radius + 1) <= MASKS_MOST:
             large = rows.groupBy("mask", "value").count().where(F.col("count") > most).select("mask", "value")
             fit, rest = rows.join(large, ["mask", "value"], "left_anti"), rows.join(large, ["mask", "value"], "left_semi")
         else:
             fit, rest = rows, None
-        got = fit.repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(partial(_link, radius=radius), "a long, b long")
+        got = fit.repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(partial(_link, rule=rule), "a long, b long")
         edges = got if edges is None else edges.union(got)
         masks = [m for m in masks if m != -1]
         if rest is None or not masks or rest.isEmpty():
-            break
-        rows, masks = _divide(rest, masks, radius)
-    return edges
+            return edges
+        rows, masks = _divide(rest, masks, rule)
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = 3, seed: int = 42, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def near_duplicates(docs: DataFrame, rule: Rule = STRICT, words: int = 3, seed: int = 42, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """docs(key..., text) -> (key..., fp long, rep): rep is the struct of the smallest key that is reachable by links.
 
     The key's first column orders first; null keys come last."""
-    prints = cut(fingerprints(docs, words, seed, key), "prints")
+    prints = cut(fingerprints(docs, words, seed, key, rule), "prints")
     order = F.struct(F.col(key[0]).isNull().alias("last"), *key)
-    distinct = cut(prints.groupBy("fp").agg(F.min(order).alias("least")), "distinct")
-    roots = components(link(distinct.select("fp"), radius))
-    classes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    distinct = cut(prints.groupBy(*rule.columns, "node").agg(F.min(order).alias("least")), "distinct")
+    roots = components(link(distinct.select(*rule.columns), rule))
+    classes = distinct.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     reps = classes.groupBy("root").agg(F.min("least").alias("rep"))
-    by_print = classes.select("fp", "root").join(reps, "root").select("fp", F.struct(*[F.col("rep")[k].alias(k) for k in key]).alias("rep"))
-    return prints.join(by_print, "fp").select(*key, "fp", "rep")
+    by_node = classes.select("node", "root").join(reps, "root").select("node", F.struct(*[F.col("rep")[k].alias(k) for k in key]).alias("rep"))
+    return prints.select(*key, "fp", "node").join(by_node, "node").select(*key, "fp", "rep")
 
 
 def op10_simhash_neardup(spark, sf_dir: str) -> DataFrame:
@@ -309,8 +371,9 @@ def op10_simhash_neardup(spark, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without the near copies: of each component the row of the smallest doc_id stays, of repeated rows one."""
+    """docs without the near copies: of each component the row of the smallest doc_id stays, of repeated rows one. Copies are
+    what op10 links, and texts whose five-word shingles are similar to 0.8 or more."""
     uid = fresh_name(docs, "uid")
     rows = docs.withColumn(uid, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    kept = near_duplicates(rows, key=("doc_id", uid)).where((F.col("doc_id").eqNullSafe(F.col("rep.doc_id"))) & (F.col(uid) == F.col("rep")[uid]))
+    kept = near_duplicates(rows, similar_rule(), key=("doc_id", uid)).where((F.col("doc_id").eqNullSafe(F.col("rep.doc_id"))) & (F.col(uid) == F.col("rep")[uid]))
     return rows.join(kept.select(uid).distinct(), uid, "left_semi").dropDuplicates([uid]).select(*[F.col(f"`{c}`") for c in docs.columns])
