@@ -155,6 +155,34 @@ class TestSimhash:
         assert len(high) > 30 and sum(bool(near[i, j]) for i, j, _ in high) >= 0.9 * len(high)
         assert sum(bool(near[i, j]) for i, j, _ in low) <= 0.002 * len(low)
 
+    @staticmethod
+    def shingle_set(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    def edited(self, w, text, n, block):
+        words = text.split()
+        at = w.rng.randrange(len(words) - n) if block else None
+        for i in range(at, at + n) if block else w.rng.sample(range(len(words)), n):
+            words[i] = w.rng.choice(w.words)
+        return " ".join(words)
+
+    @pytest.mark.parametrize("block", [1000, 2])
+    def test_similar_duplicates_at_the_bound(self, spark, monkeypatch, block):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        w = Words(21)
+        base = [w.text(300) for _ in range(100)]
+        texts = base + [self.edited(w, t, w.rng.randint(4, 10), False) for t in base] + [self.edited(w, t, w.rng.randint(20, 50), True) for t in base]
+        middle = w.text(200)
+        texts += [middle, *(self.edited(w, middle, 3, False) for _ in range(12))]
+        sets = [self.shingle_set(t) for t in texts]
+        like = [(i, j, len(a & b) / len(a | b)) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a & b]
+        assert sum(0.8 <= s < 0.85 for _, _, s in like) > 20 and sum(0.7 <= s < 0.8 for _, _, s in like) > 40
+        prints = [fingerprint(t) for t in texts]
+        want = roots(len(texts), [(i, j) for i, j, s in like if s >= 0.8 or (prints[i] ^ prints[j]).bit_count() <= 3])
+        got = {r["doc_id"]: r["rep"]["doc_id"] for r in simhash.similar_duplicates(frame(spark, texts)).collect()}
+        assert got == dict(enumerate(want))
+
     @pytest.mark.parametrize("most", [1 << 14, 60])
     def test_wide_radius_in_a_dense_group(self, spark, most):
         rng = random.Random(4)

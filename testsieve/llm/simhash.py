@@ -6,10 +6,15 @@ thresholds are set by dynamic programming over estimated candidate counts, taken
 values. Each distinct fingerprint is sent to its part values (and those within t_i bits), rows that meet are verified by
 their full distance inside the task, and only a spanning set of links leaves it, so a group of n copies gives O(n) rows.
 
-Two rules share this. op10 links fingerprints of 3-word shingles that differ in at most 3 bits. The pipeline's stage also links
-texts whose five-word shingles are similar to 0.8 or more: they are probed by the same fingerprints within NEAR_RADIUS bits (of
-pairs of that similarity some 99 in 100 lie within it) and verified by two more SimHashes, of the five-word shingles, whose
-distance stands for the similarity (128 bits; those of unrelated texts differ in 64 on average, the bound is 19).
+Two rules share this. op10 links fingerprints of 3-word shingles that differ in at most 3 bits. similar_rule() links estimates
+of similar texts by a second print; the pipeline doesn't use it.
+
+The pipeline's stage links what op10 links, and all texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
+more. Prints only find candidates there: BANDS bands of ROWS minimum hashes over the five-word shingles, of which a pair of
+similarity s shares one with probability 1 - (1 - s**ROWS)**BANDS, 0.99995 at 0.8 wherever the edits stand, and then at most
+SKETCH_LIMIT of the minima's bits may differ (4 deviations at 0.8). Within the components of the candidates links are verified
+by the shingle sets themselves: all members with the component's first, then those that it doesn't link with all others, by
+blocks of BLOCK members.
 
 Thresholds of 2k - 1 and 2k are probed by sending each fingerprint to all values within k bits, so two meet half way.
 
@@ -37,6 +42,8 @@ from .components import components
 
 RADIUS, PARTS, WIDTH = 3, 4, 16
 NEAR_RADIUS, NEAR_WORDS, NEAR_SIMILARITY = 11, 5, 0.8
+#: Minimum hashes that find candidates of NEAR_SIMILARITY, and the members of a component that one task compares with others.
+BANDS, ROWS, SKETCH_LIMIT, BLOCK = 25, 5, 26, 128
 #: Distinct prints that one task compares with one another, and the sets of bits by which larger groups are divided, again and
 #: again. What is larger even then is compared in one task, in blocks.
 GROUP_MOST, MASKS_MOST = 1 << 14, 1 << 14
@@ -350,20 +357,179 @@ def link(prints: DataFrame, rule: Rule = STRICT, most: int = GROUP_MOST) -> Data
         rows, masks = _divide(rest, masks, rule)
 
 
-def near_duplicates(docs: DataFrame, rule: Rule = STRICT, words: int = 3, seed: int = 42, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs(key..., text) -> (key..., fp long, rep): rep is the struct of the smallest key that is reachable by links.
+_FLIPS, _TIMES = (mix(np.arange(1 + k, 1 + k + 2 * BANDS * ROWS, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for k in (0, 1))
+_TIMES |= np.uint64(1)
 
-    The key's first column orders first; null keys come last."""
-    prints = cut(fingerprints(docs, words, seed, key, rule), "prints")
-    order = F.struct(F.col(key[0]).isNull().alias("last"), *key)
-    distinct = cut(prints.groupBy(*rule.columns, "node").agg(F.min(order).alias("least")), "distinct")
-    roots = components(link(distinct.select(*rule.columns), rule))
+
+@dataclass(frozen=True)
+class Sketched(Rule):
+    """Candidates: s0 and s1 within `limit` bits together. Columns: node, s0, s1."""
+
+    radius: int = 64
+    limit: int | None = SKETCH_LIMIT
+
+    @property
+    def columns(self) -> list[str]:
+        return ["node", "s0", "s1"]
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(a[..., 1] ^ b[..., 1]) + np.bitwise_count(a[..., 2] ^ b[..., 2]) <= self.limit
+
+    def nodes(self, prints: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(prints[:, 0]).view(np.int64)
+
+
+def _minima(hashes: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each run of hashes: the keys of its bands, and two numbers of one bit of each minimum. Runs are not empty."""
+    begins = np.cumsum(lengths) - np.array(lengths, np.int64)
+    least = np.stack([np.minimum.reduceat((hashes ^ x) * m, begins) for x, m in zip(_FLIPS, _TIMES)])
+    bands = np.zeros((BANDS, len(lengths)), np.uint64)
+    for k in range(ROWS):
+        bands = mix(bands * np.uint64(0x100000001B3) + least[k::ROWS])
+    bits = np.zeros((128, len(lengths)), np.uint8)
+    bits[: len(least)] = mix(least) & np.uint64(1)
+    return bands.T, np.ascontiguousarray(np.packbits(bits, axis=0, bitorder="little").T).view(np.uint64)
+
+
+def _lowered(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
+    data, offsets = utf8(batch.column("text"))
+    for a, b in spans(offsets, CHUNK_BYTES // 2):
+        low = LOWER[data[offsets[a] : offsets[b]]].tobytes()
+        at = (offsets[a : b + 1] - offsets[a]).tolist()
+        yield [low[s:e] for s, e in zip(at, at[1:])]
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], words: int, seed: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made, bands = [np.zeros((0, 4), np.uint64)], []
+        for texts in _lowered(batch):
+            each = [_hashes(t, words, seed) for t in texts]
+            fp = _majority(np.array([x for h in each for x in h], np.uint64), [len(h) for h in each])
+            sets = [np.unique(np.array(_hashes(t, NEAR_WORDS, seed), np.uint64)) for t in texts]
+            of = [i for i, x in enumerate(sets) if len(x)]
+            part, keys = np.zeros((len(texts), 4), np.uint64), [[]] * len(texts)
+            part[:, 0], part[:, 1] = fp, [mix(x).sum(dtype=np.uint64) for x in sets]
+            if of:
+                found, part[of, 2:] = _minima(np.concatenate([sets[i] for i in of]), [len(sets[i]) for i in of])
+                for i, k in zip(of, np.ascontiguousarray(found).view(np.int64).tolist()):
+                    keys[i] = k
+            made.append(part)
+            bands += keys
+        prints = np.concatenate(made)
+        # texts of one fingerprint and one set of shingles are one node
+        node = mix(mix(prints[:, 0]) * np.uint64(0x9E3779B97F4A7C15) ^ prints[:, 1])
+        columns = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (prints[:, 0], prints[:, 2], prints[:, 3], node)]
+        rest = [i for i, n in enumerate(batch.schema.names) if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), *columns, pa.array(bands, pa.list_(pa.int64()))], [*(batch.schema.names[i] for i in rest), "fp", "s0", "s1", "node", "bands"])
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.unique(np.array(_hashes(t, NEAR_WORDS, seed), np.uint64)).view(np.int64) for texts in _lowered(batch) for t in texts]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("root"), pa.array(sets, pa.list_(pa.int64()))], ["node", "root", "shingles"])
+
+
+def _compare(table: pa.Table, similarity: float) -> pa.Table:
+    """Spanning links (a, b) of a block: each row that is `open` is compared with all others by the shingle sets."""
+    table = table.combine_chunks()
+    nodes, open_ = (table.column(c).to_numpy() for c in ("node", "open"))
+    sets = [np.asarray(x) for x in table.column("shingles").to_numpy()]
+    sizes = np.array([len(x) for x in sets])
+    begins, (known, flat) = np.cumsum(sizes) - sizes, np.unique(np.concatenate(sets), return_inverse=True)
+    a, b, mark = [], [], np.zeros(len(known), bool)
+    for i in np.flatnonzero(open_):
+        own = flat[begins[i] : begins[i] + sizes[i]]
+        mark[own] = True
+        common = np.add.reduceat(mark[flat], begins, dtype=np.int64)
+        mark[own] = False
+        near = np.flatnonzero(common / (sizes + sizes[i] - common) >= similarity)
+        a.append(np.full(len(near), i))
+        b.append(near)
+    root = _roots(len(nodes), np.concatenate(a), np.concatenate(b)) if a else np.arange(len(nodes))
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    return pa.table({"a": pa.array(nodes[moved], pa.int64()), "b": pa.array(nodes[root[moved]], pa.int64())})
+
+
+def _blocks(n: str):
+    return F.ceil(F.col(n) / BLOCK).cast("int")
+
+
+def _block(n: str):
+    return F.pmod(F.xxhash64("node"), _blocks(n)).cast("int")
+
+
+def _upto(n: str):
+    return F.sequence(F.lit(0), _blocks(n) - 1)
+
+
+def verified_links(sets: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """sets(node, root, shingles) of the members of candidate components, each root being a member -> links (a, b) that connect
+    just those that chains of pairs of so similar sets connect."""
+    sets = sets.join(sets.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root")
+    heads = sets.where("node = root").select("root", F.col("shingles").alias("head"), F.explode(_upto("n")).alias("block"))
+    met = sets.where("node <> root").withColumn("block", _block("n")).join(heads, ["root", "block"])
+    common = F.size(F.array_intersect("shingles", "head"))
+    met = cut(met.select("root", "node", "n", "shingles", (common / (F.size("shingles") + F.size("head") - common) >= similarity).alias("linked")), "met")
+    links = met.where("linked").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    left = met.where("not linked").groupBy("root").agg(F.count(F.lit(1)).alias("n_open"))
+    if left.isEmpty():
+        return links
+    rows = met.join(left, "root").withColumn("n_done", F.col("n") - 1 - F.col("n_open"))
+    one, two = F.lit(0).alias("kind"), F.lit(1).alias("kind")
+    fields = ["root", "node", "shingles"]
+    own = rows.where("not linked").withColumn("own", _block("n_open"))
+    keyed = own.select(*fields, F.lit(True).alias("open"), two, "own", F.explode(_upto("n_open")).alias("k"))
+    keyed = keyed.select(*fields, "open", "kind", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"))
+    keyed = keyed.union(own.where("n_done > 0").select(*fields, F.lit(True).alias("open"), one, F.explode(_upto("n_done")).alias("i"), F.col("own").alias("j")))
+    keyed = keyed.union(rows.where("linked").select(*fields, F.lit(False).alias("open"), one, _block("n_done").alias("i"), F.explode(_upto("n_open")).alias("j")))
+    found = keyed.groupBy("root", "kind", "i", "j").applyInArrow(lambda t: _compare(t, similarity), "a long, b long")
+    return links.union(found)
+
+
+def similar_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, key: tuple[str, ...] = ("doc_id",), similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """As near_duplicates, over what op10 links and texts whose five-word shingle sets are similar to `similarity` or more."""
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in key), *(f"{c} long" for c in ("fp", "s0", "s1", "node")), "bands array<bigint>"])
+    prints = cut(with_batch_rows(docs).select(*key, "text").mapInArrow(partial(_sketch, words=words, seed=seed), schema), "prints")
+    first = F.min(_order(key)).alias("least")
+    distinct = cut(prints.groupBy("node").agg(first, *[F.first(c).alias(c) for c in ("fp", "s0", "s1", "bands")]), "distinct")
+    by_fp = cut(distinct.groupBy("fp").agg(F.min("node").alias("node")), "by_fp")
+    strict = link(by_fp.select("fp"), STRICT)
+    strict = strict.join(by_fp.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b")
+    same = distinct.select("fp", F.col("node").alias("a")).join(by_fp, "fp").where("a <> node").select("a", F.col("node").alias("b"))
+    banded = distinct.select("node", "s0", "s1", F.posexplode("bands").alias("mask", "value"))
+    banded = banded.repartition("mask", "value").sortWithinPartitions("mask", "value").select("mask", "value", "node", "s0", "s1")
+    found = components(banded.mapInArrow(partial(_link, rule=Sketched()), "a long, b long"))
+    members = found.union(found.select(F.col("root").alias("node"), "root").distinct())
+    wanted = members.join(distinct.select("node", *[F.col("least")[k].alias(f"_{i}") for i, k in enumerate(key)]), "node")
+    on = [F.col(f"`{k}`").eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(key)]
+    sets = with_batch_rows(docs.select(*key, "text").join(wanted, on)).select("node", "root", "text").mapInArrow(partial(_shingle_sets, seed=seed), "node long, root long, shingles array<bigint>")
+    # equal rows bring the same text
+    sets = cut(sets.dropDuplicates(["node"]), "sets")
+    links = strict.select(F.col("na").alias("a"), F.col("nb").alias("b")).union(same).union(verified_links(sets, similarity))
+    return _with_reps(prints, distinct, components(links), key)
+
+
+def _order(key: tuple[str, ...]):
+    return F.struct(F.col(key[0]).isNull().alias("last"), *key)
+
+
+def _with_reps(prints: DataFrame, distinct: DataFrame, roots: DataFrame, key: tuple[str, ...]) -> DataFrame:
     classes = distinct.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     reps = classes.groupBy("root").agg(F.min("least").alias("rep"))
     by_node = classes.select("node", "root").join(reps, "root").select("node", F.struct(*[F.col("rep")[k].alias(k) for k in key]).alias("rep"))
     return prints.select(*key, "fp", "node").join(by_node, "node").select(*key, "fp", "rep")
 
 
+def near_duplicates(docs: DataFrame, rule: Rule = STRICT, words: int = 3, seed: int = 42, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """docs(key..., text) -> (key..., fp long, rep): rep is the struct of the smallest key that is reachable by links.
+
+    The key's first column orders first; null keys come last."""
+    prints = cut(fingerprints(docs, words, seed, key, rule), "prints")
+    distinct = cut(prints.groupBy(*rule.columns, "node").agg(F.min(_order(key)).alias("least")), "distinct")
+    return _with_reps(prints, distinct, components(link(distinct.select(*rule.columns), rule)), key)
+
+
 def op10_simhash_neardup(spark, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and the smallest doc_id of its component."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
@@ -372,8 +538,8 @@ def op10_simhash_neardup(spark, sf_dir: str) -> DataFrame:
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without the near copies: of each component the row of the smallest doc_id stays, of repeated rows one. Copies are
-    what op10 links, and texts whose five-word shingles are similar to 0.8 or more."""
+    what op10 links, and texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
     uid = fresh_name(docs, "uid")
     rows = docs.withColumn(uid, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    kept = near_duplicates(rows, similar_rule(), key=("doc_id", uid)).where((F.col("doc_id").eqNullSafe(F.col("rep.doc_id"))) & (F.col(uid) == F.col("rep")[uid]))
+    kept = similar_duplicates(rows, key=("doc_id", uid)).where((F.col("doc_id").eqNullSafe(F.col("rep.doc_id"))) & (F.col(uid) == F.col("rep")[uid]))
     return rows.join(kept.select(uid).distinct(), uid, "left_semi").dropDuplicates([uid]).select(*[F.col(f"`{c}`") for c in docs.columns])
