@@ -5,6 +5,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import re._constants as sre
+import re._parser as sre_parser
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -197,6 +200,61 @@ class TestLicenses:
         labels = [ordered[i].label for _, _, i in licenses.resolve(licenses.detect(text))]
         assert labels == ["gpl-3.0", "mit", "bsd-3-clause"]
 
+    @staticmethod
+    def sample(tree, most):
+        """A text that the parsed pattern matches, with all of its optional parts and last choices, or none and the first."""
+        out = ""
+        for op, arg in tree:
+            if op is sre.LITERAL:
+                out += chr(arg)
+            elif op is sre.ANY:
+                out += "x"
+            elif op is sre.IN:
+                kind, what = next((k, a) for k, a in arg if k in (sre.LITERAL, sre.RANGE, sre.CATEGORY))
+                out += chr(what if kind is sre.LITERAL else what[0]) if kind is not sre.CATEGORY else "1"
+            elif op is sre.CATEGORY:
+                out += "1"
+            elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+                low, high, inner = arg
+                out += TestLicenses.sample(inner, most) * (max(low, min(high, 1)) if most else low)
+            elif op is sre.SUBPATTERN:
+                out += TestLicenses.sample(arg[3], most)
+            elif op is sre.BRANCH:
+                out += TestLicenses.sample(arg[1][-1 if most else 0], most)
+        return out
+
+    @pytest.mark.parametrize("most", [False, True])
+    def test_each_rule_finds_its_text(self, most):
+        ordered, _ = licenses.rules()
+        lines = [x for x in (Path(licenses.__file__).parent / "license_rules.txt").read_text(encoding="utf-8").splitlines() if x.strip() and not x.startswith("#")]
+        patterns = [x.split(" | ", 4)[4].strip() for x in lines]
+        missed = []
+        for i, p in enumerate(patterns, len(licenses.BASE)):
+            text = self.sample(sre_parser.parse(p), most).strip()
+            if not any(rule == i and (start, end) == (0, len(text)) for start, end, rule in licenses.detect(text)):
+                missed.append((ordered[i].label, p, text))
+        assert not missed
+
+    @pytest.mark.parametrize(
+        "text, label",
+        [
+            ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0", "cc-by-nc-sa"),
+            ("Creative Commons Attribution Non-Commercial Share Alike 4.0", "cc-by-nc-sa"),
+            ("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0", "cc-by-nc-nd"),
+            ("Creative Commons Attribution-NonCommercial 4.0", "cc-by-nc"),
+            ("Creative Commons Attribution-ShareAlike 4.0", "cc-by-sa"),
+            ("Creative Commons Attribution-NoDerivatives 4.0", "cc-by-nd"),
+            ("for noncommercial use only", "non-commercial"),
+            ("beerware license", "beerware"),
+            ("CreativeML OpenRAIL-M license", "openrail-m"),
+            ("CreativeML Open RAIL-M license", "openrail-m"),
+            ("altered source versions must be plainly marked as such", "zlib"),
+        ],
+    )
+    def test_joined_and_spaced_names(self, text, label):
+        ordered, _ = licenses.rules()
+        assert {ordered[i].label for _, _, i in licenses.resolve(licenses.detect(text.lower()))} == {label}
+
     def test_a_contained_detection_is_suppressed_by_rank(self):
         ordered, _ = licenses.rules()
         labels = {ordered[i].label for _, _, i in licenses.resolve(licenses.detect("gnu lesser general public license version 2.1"))}

@@ -7,7 +7,7 @@ The base phrases (BASE) are rules of their own that nothing suppresses. The scor
 the distinct labels that stay.
 
 Texts are lower-cased in A-Z and scanned whole; words are runs of 0-9, a-z and non-ASCII characters, and the space of a
-pattern stands for any run of other characters.
+pattern stands for any run of other characters, one with a question mark for any run or none.
 
 Defined cases: null counts as empty; a text without detections has no labels (empty strings) and score 0; repeated rows give
 repeated result rows."""
@@ -30,13 +30,14 @@ from .common import CHUNK_BYTES, LOWER, WORD_BYTE, read_table, spans, utf8, with
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 BASE_WEIGHT = 0.95
 
-_WORD, _GAP = r"[0-9a-z\x80-\xff]", r"[^0-9a-z\x80-\xff]+"
+_WORD, _GAP, _MAYBE_GAP = r"[0-9a-z\x80-\xff]", r"[^0-9a-z\x80-\xff]+", r"[^0-9a-z\x80-\xff]*"
 
 
 class Rule:
     def __init__(self, label: str, rank: int, weight: float, keywords: list[str], pattern: str, base: bool = False) -> None:
         self.label, self.rank, self.weight, self.keywords, self.base = label, rank, weight, keywords, base
-        self.pattern = re.compile(f"(?<!{_WORD})(?:{pattern.replace(' ', _GAP)})(?!{_WORD})")
+        pattern = pattern.replace(" ?", _MAYBE_GAP).replace(" ", _GAP)
+        self.pattern = re.compile(f"(?<!{_WORD})(?:{pattern})(?!{_WORD})")
 
 
 def read_rules(text: str) -> list[Rule]:
