@@ -332,6 +332,23 @@ class TestDecontamination:
         blocks = list(decontam.item_blocks(bench, 200))
         assert len(blocks) > 2 and sorted(i for b in blocks for i in b.ids) == list(range(len(items)))
 
+    def test_one_block_and_many_find_the_same(self, spark):
+        w = Words(31)
+        stem = w.text(20)
+        # all share a stem, so its weights depend on how many items are counted; changed passages lie about the bound
+        items = [stem + " " + w.text(40) for _ in range(30)]
+        texts = [w.text(30) + " " + w.changed(t, n) + " " + w.text(30) for t in items for n in (1, 1, 2)]
+        bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+        data, offsets = decontam.utf8(pa.array(texts))
+
+        def matches(most):
+            blocks = list(decontam.item_blocks(bench, most))
+            return len(blocks), sorted((row, item, round(s, 9), first, n) for b in blocks for row, item, s, first, n in decontam.found_in(data, offsets, b))
+
+        (one, whole), (many, parts) = matches(1 << 22), matches(300)
+        assert one == 1 and many > 10 and parts == whole
+        assert 10 < len({r[0] for r in whole}) < len(texts)
+
 
 class TestPipeline:
     def test_stages(self, spark, tmp_path):

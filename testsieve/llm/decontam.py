@@ -7,7 +7,9 @@ loses nothing. A window's SimHash is looked up in blocks of bits: fingerprints w
 within RADIUS // BLOCKS bits, so every item within the radius is found. What is found is verified by the weighted Jaccard
 similarity of the shingle counts (weight: log(1 + items / items that have the shingle)), at least SIMILARITY.
 
-Items are held by every task, in blocks of at most ITEM_BYTES of text; a larger benchmark takes several passes.
+Items are held by every task, in blocks of at most ITEM_BYTES of text; a larger benchmark takes several passes. Weights are those
+of the whole benchmark in every pass: shingles that two items or more have are counted once over all items, and every block has
+their table; all others, of one item or none, have the same weight.
 
 Defined cases: null and empty texts and items without words never match; an item of fewer words than a shingle is one shingle;
 repeated rows give repeated result rows; equal items are each reported."""
@@ -79,30 +81,35 @@ class MultiIndex:
         return q[ok], i[ok]
 
 
+def _words(texts: pa.Array) -> list[np.ndarray]:
+    """The hashes of each text's words."""
+    data, offsets = utf8(texts)
+    data = fold_case(data)
+    starts, ends, before = word_bounds(data, offsets, WORD_BYTE)
+    return np.split(word_hashes(data, starts, ends), before[1:-1]) if len(texts) else []
+
+
 class Items:
     """A block of benchmark items, ready for search."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], k: int = SHINGLE, similarity: float = SIMILARITY) -> None:
+    def __init__(self, ids: list[int], texts: list[str | None], k: int = SHINGLE, similarity: float = SIMILARITY, counted: tuple[int, np.ndarray, np.ndarray] | None = None) -> None:
+        """counted: how many items there are in all blocks, the shingles (sorted) that several of them have, and how many have each."""
         self.k, self.similarity = k, similarity
-        ids, texts = list(ids), [t or "" for t in texts]
-        data, offsets = utf8(pa.array(texts, pa.large_string()))
-        data = fold_case(data)
-        starts, ends, words_before = word_bounds(data, offsets, WORD_BYTE)
-        words = word_hashes(data, starts, ends)
         self.ids, self.words, shingles = [], [], []
-        for i, (a, b) in enumerate(zip(words_before, words_before[1:])):
-            if b > a:
+        for i, words in enumerate(_words(pa.array([t or "" for t in texts], pa.large_string()))):
+            if len(words):
                 self.ids.append(int(ids[i]))
-                self.words.append(int(b - a))
-                shingles.append(shingle_hashes(words[a:b], k))
+                self.words.append(len(words))
+                shingles.append(shingle_hashes(words, k))
         self.shingles = [np.unique(s, return_counts=True) for s in shingles]
         flat = np.concatenate([s for s, _ in self.shingles]) if shingles else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(shingles)), [len(s) for s, _ in self.shingles])
         order = np.argsort(flat, kind="stable")
         self.known, begin, n = np.unique(flat[order], return_index=True, return_counts=True)
         self.owners, self.owner_at, self.owner_n = owner[order], begin, n
-        self.weight = np.log1p(len(shingles) / n)
-        self.rare = float(np.log1p(len(shingles))) if shingles else 1.0  # of shingles that no item has
+        total, self.weighed, having = counted or (len(shingles), self.known, n)
+        self.weight = np.log1p(total / having)
+        self.rare = float(np.log1p(total)) if total else 1.0  # of shingles that no item has, or only one
         self.bitmap = np.zeros(1 << max(16, 4 + int(len(self.known)).bit_length()), bool)
         self.bitmap[(self.known & np.uint64(len(self.bitmap) - 1)).astype(np.int64)] = True
         size = np.array(self.words, np.int64)
@@ -117,10 +124,10 @@ class Items:
         self.lengths = sorted({min(k, n) for n in self.words})
 
     def weigh(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.known):
+        if not len(self.weighed):
             return np.full(len(hashes), self.rare)
-        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return np.where(self.known[at] == hashes, self.weight[at], self.rare)
+        at = np.minimum(np.searchsorted(self.weighed, hashes), len(self.weighed) - 1)
+        return np.where(self.weighed[at] == hashes, self.weight[at], self.rare)
 
     def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, number of a known shingle) wherever one stands."""
@@ -189,18 +196,38 @@ def found_in(data: np.ndarray, offsets: np.ndarray, items: Items) -> Iterator[tu
                     yield (a + int(r), *found)
 
 
+def _item_shingles(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Each item's different shingles; `item` is 1 in one row of each item."""
+    for batch in batches:
+        sets = [np.unique(shingle_hashes(w, k)) for w in _words(batch.column("text")) if len(w)]
+        item = [np.arange(len(s)) == 0 for s in sets]
+        shingle = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(np.concatenate([np.zeros(0, bool), *item]).astype(np.int64))], ["shingle", "item"])
+
+
+def count_shingles(rows: DataFrame, k: int = SHINGLE) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many items have words, the shingles that two or more of them have, and how many have each."""
+    counts = with_batch_rows(rows).select("text").mapInArrow(partial(_item_shingles, k=k), "shingle long, item long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.sum("item").alias("items"))
+    total = counts.agg(F.sum("items")).first()[0] or 0
+    several = counts.where("n > 1").select("shingle", "n").toArrow()
+    shingles, n = several.column("shingle").to_numpy().view(np.uint64), several.column("n").to_numpy()
+    order = np.argsort(shingles)
+    return int(total), shingles[order], n[order]
+
+
 def item_blocks(benchmark: DataFrame, most: int = ITEM_BYTES) -> Iterator[Items]:
     """The benchmark in blocks of bounded size, for one pass over the documents each."""
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text")
+    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    counted, rows = count_shingles(rows), rows.orderBy("item_id", "text")
     ids, texts, held = [], [], 0
     for r in rows.toLocalIterator():
         if held and held + len(r["text"]) > most:
-            yield Items(ids, texts)
+            yield Items(ids, texts, counted=counted)
             ids, texts, held = [], [], 0
         ids.append(r["item_id"])
         texts.append(r["text"])
         held += len(r["text"])
-    yield Items(ids, texts)
+    yield Items(ids, texts, counted=counted)
 
 
 def _matches(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
