@@ -249,6 +249,26 @@ class TestLineDedup:
         got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
         assert got == want
 
+    def test_repeated_rows_against_brute_force(self, spark):
+        w = Words(9)
+        w.words = w.words[:30]
+        lines = [w.text(8) for _ in range(20)]
+        texts = ["\n".join(w.changed(lines[(3 * i + k) % 20]) for k in range(4)) for i in range(15)]
+        docs = frame(spark, texts)
+        many = docs.union(docs.where("doc_id % 3 = 0")).union(docs.where("doc_id = 3").select(docs.columns).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(3000)))).drop("n"))
+        want, got = self.brute(list(enumerate(texts))), defaultdict(list)
+        for r in line_dedup.dedup_lines(many).collect():
+            got[r["doc_id"]].append(r["text"])
+        assert {d: set(t) for d, t in got.items()} == {d: {t} for d, t in want.items()}
+        assert len(got[3]) == 3002 and len(got[6]) == 2 and len(got[1]) == 1
+
+    def test_a_very_long_line(self, spark):
+        rng = random.Random(4)
+        words = [f"w{rng.randrange(3000)}" for _ in range(60_000)]
+        texts = [" ".join(words), " ".join(words[:700] + words[701:]), " ".join(words[:700] + words[702:])]
+        got = {r["doc_id"]: len(r["text"]) for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+        assert got == {0: len(texts[0]), 1: 0, 2: 0}
+
     def test_a_hot_place(self, spark):
         texts = [f"this line has the number {i} in it" for i in range(300)] + ["this line has the number in it", "another line that stays as it is"]
         got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}

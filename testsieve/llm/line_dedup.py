@@ -1,8 +1,9 @@
 """Corpus-wide line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
 Lines are the parts of a text between newlines; a line's symbols are its words, the parts between single spaces. A line goes
-if an earlier line (by doc_id, then position) is equal, or is within EDITS = 1 word insertion, deletion or substitution and
-the longer of the two has at least MIN_WORDS words (similarity 0.8 or more). Blank lines always stay.
+if an earlier line (by doc_id, then position) is equal, or differs by e word insertions, deletions or substitutions where
+e <= EDITS = 1 and 1 - e / words of the longer line >= SIMILARITY = 0.8. That is one rule for all lengths; for lines of fewer than
+five words it leaves equality alone. Blank lines always stay.
 
 Method. A line of n words emits a hashed key for each word that it could lose (the words left and right of it, and where) and
 for each gap where it could have lost one. Lines that share a key differ in that place only, so all lines of a key are within
@@ -11,20 +12,26 @@ only where a partner can be: two lines within one edit share the words before or
 (with the word count) nobody else has emit nothing, and others emit the keys of the other half alone. That loses no pair.
 Linked lines are verified by the lengths of their common first and last words before they go.
 
+A key is made of two numbers, the digests of the words before and after its place; all digests of a line come from two scans by
+doubling steps, so a line of n words costs n log n, not n times its length.
+
 Memory: minima are pre-aggregated before each shuffle and groups are never gathered, so a line, half or key that a third of
-all rows share costs a task one row for it. Texts are moved twice, by doc_id; what one step has moved is released before the next.
+all rows share costs a task one row for it. Rows that repeat doc_id and text give their lines once to the search for partners.
+Texts are moved twice, by a hash of doc_id and text; what one step has moved or written is deleted when the next has read it.
 
 Defined cases: null text stays null; empty text stays; rows with equal doc_id and text are one document, and each gets its
 result; null doc_id comes after all others; other columns are kept as they are."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop_cut
 
-EDITS, MIN_WORDS = 1, 5
+EDITS, SIMILARITY = 1, 0.8
+#: The words that the longer of two lines of EDITS edits has at least; the rest of a division is no word.
+MIN_WORDS = round(EDITS / (1 - SIMILARITY))
 
 
 def _ord(doc: str, pos: str) -> Column:
@@ -63,16 +70,29 @@ def _halves(lines: DataFrame) -> DataFrame:
     return lines.withColumn("halves", F.array(*keys))
 
 
+def _prefixes(words: Column) -> Column:
+    """Of an array of words the digests of its first 0, 1, ... words: every word is hashed with its place, and these hashes are
+    combined by a scan of doubling steps."""
+    own = F.transform(words, lambda w, i: F.xxhash64(w, i))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(words))).cast("int"))
+    scan = lambda acc, k: F.transform(acc, lambda x, i: F.when(i >= F.call_function("shiftleft", F.lit(1), k), x.bitwiseXOR(F.get(acc, i - F.call_function("shiftleft", F.lit(1), k)))).otherwise(x))
+    return F.concat(F.array(F.lit(0).cast("bigint")), F.aggregate(steps, own, scan))
+
+
 def _variants(lines: DataFrame) -> DataFrame:
     """(key, h1) of the deletion neighbourhood, for the halves that a partner can differ in. A line has a key once."""
-    n, line = F.col("n"), F.col("line")
+    n, words = F.col("n"), F.split("line", " ", -1)
     less, more = F.floor((n - 1) / 2), F.floor(n / 2)
     none = F.array().cast("array<bigint>")
     deletions = F.array_union(F.when(F.col("k0"), F.sequence(less, n - 1)).otherwise(none), F.when(F.col("k1"), F.sequence(F.lit(0).cast("bigint"), n - 1 - less)).otherwise(none))
     gaps = F.array_union(F.when(F.col("k2"), F.sequence(more, n)).otherwise(none), F.when(F.col("k3"), F.sequence(F.lit(0).cast("bigint"), n - more)).otherwise(none))
-    places = F.concat(F.transform(deletions, lambda i: F.struct(i.alias("i"), (n - 1 - i).alias("after"))), F.transform(gaps, lambda i: F.struct(i.alias("i"), (n - i).alias("after"))))
-    rows = lines.select("h1", "line", F.explode(places).alias("p"))
-    return rows.select(F.xxhash64(F.col("p.i"), F.col("p.after"), _first(line, F.col("p.i")), _last(line, F.col("p.after"))).alias("key"), "h1")
+    told = lines.select("h1", "n", deletions.alias("deletions"), gaps.alias("gaps"), _prefixes(words).alias("before"), _prefixes(F.reverse(words)).alias("after"))
+
+    def key(i: Column, after: Column) -> Column:
+        return F.xxhash64(i, after, F.get("before", i.cast("int")), F.get("after", after.cast("int")))
+
+    keys = F.concat(F.transform("deletions", lambda i: key(i, F.col("n") - 1 - i)), F.transform("gaps", lambda i: key(i, F.col("n") - i)))
+    return told.select("h1", F.explode(keys).alias("key")).select("key", "h1")
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -100,20 +120,26 @@ def _near(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     kinds = halves.join(shared, "key", "left_semi").groupBy(F.shiftright("who", 2).alias("line_no"))
     kinds = kinds.agg(*[F.max(F.col("who").bitwiseAND(F.lit(3)) == k).alias(f"k{k}") for k in range(4)])
     lines = distinct.select("h1", "h2", "first", "n").join(kinds, F.shiftright("h1", 2) == F.col("line_no"))
-    wanted = lines.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.uid").alias("uid"))
+    wanted = lines.groupBy(F.col("first.uid").alias("uid"), F.struct(F.col("first.doc_id").alias("doc_id")).alias("doc"))
     wanted = cut(wanted.agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "h1", "h2", "n", "k0", "k1", "k2", "k3", "first")).alias("ls")), "wanted")
-    texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), F.split("text", "\n").alias("lines"))
-    met = texts.join(wanted.withColumnRenamed("doc_id", "_d").withColumnRenamed("uid", "_u"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("uid") == F.col("_u")))
-    lines = met.select("lines", F.explode("ls").alias("l")).select(F.element_at("lines", F.col("l.pos") + 1).alias("line"), "l.*")
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("uid"), F.struct("doc_id").alias("doc"), "text").join(wanted, ["uid", "doc"])
+    # of repeated rows one, as the join left them: beside one another
+    texts = texts.withColumn("copy", F.row_number().over(Window.partitionBy("uid", "doc").orderBy("uid"))).where("copy = 1")
+    lines = texts.select(F.split("text", "\n").alias("lines"), F.explode("ls").alias("l")).select(F.element_at("lines", F.col("l.pos") + 1).alias("line"), "l.*")
     lines = cut(lines.select("line", "h1", "h2", "first", F.col("n").cast("bigint").alias("n"), "k0", "k1", "k2", "k3"), "lines")
+    drop_cut(wanted)
     variants = cut(_variants(lines), "variants")
     shared = variants.groupBy("key").count().where("count > 1").select("key")
     members = cut(variants.join(shared, "key", "left_semi").join(lines.select("h1", "h2", "first"), "h1"), "members")
+    drop_cut(variants)
     heads = members.groupBy("key").agg(F.min(F.struct("first", "h1", "h2")).alias("head"))
     pairs = members.join(heads, "key").where("first <> head.first").select("h1", "h2", F.col("head.h1").alias("e1"), F.col("head.h2").alias("e2")).distinct()
-    text = lines.select("h1", "h2", "line").distinct()
+    text = lines.select("h1", "h2", "line")
     pairs = pairs.join(text, ["h1", "h2"]).join(text.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("line").alias("earlier")), ["e1", "e2"])
-    return pairs.where(_within_one_edit(F.col("line"), F.col("earlier"))).select("h1", "h2").distinct()
+    near = cut(pairs.where(_within_one_edit(F.col("line"), F.col("earlier"))).select("h1", "h2").distinct(), "near")
+    drop_cut(members)
+    drop_cut(lines)
+    return near
 
 
 def _dedup(docs: DataFrame) -> DataFrame:
@@ -126,7 +152,7 @@ def _dedup(docs: DataFrame) -> DataFrame:
     told = F.struct(_ord("doc_id", "pos").alias("first"), "n", "halves")
     distinct = _halves(found.withColumn("n", n)).select("h1", "h2", told.alias("told")).groupBy("h1", "h2").agg(F.min("told").alias("told"), F.count(F.lit(1)).alias("times"))
     distinct = cut(distinct.select("h1", "h2", "told.*", "times"), "distinct")
-    near = cut(_near(distinct, docs), "near")
+    near = _near(distinct, docs)
     marked = distinct.select("h1", "h2", "first", "times").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
     once = marked.where("near and times = 1").select(F.col("first.doc_id").alias("doc_id"), F.col("first.uid").alias("uid"), F.col("first.pos").alias("pos"))
     repeated = marked.where("times > 1").select("h1", "h2", "first", "near")
