@@ -50,6 +50,47 @@ class TestChat:
         random.Random(1).shuffle(rows)
         assert self.folded(spark, rows) == [(1, "user", "hi!"), (1, "assistant", "newer"), (1, "user", "later"), (2, "", "")]
 
+    def test_regenerations_of_messages_that_are_gone(self, spark):
+        rows = [(1, 0, "start", "a", "user", "1"), (1, 1, "start", "b", "assistant", "2"), (1, 2, "regenerate", "a", None, None), (1, 3, "start", "c", "assistant", "3"), (1, 4, "regenerate", "b", None, None), (1, 5, "delta", "b", None, "x"), (1, 6, "delta", "a", None, "y")]
+        assert self.folded(spark, rows) == [(1, "user", "y"), (1, "assistant", "3")]
+
+    @staticmethod
+    def one_by_one(log):
+        """The definition, event by event."""
+        rank = {k: i for i, k in enumerate(["start", "edit", "regenerate", "delta"])}
+        there, gone, started = [], set(), {}
+        begins = {m: min((s, 0) for s, k, x, _, _ in log if x == m and k == "start") for m in {e[2] for e in log if e[1] == "start"}}
+        place = {m: i for i, m in enumerate(sorted(begins, key=lambda m: (begins[m], m)))}
+        for seq, kind, msg, role, text in sorted((e for e in log if e[1] in rank), key=lambda e: (e[0], rank[e[1]], place.get(e[2], 0), e[4])):
+            if msg in gone or (msg not in started and kind != "start"):
+                continue
+            if msg not in started:
+                started[msg] = [role, text]
+                there.append(msg)
+            elif kind in ("start", "delta"):
+                started[msg][1] += text
+            elif kind == "edit":
+                started[msg][1] = text
+            else:
+                started[msg][1] = ""
+                i = there.index(msg)
+                gone.update(there[i + 1 :])
+                there = there[: i + 1]
+        return [tuple(started[m]) for m in there]
+
+    def test_random_logs_against_one_by_one(self, spark):
+        rng, rows = random.Random(5), []
+        for conv in range(1000):
+            names = [f"m{i}" for i in range(rng.randint(1, 6))]
+            kinds = ["start"] * 3 + ["delta"] * 3 + ["edit", "regenerate", "regenerate", "other"]
+            rows += [(conv, rng.randrange(20), rng.choice(kinds), rng.choice(names), rng.choice(["user", "assistant"]), rng.choice("abcdef")) for _ in range(rng.randint(0, 25))]
+        rows = [(c, s, k, m, "user" if m in ("m0", "m2") else "assistant", t) for c, s, k, m, _, t in rows]
+        got = {}
+        for c, role, text in self.folded(spark, rows):
+            got.setdefault(c, []).append((role, text))
+        for conv in range(1000):
+            assert got.get(conv, []) == self.one_by_one([r[1:] for r in rows if r[0] == conv]), conv
+
     def test_fold_of_nothing(self, spark):
         assert self.folded(spark, []) == []
 

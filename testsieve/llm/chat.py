@@ -1,30 +1,40 @@
 """Chat formatting from event logs: fold deltas, edits and regenerations into final messages, then render them.
 
-Events are rows (conv_id, seq, kind, msg, role, text); kinds: `start` opens message msg with a role and maybe first text, `delta`
-appends text to it, `edit` replaces its text, `regenerate` drops its text and every message that started after it, and later
-deltas write it anew. Events apply in the order of seq (ties: kind in that order, then text). Events of other kinds are ignored,
-as are those of a message before its start; a message that starts again goes on as the first.
+Events are rows (conv_id, seq, kind, msg, role, text), applied in the order of seq (ties: start, edit, regenerate, delta; then
+by the message's place, then by text):
+- `start` opens message msg with a role and maybe first text; the message that starts later stands later in the conversation
+  (ties: by msg). A message that starts again goes on as the first: only the text is taken, as if a delta brought it.
+- `delta` appends text, `edit` replaces the text.
+- `regenerate` drops the message's text, and every message that started after it and is still there; later deltas write it anew.
+- A message that was dropped is gone: all further events of it do nothing, its regenerations included.
+- Events of other kinds do nothing, nor do those of a message before its start.
 
 Render. One piece per message: `### role: text</turn>` and a newline. Inside role and text a backslash goes before each
 backslash, before `###` and before `</turn>`, inside a role also before each colon, so that pieces, one after the other, can be
 read back. The loss mask covers the text of assistant messages: (loss_start, loss_end) in code points of the piece.
 
-Memory: an event's text stays in the row of its message; the order of a conversation is found by window functions that hold one
-row, and its digest by reading sorted pieces as a stream with one hash state. So a conversation may hold a third of all rows.
-That last pass is one task for a conversation, since SHA-256 can't be divided; rendering and reading back are done before it.
+Memory: the events of a message are read as a sorted stream with only its text at hand; regenerations are read as a sorted stream
+with two numbers for each that can still drop something. The order of a conversation is found by window functions that hold one
+row, and its digest by reading sorted pieces as a stream with one hash state. So a conversation or a message may hold a third of
+all rows. Those passes are one task for a conversation, since each step depends on the one before; folding texts, rendering and
+reading back are spread by message.
 
 Defined cases: null text and null role count as empty; a null conv_id is a conversation of its own; null seq sorts first; equal
-rows of the log are applied as often as they stand there."""
+rows of the log are applied as often as they stand there; an empty log gives an empty result."""
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import partial
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 OPEN, CLOSE = "### ", "</turn>"
 KINDS = ["start", "edit", "regenerate", "delta"]
@@ -59,28 +69,96 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
+_MESSAGE = "text string, role string, seq long, rank int, again array<struct<seq:bigint,rank:int>>"
+
+
+def _messages(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Events sorted by message and time -> a row for each message that starts: its text after its last edit or regeneration, its
+    role, when it began, and when it was regenerated."""
+    key, began, role, parts, again = None, None, "", [], []
+
+    def out(done: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*done) if done else [[]] * len(schema), schema)], schema=schema)
+
+    def told() -> tuple:
+        return (*key, "".join(parts), role, began[0], began[1], [{"seq": a, "rank": b} for a, b in again])
+
+    for batch in batches:
+        done = []
+        for conv, msg, seq, rank, r, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "msg", "seq", "rank", "role", "text"))):
+            if key is None or conv != key[0] or msg != key[1]:
+                if began is not None:
+                    done.append(told())
+                key, began, parts, again = (conv, msg), None, [], []
+            if began is None:
+                if rank != 1:
+                    continue
+                began, role = (seq, rank), r
+            if rank in (2, 3):
+                parts = []
+            if rank == 3:
+                if not again or again[-1] != (seq, rank):
+                    again.append((seq, rank))
+            else:
+                parts.append(text)
+        yield out(done)
+    if began is not None:
+        yield out([told()])
+
+
+def _effective(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Regenerations of conversations, sorted by time -> those of messages that were still there.
+
+    A regeneration at time t of the message at place p drops what stands behind p and began before t. Kept are the places and
+    times of those that count; one that drops no more than a later one is forgotten, so both grow, and whether a message is gone
+    is seen at the first one after its begin."""
+    least = -(1 << 63)
+    key, places, times = None, [], []
+    for batch in batches:
+        keep = np.zeros(batch.num_rows, bool)
+        for i, (conv, place, seq, rank, seq0, rank0) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("conv_id", "place", "seq", "rank", "seq0", "rank0")))):
+            if conv != key or not i and key is None:
+                key, places, times = conv, [], []
+            began = (least if seq0 is None else seq0, rank0)
+            j = bisect_right(times, began)
+            if j < len(times) and places[j] < place:
+                continue
+            keep[i] = True
+            while places and places[-1] >= place:
+                places.pop()
+                times.pop()
+            places.append(place)
+            times.append((least if seq is None else seq, rank))
+        yield pa.RecordBatch.from_arrays([batch.column(f.name).filter(pa.array(keep)) for f in schema], schema=schema)
+
+
 def fold(events: DataFrame) -> DataFrame:
     """events -> (conv_id, turn, role, text): the final messages, numbered by start from 0."""
-    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    log = events.select("conv_id", "seq", "kind", "msg", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), rank.alias("rank")).where("rank > 0")
-    e = F.struct("seq", "rank", "text", "kind", "role")
-    # a message's own events; those of the whole conversation never meet in a row
-    own = log.groupBy("conv_id", "msg").agg(F.array_sort(F.collect_list(e)).alias("es"), F.min(F.when(F.col("kind") == "start", F.struct("seq", "rank"))).alias("begin")).where("begin is not null")
-    after = F.filter("es", lambda x: F.struct(x["seq"], x["rank"]) >= F.struct(F.col("begin.seq"), F.col("begin.rank")))
-    own = own.withColumn("es", after)
-    # the last event that sets the text, and what is appended from there on
-    sets = F.array_max(F.transform("es", lambda x, i: F.when(x["kind"].isin("edit", "regenerate"), i)))
-    kept = F.when(sets.isNull(), F.col("es")).otherwise(F.slice("es", sets + 1, F.size("es")))
-    text = F.array_join(F.transform(kept, lambda x: F.when(x["kind"] == "regenerate", F.lit("")).otherwise(x["text"])), "")
-    regenerated = F.array_max(F.transform(F.filter("es", lambda x: x["kind"] == "regenerate"), lambda x: F.struct(x["seq"], x["rank"])))
-    messages = own.select("conv_id", "msg", "begin", regenerated.alias("regenerated"), F.element_at("es", 1)["role"].alias("role"), text.alias("text"))
-    # a message goes if one that began before it was regenerated after it began; extreme values of what came before suffice
-    order = Window.partitionBy("conv_id").orderBy("begin", "msg")
+    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
+    log = events.select("conv_id", "msg", F.col("seq").cast("long").alias("seq"), rank.alias("rank"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).where("rank > 0")
+    kinds = log.select("conv_id", "msg").schema
+    schema = f"conv_id {kinds['conv_id'].dataType.simpleString()}, msg {kinds['msg'].dataType.simpleString()}, {_MESSAGE}"
+    own = log.repartition("conv_id", "msg").sortWithinPartitions("conv_id", "msg", "seq", "rank", "text")
+    own = own.mapInArrow(partial(_messages, schema=_arrow(events.sparkSession, schema)), schema)
+    order = Window.partitionBy("conv_id").orderBy("seq", "rank", "msg")
+    placed = own.withColumn("place", F.row_number().over(order).cast("long"))
+    again = placed.where(F.size("again") > 0).select("conv_id", "place", F.col("seq").alias("seq0"), F.col("rank").alias("rank0"), F.explode("again").alias("t"))
+    again = again.select("conv_id", "place", "seq0", "rank0", "t.seq", "t.rank").repartition("conv_id").sortWithinPartitions("conv_id", "seq", "rank", "place")
+    schema = f"conv_id {kinds['conv_id'].dataType.simpleString()}, place long, seq long, rank int"
+    counts = again.mapInArrow(partial(_effective, schema=_arrow(events.sparkSession, schema)), schema)
+    counts = counts.groupBy(F.col("conv_id").alias("_c"), F.col("place").alias("_p")).agg(F.max(F.struct("seq", "rank")).alias("regenerated"))
+    messages = placed.join(counts, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("place") == F.col("_p")), "left")
+    # a message goes if one before it was regenerated after it began; the latest time of what came before suffices
+    order = Window.partitionBy("conv_id").orderBy("place")
     messages = messages.withColumn("cut", F.max("regenerated").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    messages = messages.where("cut is null or cut < begin")
+    messages = messages.where(F.col("cut").isNull() | (F.col("cut") < F.struct("seq", "rank")))
     return messages.select("conv_id", (F.row_number().over(order) - 1).cast("long").alias("turn"), "role", "text")
 
 
+def _arrow(spark, schema: str) -> pa.Schema:
+    return to_arrow_schema(spark.createDataFrame([], schema).schema)
+
+
 def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         made = [render(r, t) for r, t in zip(b.column("role").to_pylist(), b.column("text").to_pylist())]
@@ -144,19 +222,31 @@ def digests(pieces: DataFrame) -> DataFrame:
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns (conv_id, turn, role, text) as a log: each row starts a message and streams its text in two
-    deltas. Equal turns are messages of their own, told apart by role and text, and repeated rows by their number. Rows without a turn come first."""
-    same = Window.partitionBy("conv_id", "turn", "role", "text").orderBy(F.lit(0))
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    rows = rows.withColumn("msg", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.row_number().over(same).alias("n")))
+    """A table of finished turns (conv_id, turn, role, text) as a log that ends in them. Rows are messages in the order of turn,
+    role and text (null first), each in one of four ways, by a hash of the row: streamed in two deltas; opened with a draft that an
+    edit replaces; streamed as a draft and regenerated; or followed by a message that a regeneration takes away again, before it
+    is streamed anew, and whose own late regeneration and delta do nothing. Equal rows are messages of their own."""
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long"))
     half = F.floor(F.length("text") / 2).cast("int")
-    parts = F.array(
-        F.struct(F.lit("start").alias("kind"), F.lit(0).alias("step"), F.lit("").alias("part")),
-        F.struct(F.lit("delta").alias("kind"), F.lit(1).alias("step"), F.substring("text", F.lit(1), half).alias("part")),
-        F.struct(F.lit("delta").alias("kind"), F.lit(2).alias("step"), F.substring("text", half + 1, F.length("text")).alias("part")),
-    )
-    rows = rows.select("conv_id", "turn", "msg", "role", F.explode(parts).alias("p"))
-    return rows.select("conv_id", (F.coalesce(F.col("turn") * 3, F.lit(-(1 << 62))) + F.col("p.step")).alias("seq"), F.col("p.kind").alias("kind"), "msg", "role", F.col("p.part").alias("text"))
+    first, second = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+
+    def way(*events: tuple) -> Column:
+        made = [F.struct(F.lit(kind).alias("kind"), F.lit(step).alias("step"), F.lit(other).alias("other"), part.alias("part")) for step, (kind, part, other) in enumerate(events)]
+        return F.array(*made)
+
+    none, draft = F.lit(""), F.concat(second, F.lit("?"))
+    ways = [
+        way(("start", none, False), ("delta", first, False), ("delta", second, False)),
+        way(("start", draft, False), ("edit", first, False), ("delta", second, False)),
+        way(("start", none, False), ("delta", draft, False), ("regenerate", none, False), ("delta", first, False), ("delta", second, False)),
+        way(("start", draft, False), ("start", draft, True), ("regenerate", none, False), ("delta", first, False), ("regenerate", none, True), ("delta", draft, True), ("delta", second, False)),
+    ]
+    kind = F.pmod(F.xxhash64("conv_id", "turn", "role", "text"), F.lit(len(ways)))
+    parts = F.when(kind == 0, ways[0]).when(kind == 1, ways[1]).when(kind == 2, ways[2]).otherwise(ways[3])
+    rows = rows.select("conv_id", "n", "role", F.explode(parts).alias("p"))
+    msg = F.when(F.col("p.other"), -F.col("n")).otherwise(F.col("n"))
+    return rows.select("conv_id", (F.col("n") * 8 + F.col("p.step")).alias("seq"), F.col("p.kind").alias("kind"), msg.alias("msg"), "role", F.col("p.part").alias("text"))
 
 
 def op1_chat_format(spark, sf_dir: str) -> DataFrame:
