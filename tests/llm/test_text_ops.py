@@ -184,6 +184,17 @@ class TestBpe:
             assert ids[at[i] : at[i + 1]].tolist() == want
             assert decoded[i] == lib.decode(want, skip_special_tokens=False) == t
 
+    @pytest.mark.parametrize("rounds", [1, 3, 24])
+    def test_long_words_against_the_library(self, both, monkeypatch, rounds):
+        theirs, ours = both
+        monkeypatch.setattr(bpe, "ROUNDS", rounds)
+        ours._forget()
+        rng = random.Random(rounds)
+        texts = ["".join(rng.choice(parts) for _ in range(n)) for parts in ("abcdefgh", ["th", "e", "in", "ation", "er", "x"], "aé中😀b", "0123456789abcdef", "a", "ab!") for n in (1, 40, 3000)]
+        texts += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))]
+        ids, at = ours.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [theirs.encode(t, add_special_tokens=False).ids for t in texts]
+
     def test_forgetting_words_changes_nothing(self, both, monkeypatch):
         ours = bpe.Codec(bpe.default_path())
         monkeypatch.setattr(bpe, "KEPT_WORDS", 5)

@@ -2,8 +2,9 @@
 
 Method. Texts are cut into words by the vocabulary's pattern; the distinct words of a batch that the worker hasn't met lie in
 one flat array of symbols. In each round all neighbouring pairs are looked up at once by binary search over the sorted keys of
-the merge table; in every word the pairs of its lowest rank merge, leftmost first, and words without a pair leave the array.
-Texts are then put together from the words' ids by index arithmetic, and decoded the same way from the tokens' bytes.
+the merge table; in every word the pairs of its lowest rank merge, leftmost first, and words without a pair leave the array. What is left after
+ROUNDS rounds are long words: their places wait in lists by rank, and a round looks up only pairs beside a merge, so a word of
+any length takes time by its merges, not by its length for each of them. Texts are then put together from the words' ids by index arithmetic, and decoded the same way from the tokens' bytes.
 
 The tokenizer file (of the `tokenizers` library) is a parameter: a path that every machine has. It is read, never trained.
 
@@ -16,6 +17,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,9 @@ from .common import CHUNK_BYTES, gather, read_table, spans, utf8, with_batch_row
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
+#: Rounds over all symbols; words that need more go on by lists of places.
+ROUNDS = 24
+
 #: Words that a worker keeps with their ids; when there are more it begins anew with those of the chunk at hand.
 KEPT_WORDS = 200_000
 
@@ -86,7 +91,9 @@ class Codec:
         symbols = self.first[np.frombuffer(b"".join(words), np.uint8)]
         owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
         done_symbols, done_owner = [], []
-        while len(symbols):
+        for _ in range(ROUNDS):
+            if not len(symbols):
+                break
             pair = owner[1:] == owner[:-1]
             keys = (symbols[:-1] << 32) | symbols[1:]
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
@@ -110,10 +117,72 @@ class Codec:
             symbols[where] = self.made[at[where]]
             alive[where + 1] = False
             symbols, owner = symbols[alive], owner[alive]
+        else:
+            symbols, owner = self._by_rank(symbols, owner)
+            done_symbols.append(symbols)
+            done_owner.append(owner)
         symbols, owner = np.concatenate(done_symbols), np.concatenate(done_owner)
         order = np.argsort(owner, kind="stable")
         return symbols[order], np.bincount(owner, minlength=len(words))
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rank of each pair (len(keys): none), and the symbol that it makes."""
+        keys = (left << 32) | right
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        known = self.keys[at] == keys
+        return np.where(known, self.rank[at], len(self.keys)), self.made[at]
+
+    def _by_rank(self, symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All merges of the words that are left, lowest rank first. Symbols are a linked list; places wait under the rank of the
+        pair that begins there, and count only if the pair still has it."""
+        n, none = len(symbols), len(self.keys)
+        owner = np.append(owner, -1)  # a last owner of its own ends every look to the right
+        after, before, there = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+        symbols_ = np.append(symbols, 0)
+        rank, made = np.full(n, none), np.zeros(n, np.int64)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def look(at: np.ndarray) -> None:
+            """The pairs that begin at the given places, now."""
+            if not len(at):
+                return
+            right = after[at]
+            found, makes = self._ranks(symbols_[at], symbols_[right])
+            found = np.where(owner[at] == owner[right], found, none)
+            rank[at], made[at] = found, makes
+            order = np.argsort(found, kind="stable")
+            at, found = at[order], found[order]
+            edges = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+            for r, part in zip(found[edges].tolist(), np.split(at, edges[1:])):
+                if r == none:
+                    continue
+                if r not in waiting:
+                    waiting[r] = []
+                    heappush(ranks, r)
+                waiting[r].append(part)
+
+        look(np.arange(n))
+        while ranks:
+            r = heappop(ranks)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[there[at] & (rank[at] == r)]
+            if not len(at):
+                continue
+            # of a run of pairs that overlap every second one counts
+            new_run = np.concatenate([[True], after[at[:-1]] != at[1:]])
+            run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - run_start) % 2 == 0]
+            right = after[at]
+            symbols_[at] = made[at]
+            there[right] = False
+            after[at] = after[right]
+            inner = after[at] < n
+            before[after[at][inner]] = at[inner]
+            left = before[at]
+            look(np.unique(np.concatenate([at, left[left >= 0]])))
+        return symbols_[:n][there], owner[:n][there]
+
     def _learn(self, fresh: list[str]) -> None:
         flat, n = self.merge([w.encode() for w in fresh])
         at = np.cumsum(n) - n + len(self.flat)
