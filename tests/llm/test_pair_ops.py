@@ -293,11 +293,14 @@ class TestDecontamination:
         w = Words(4)
         return [w.text(n) for n in (15, 20, 20, 30, 45, 59)] + ["Of five words, just so.", "two words", "One"]
 
-    def test_finds_what_is_there(self, spark, items):
+    def test_finds_what_is_there(self, spark, items, tmp_path):
         w = Words(5)
         texts = [w.text(80) + " " + t + ". " + w.text(30) for t in items[:6]] + [items[3].upper(), items[4].replace(" ", ",\n"), w.text(200), "x " + items[6], items[7], "one", *ODD]
         bench = spark.createDataFrame([*enumerate(items), (98, None), (99, ""), (None, "null id")], "item_id long, text string").withColumn("similarity", F.lit(0))
+        texts[8] = w.text(200) + " null id, but a text of some words all the same"
+        bench = bench.union(spark.createDataFrame([(None, "null id, but a text of some words all the same", 0)], bench.schema))
         got = {(r["doc_id"], r["item_id"]): r for r in decontam.contaminated(frame(spark, texts), bench).collect()}
+        assert got.pop((8, None))["similarity"] > 0.999
         want = {(i, i) for i in range(6)} | {(6, 3), (7, 4), (9, 6), (10, 7), (11, 8)}
         assert set(got) == want and all(r["similarity"] > 0.999 for r in got.values())
         assert (got[0, 0]["first_word"], got[0, 0]["n_words"]) == (80, 15)
@@ -305,6 +308,10 @@ class TestDecontamination:
         found = decontam.Items([r[0] for r in enumerate(items)], items)
         batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
         assert next(clean(iter([batch]), found)).num_rows == len(texts) - len({d for d, _ in want})
+        odd = frame(spark, texts).withColumn("items", F.lit("x")).withColumn("keep", F.create_map(F.lit("a"), F.lit(1)))
+        bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+        kept = decontam.decontam_stage(spark, odd, str(tmp_path))
+        assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in want} - {8}
 
     def test_near_passages_against_brute_force(self, items):
         w = Words(6)
@@ -329,7 +336,7 @@ class TestDecontamination:
         starts, ends, _ = decontam.word_bounds(data, np.array([0, len(data)]), decontam.WORD_BYTE)
         return data, starts, ends
 
-    def test_index_finds_all_within_the_radius(self):
+    def test_index_finds_all_within_the_radius(self, monkeypatch):
         rng = np.random.default_rng(3)
         base = rng.integers(0, 1 << 62, 20).astype(np.uint64)
         near = base.copy()
@@ -338,9 +345,36 @@ class TestDecontamination:
                 near[i] ^= np.uint64(1) << np.uint64(b)
         index = decontam.MultiIndex(base)
         got = set(zip(*(x.tolist() for x in index.search(near))))
+        monkeypatch.setattr(decontam, "PAIRS", 60)
+        assert set(zip(*(x.tolist() for x in index.search(near)))) == got
         want = {(q, i) for q in range(20) for i in range(20) if (int(near[q]) ^ int(base[i])).bit_count() <= decontam.RADIUS}
         assert got == want
 
+    def test_recall_about_the_bound(self):
+        """Passages of similarity 0.8 to 0.9, by the exact similarity of their best window."""
+        w, caught, all_ = Words(12), 0, 0
+        texts = [w.text(n) for n in (20, 40, 80) for _ in range(12)]
+        items = decontam.Items(list(range(len(texts))), texts)
+        for j, item in enumerate(texts):
+            for n in range(1, 9):
+                passage = w.changed(item, n) if n % 2 else " ".join(item.split(" ")[: -n or None]) + " " + w.text(n)
+                near, size = [], items.words[j]
+                words = decontam._words(pa.array([w.text(10) + " " + passage + " " + w.text(10)], pa.large_string()))[0]
+                for i in range(len(words) - size + 1):
+                    near.append(items.verify(j, decontam.shingle_hashes(words[i : i + size], 5)))
+                if 0.8 <= max(near) < 0.9:
+                    all_ += 1
+                    data, offsets = decontam.utf8(pa.array([w.text(10) + " " + passage + " " + w.text(10)]))
+                    caught += any(f[1] == j for f in decontam.found_in(data, offsets, items))
+        assert all_ > 30 and caught / all_ >= 0.95
+
+    def test_many_short_items(self):
+        w = Words(13)
+        texts = [w.text(6) for _ in range(20_000)]
+        items = decontam.Items(list(range(len(texts))), texts)
+        data, offsets = decontam.utf8(pa.array([w.text(30) + " " + texts[i] + " " + w.text(30) for i in range(0, 20_000, 200)]))
+        assert {(r, i) for r, i, *_ in decontam.found_in(data, offsets, items)} >= {(k, 200 * k) for k in range(100)}
+
     def test_empty_sides(self, spark, items):
         none = spark.createDataFrame([], "item_id long, text string")
         assert decontam.contaminated(frame(spark, items), none).count() == 0

@@ -7,12 +7,14 @@ loses nothing. A window's SimHash is looked up in blocks of bits: fingerprints w
 within RADIUS // BLOCKS bits, so every item within the radius is found. What is found is verified by the weighted Jaccard
 similarity of the shingle counts (weight: log(1 + items / items that have the shingle)), at least SIMILARITY.
 
-Items are held by every task, in blocks of at most ITEM_BYTES of text; a larger benchmark takes several passes. Weights are those
-of the whole benchmark in every pass: shingles that two items or more have are counted once over all items, and every block has
-their table; all others, of one item or none, have the same weight.
+Items are held by every task, in blocks of at most ITEM_BYTES of text and ITEMS_MOST items; a larger benchmark takes several passes.
+An item takes some 30 bytes for each of its words and 1 KB beside them, and what is looked up at once is bounded by PAIRS. Weights
+are those of the whole benchmark in every pass: shingles that two items or more have are counted once over all items, and every
+block has their table; all others, of one item or none, have the same weight.
 
 Defined cases: null and empty texts and items without words never match; an item of fewer words than a shingle is one shingle;
-repeated rows give repeated result rows; equal items are each reported."""
+repeated rows give repeated result rows; equal items are each reported; an item without an id is matched like any other and
+reported with a null id."""
 
 from __future__ import annotations
 
@@ -28,9 +30,9 @@ from pyspark.sql import functions as F
 from .common import CHUNK_BYTES, WORD_BYTE, fold_case, gather, mix, read_table, spans, utf8, with_batch_rows, word_bounds, word_hashes
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 20, 7
-ITEM_BYTES = 4 << 20
-#: Windows that are fingerprinted at once.
-WINDOWS = 4096
+ITEM_BYTES, ITEMS_MOST = 4 << 20, 1 << 15
+#: Windows that are fingerprinted at once, and windows times items that are looked up at once.
+WINDOWS, PAIRS = 4096, 1 << 20
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -54,18 +56,18 @@ def simhash(weights: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: n
 
 
 class MultiIndex:
-    """Finds all of a set of fingerprints within a radius, by blocks of bits."""
+    """Finds all of a set of fingerprints within a radius, by blocks of bits: of each block the items are listed by their value
+    (8 bytes an item), and a fingerprint looks up its own value and all within radius // blocks bits of it."""
 
     def __init__(self, prints: np.ndarray, radius: int = RADIUS, blocks: int = BLOCKS) -> None:
-        self.prints, self.radius = prints, radius
-        self.edges = [64 * i // blocks for i in range(blocks + 1)]
-        self.near = []  # of each block: for each of its values the items that are near enough
-        for lo, hi in zip(self.edges, self.edges[1:]):
-            values, table = self._block(prints, lo, hi), np.zeros((1 << (hi - lo), len(prints)), bool)
-            for k in range(radius // blocks + 1):
-                for flip in combinations(range(hi - lo), k):
-                    table[values ^ sum(1 << b for b in flip), np.arange(len(prints))] = True
-            self.near.append(table)
+        self.prints, self.radius, self.blocks = prints, radius, []
+        edges = [64 * i // blocks for i in range(blocks + 1)]
+        for lo, hi in zip(edges, edges[1:]):
+            values = self._block(prints, lo, hi)
+            order = np.argsort(values, kind="stable")
+            starts = np.searchsorted(values[order], np.arange((1 << (hi - lo)) + 1))
+            flips = np.array([sum(1 << b for b in c) for k in range(radius // blocks + 1) for c in combinations(range(hi - lo), k)])
+            self.blocks.append((lo, hi, order, starts, flips))
 
     @staticmethod
     def _block(prints: np.ndarray, lo: int, hi: int) -> np.ndarray:
@@ -73,9 +75,20 @@ class MultiIndex:
 
     def search(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which of prints, which item) for all pairs within the radius."""
+        most = max(1, PAIRS // max(1, len(self.prints)))
+        parts = [self._search(prints[a : a + most]) for a in range(0, len(prints), most)]
+        if len(parts) == 1:
+            return parts[0]
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *(q + k * most for k, (q, _) in enumerate(parts))]), np.concatenate([none, *(i for _, i in parts)])
+
+    def _search(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found = np.zeros((len(prints), len(self.prints)), bool)
-        for table, lo, hi in zip(self.near, self.edges, self.edges[1:]):
-            found |= table[self._block(prints, lo, hi)]
+        for lo, hi, order, starts, flips in self.blocks:
+            values = self._block(prints, lo, hi)[:, None] ^ flips
+            begin = starts[values].ravel()
+            n = starts[values + 1].ravel() - begin
+            found[np.repeat(np.repeat(np.arange(len(prints)), len(flips)), n), order[gather(begin, n)]] = True
         q, i = np.nonzero(found)
         ok = np.bitwise_count(prints[q] ^ self.prints[i]) <= self.radius
         return q[ok], i[ok]
@@ -92,13 +105,13 @@ def _words(texts: pa.Array) -> list[np.ndarray]:
 class Items:
     """A block of benchmark items, ready for search."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], k: int = SHINGLE, similarity: float = SIMILARITY, counted: tuple[int, np.ndarray, np.ndarray] | None = None) -> None:
+    def __init__(self, ids: list[int | None], texts: list[str | None], k: int = SHINGLE, similarity: float = SIMILARITY, counted: tuple[int, np.ndarray, np.ndarray] | None = None) -> None:
         """counted: how many items there are in all blocks, the shingles (sorted) that several of them have, and how many have each."""
         self.k, self.similarity = k, similarity
         self.ids, self.words, shingles = [], [], []
         for i, words in enumerate(_words(pa.array([t or "" for t in texts], pa.large_string()))):
             if len(words):
-                self.ids.append(int(ids[i]))
+                self.ids.append(ids[i])
                 self.words.append(len(words))
                 shingles.append(shingle_hashes(words, k))
         self.shingles = [np.unique(s, return_counts=True) for s in shingles]
@@ -215,13 +228,13 @@ def count_shingles(rows: DataFrame, k: int = SHINGLE) -> tuple[int, np.ndarray,
     return int(total), shingles[order], n[order]
 
 
-def item_blocks(benchmark: DataFrame, most: int = ITEM_BYTES) -> Iterator[Items]:
+def item_blocks(benchmark: DataFrame, most: int = ITEM_BYTES, items_most: int = ITEMS_MOST) -> Iterator[Items]:
     """The benchmark in blocks of bounded size, for one pass over the documents each."""
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    rows = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     counted, rows = count_shingles(rows), rows.orderBy("item_id", "text")
     ids, texts, held = [], [], 0
     for r in rows.toLocalIterator():
-        if held and held + len(r["text"]) > most:
+        if held and (held + len(r["text"]) > most or len(ids) >= items_most):
             yield Items(ids, texts, counted=counted)
             ids, texts, held = [], [], 0
         ids.append(r["item_id"])
