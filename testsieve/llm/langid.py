@@ -5,8 +5,9 @@ is hashed to one of BUCKETS embeddings of DIM numbers. The text is the mean of i
 give the languages' probabilities. The temperature of the softmax and the bound under which a prediction is rejected are
 calibrated on rows that the training doesn't see: at most REJECT of the correctly labelled ones fall under the bound.
 
-Training uses at most SAMPLE labelled rows of each language, drawn by a hash of their id, of at most SAMPLE_CHARS code points
-each; prediction reads whole texts. Only text and lang of the rows given for training are used.
+Training uses at most SAMPLE labelled rows of each language, drawn by a hash of their id and text, of at most SAMPLE_CHARS code
+points each; prediction reads whole texts. Only text and lang of the rows given for training are used. A repeated row is drawn
+once. Of the table the draw reads the languages for their counts, and the texts in one pass.
 
 Defined cases: text that is null or has no letter is `und` with score 0 and rejected; so is all text if no row can train; null
 lang doesn't train; repeated rows give repeated result rows."""
@@ -18,13 +19,15 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, LOWER, read_table, spans, utf8, with_batch_rows
 
 GRAMS, BUCKETS, DIM = (3, 4), 1 << 16, 16
 SAMPLE, SAMPLE_CHARS, EPOCHS, RATE, REJECT, SEED = 600, 20_000, 6, 0.5, 0.001, 7
+#: A draw is a number below DRAWS. So many times the wanted rows are drawn, as long ones drop out then.
+DRAWS, DRAWN = 1 << 62, 2
 
 _FOLD = LOWER.copy()
 _FOLD[:65] = _FOLD[91:97] = _FOLD[123:128] = 32
@@ -148,19 +151,19 @@ def calibrate(model: Model, texts: list[str], y: np.ndarray) -> Model:
 
 def sample(labelled: DataFrame, per_language: int = SAMPLE) -> tuple[list[str], list[str]]:
     """Texts and languages of at most per_language rows of each language, the same rows whatever the partitioning."""
-    rows = labelled.where(f"lang is not null and text is not null and length(text) <= {SAMPLE_CHARS}").select("text", "lang", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)).alias("draw"))
-    # the bound of each language's draw follows from its count, so few rows more than wanted leave the executors
+    rows = labelled.where("lang is not null")
+    # the bound of each language's draw follows from its count, so few rows more than wanted leave the tasks
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return [], []
     wanted = F.lit(False)
     for lang, n in counts.items():
-        wanted = wanted | ((F.col("lang") == lang) & (F.col("draw") < int(min(1.0, 1.2 * per_language / n) * (1 << 20)) + 1))
-    found: dict[str, list[str]] = {}
-    for r in rows.where(wanted).orderBy("draw", "text").collect():
-        found.setdefault(r["lang"], []).append(r["text"])
-    pairs = [(t, lang) for lang in sorted(found) for t in found[lang][:per_language]]
-    return [t for t, _ in pairs], [lang for _, lang in pairs]
+        wanted = wanted | ((F.col("lang") == lang) & (F.col("draw") <= min(DRAWS - 1, DRAWS * DRAWN * per_language // n)))
+    rows = rows.select("lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2).alias("draw")).where(wanted & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    rows = rows.groupBy("lang", "draw", "text").agg(F.lit(1))
+    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))).where(F.col("k") <= per_language)
+    pairs = sorted((r["lang"], r["k"], r["text"]) for r in first.select("lang", "k", "text").collect())  # at most per_language of each
+    return [t for _, _, t in pairs], [lang for lang, _, _ in pairs]
 
 
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
