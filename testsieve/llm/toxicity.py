@@ -22,7 +22,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, WORD_BYTE, fold_case, gather, read_table, spans, utf8, with_batch_rows, word_bounds, word_hashes
@@ -31,6 +31,8 @@ WINDOW, STRIDE = 24, 12
 HIDDEN, WORD_DIM, CHAR_DIM, WORD_BUCKETS, CHAR_BUCKETS = 8, 8, 12, 1 << 12, 1 << 13
 POSITIVES, NEGATIVES, SAMPLE_CHARS = 900, 1500, 3000
 EPOCHS, BATCH_TEXTS, RATE, SEED = 5, 24, 0.015, 11
+#: A draw is a number below DRAWS.
+DRAWS = 1 << 62
 #: Windows that are read at once.
 WINDOWS = 2048
 
@@ -103,6 +105,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _both_ways(windows: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each step the rows that the windows' words have in two tables of so many rows, one upon the other, forwards and
+    backwards (no word: a table's last row); and whether there is a word."""
+    at = np.where(windows >= 0, windows, rows - 1).T
+    there = (windows >= 0).T
+    return np.hstack([at, at[::-1] + rows]), np.stack([there, there[::-1]], axis=1)[..., None]
+
+
+def _summed(index: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+    """The sums of the values (index x columns) that have each row as their index."""
+    return np.stack([np.bincount(index, weights=c, minlength=rows) for c in np.ascontiguousarray(values.T)], axis=1).astype(np.float32)
+
+
 class Network:
     def __init__(self, seed: int = SEED) -> None:
         rng = np.random.default_rng(seed)
@@ -127,26 +142,25 @@ class Network:
         return {s: np.vstack([x @ self.p[f"w{s}"], np.zeros((1, 3 * HIDDEN), np.float32)]) + self.p[f"c{s}"] for s in ("f", "b")}
 
     def run(self, tables: dict[str, np.ndarray], windows: np.ndarray, keep: bool = False):
-        """The logits of windows (word numbers, -1: none); with keep also what the gradient needs."""
+        """The logits of windows (word numbers, -1: none); with keep also what the gradient needs. Both directions take a step at
+        once: the one at word t, the other at word t from the end."""
         b, h = len(windows), HIDDEN
-        states = np.zeros((WINDOW, b, 2 * h), np.float32)
-        held = {}
-        for s, order in (("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1))):
-            u, now, steps = self.p[f"u{s}"], np.zeros((b, h), np.float32), {}
-            at = slice(0, h) if s == "f" else slice(h, 2 * h)
-            for t in order:
-                x, q = tables[s][windows[:, t]], now @ u
-                gates = _sigmoid(x[:, : 2 * h] + q[:, : 2 * h])
-                z, r = gates[:, :h], gates[:, h:]
-                n = np.tanh(x[:, 2 * h :] + r * q[:, 2 * h :])
-                then = n + z * (now - n)
-                if (windows[:, t] < 0).any():
-                    then = np.where(windows[:, t, None] >= 0, then, now)
-                if keep:
-                    steps[t] = (now, z, r, n, q[:, 2 * h :])
-                now = then
-                states[t, :, at] = now
-            held[s] = steps
+        states = np.empty((WINDOW, b, 2 * h), np.float32)
+        table, (places, on) = np.vstack([tables["f"], tables["b"]]), _both_ways(windows, len(tables["f"]))
+        u, now, held = np.stack([self.p["uf"], self.p["ub"]]), np.zeros((2, b, h), np.float32), []
+        full = on.all(axis=(1, 2, 3))
+        for t in range(WINDOW):
+            x, q = table[places[t]].reshape(2, b, 3 * h), now @ u
+            gates = _sigmoid(x[:, :, : 2 * h] + q[:, :, : 2 * h])
+            z, r = gates[:, :, :h], gates[:, :, h:]
+            n = np.tanh(x[:, :, 2 * h :] + r * q[:, :, 2 * h :])
+            then = n + z * (now - n)
+            if not full[t]:
+                then = np.where(on[t], then, now)
+            if keep:
+                held.append((now, z, r, n, q[:, :, 2 * h :]))
+            now = then
+            states[t, :, :h], states[WINDOW - 1 - t, :, h:] = now
         e = np.tanh(states.reshape(-1, 2 * h) @ self.p["a"]).reshape(WINDOW, b, h)
         weight = e @ self.p["v"]
         weight[windows.T < 0] = -1e9
@@ -170,29 +184,31 @@ class Network:
         flat = d_e.reshape(-1, h)
         g["a"] = states.reshape(-1, 2 * h).T @ flat
         d_states += (flat @ p["a"].T).reshape(states.shape)
+        b, v = len(windows), len(x) + 1
+        places, on = _both_ways(windows, v)
+        steps, u = np.empty((WINDOW, 2, b, 3 * h), np.float32), np.stack([p["uf"], p["ub"]])
+        g_u, carried, back = np.zeros_like(u), np.zeros((2, b, h), np.float32), np.ascontiguousarray(u.transpose(0, 2, 1))
+        for t in range(WINDOW - 1, -1, -1):
+            before, z, r, n, q = held[t]
+            d = np.stack([d_states[t, :, :h], d_states[WINDOW - 1 - t, :, h:]]) + carried
+            new = d * on[t]
+            d_n = new * (1 - z) * (1 - n * n)
+            d_q = np.empty((2, b, 3 * h), np.float32)
+            d_q[:, :, :h] = new * (before - n) * z * (1 - z)
+            d_q[:, :, h : 2 * h] = d_n * q * r * (1 - r)
+            d_q[:, :, 2 * h :] = d_n * r
+            steps[t] = d_q
+            steps[t, :, :, 2 * h :] = d_n
+            g_u += before.transpose(0, 2, 1) @ d_q
+            carried = d - new + new * z + d_q @ back
+        d_both = _summed(places.ravel(), steps.reshape(-1, 3 * h), 2 * v)
         d_x = np.zeros_like(x)
-        for s, order in (("f", range(WINDOW - 1, -1, -1)), ("b", range(WINDOW))):
-            at, u = (slice(0, h) if s == "f" else slice(h, 2 * h)), p[f"u{s}"]
-            g[f"u{s}"], d_table = np.zeros_like(u), np.zeros((len(x) + 1, 3 * h), np.float32)
-            carried = np.zeros((windows.shape[0], h), np.float32)
-            for t in order:
-                before, z, r, n, q = held[s][t]
-                on = (windows[:, t, None] >= 0).astype(np.float32)
-                d = d_states[t, :, at] + carried
-                new = d * on
-                d_n = new * (1 - z) * (1 - n * n)
-                d_z = new * (before - n) * z * (1 - z)
-                d_r = d_n * q * r * (1 - r)
-                d_q = np.hstack([d_z, d_r, d_n * r])
-                g[f"u{s}"] += before.T @ d_q
-                carried = d * (1 - on) + new * z + d_q @ u.T
-                np.add.at(d_table, windows[:, t], np.hstack([d_z, d_r, d_n]))
-            g[f"c{s}"] = d_table[:-1].sum(axis=0)
-            g[f"w{s}"] = x.T @ d_table[:-1]
-            d_x += d_table[:-1] @ p[f"w{s}"].T
-        g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
-        np.add.at(g["word"], words.bucket, d_x[:, :WORD_DIM])
-        np.add.at(g["char"], words.grams, np.repeat(d_x[:, WORD_DIM:] / np.maximum(words.n_grams, 1)[:, None], words.n_grams, axis=0))
+        for k, s in enumerate("fb"):
+            d_table = d_both[k * v : k * v + v - 1]
+            g[f"u{s}"], g[f"c{s}"], g[f"w{s}"] = g_u[k], d_table.sum(axis=0), x.T @ d_table
+            d_x += d_table @ p[f"w{s}"].T
+        g["word"] = _summed(words.bucket, d_x[:, :WORD_DIM], WORD_BUCKETS)
+        g["char"] = _summed(words.grams, np.repeat(d_x[:, WORD_DIM:] / np.maximum(words.n_grams, 1)[:, None], words.n_grams, axis=0), CHAR_BUCKETS)
         return g
 
     def text_logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -289,16 +305,14 @@ def calibrate(net: Network, texts: list[str], y: np.ndarray) -> Network:
 
 
 def sample(labelled: DataFrame) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most POSITIVES and NEGATIVES rows (text, toxic, draw), the same whatever the partitioning."""
-    rows = labelled.where(f"toxic in (0, 1) and text is not null and length(text) <= {SAMPLE_CHARS}")
-    counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}  # two rows
-    wanted, most = F.lit(False), {0: NEGATIVES, 1: POSITIVES}
-    for kind, n in counts.items():
-        wanted = wanted | ((F.col("toxic") == kind) & (F.col("draw") < int(min(1.0, 1.2 * most[kind] / n) * (1 << 20)) + 1))
-    found: dict[int, list[str]] = {0: [], 1: []}
-    for r in rows.where(wanted).orderBy("draw", "text").collect():
-        found[r["toxic"]].append(r["text"])
-    return [t for k in (0, 1) for t in found[k][: most[k]]], [k for k in (0, 1) for _ in found[k][: most[k]]]
+    """Texts and labels of at most POSITIVES and NEGATIVES rows (text, toxic, draw), the same whatever the partitioning. A row that
+    is repeated is drawn once."""
+    rows = labelled.where(F.col("toxic").isin(0, 1) & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    rows = rows.groupBy("toxic", "draw", "text").agg(F.lit(1))
+    most = F.when(F.col("toxic") == 1, POSITIVES).otherwise(NEGATIVES)
+    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("toxic").orderBy("draw", "text"))).where((F.col("k") <= max(POSITIVES, NEGATIVES)) & (F.col("k") <= most))
+    found = sorted((r["toxic"], r["k"], r["text"]) for r in first.select("toxic", "k", "text").collect())
+    return [t for _, _, t in found], [k for k, _, _ in found]
 
 
 def _scored(batches: Iterator[pa.RecordBatch], net: Network | None) -> Iterator[pa.RecordBatch]:
@@ -323,12 +337,12 @@ def _part() -> Column:
 def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
     """The network of the labelled rows that aren't held out. Labels are drawn first, so few texts meet them."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).where(_part() != 0)
-    known = known.withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)))
+    known = known.withColumn("draw", F.shiftrightunsigned(F.xxhash64("doc_id"), 2))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     # long texts drop out later, so four times the wanted rows are drawn; the table is bounded by that and may be broadcast
     wanted = F.lit(False)
     for kind, most in ((0, NEGATIVES), (1, POSITIVES)):
-        wanted = wanted | ((F.col("toxic") == kind) & (F.col("draw") < int(min(1.0, 4 * most / max(1, counts.get(kind, 0))) * (1 << 20)) + 1))
+        wanted = wanted | ((F.col("toxic") == kind) & (F.col("draw") <= min(DRAWS - 1, DRAWS * 4 * most // max(1, counts.get(kind, 0)))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known.where(wanted)), "doc_id").select("text", "toxic", "draw")
     return train(*sample(rows))
 
