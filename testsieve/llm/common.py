@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -21,11 +22,32 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (local runs)."""
+    """The folder that driver and executors share. Only a run in one JVM, where all share any folder, may leave it unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), "checkpoints")
-    return found.rstrip("/")
+    if not found and not _local(spark):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (found or os.path.join(tempfile.gettempdir(), "checkpoints")).rstrip("/")
+
+
+def _local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
+
+
+#: Paths of this thread's tables that cut() wrote and nobody dropped yet, in order.
+_HELD = threading.local()
+
+
+def held() -> list[str]:
+    if not hasattr(_HELD, "paths"):
+        _HELD.paths = []
+    return _HELD.paths
+
+
+def drop_since(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
+    """Deletes what cut() wrote since held() was `mark` long, but for the given frames; nothing else may read it any more."""
+    kept = [df._cut_path for df in keep]
+    for path in [p for p in held()[mark:] if p not in kept]:
+        _delete(spark, path)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -38,6 +60,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    held().append(path)
     release(spark)
     return out
 
@@ -50,10 +73,14 @@ def release(spark: SparkSession) -> None:
 
 def drop_cut(df: DataFrame) -> None:
     """Deletes what cut() wrote; the frame must not be used afterwards."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(df._cut_path)
+    _delete(df.sparkSession, df._cut_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    if path in held():
+        held().remove(path)
 
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -540,6 +540,7 @@ def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without the near copies: of each component the row of the smallest doc_id stays, of repeated rows one. Copies are
     what op10 links, and texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
     uid = fresh_name(docs, "uid")
-    rows = docs.withColumn(uid, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    # maps can't be hashed as they are
+    rows = docs.withColumn(uid, F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes]))
     kept = similar_duplicates(rows, key=("doc_id", uid)).where((F.col("doc_id").eqNullSafe(F.col("rep.doc_id"))) & (F.col(uid) == F.col("rep")[uid]))
     return rows.join(kept.select(uid).distinct(), uid, "left_semi").dropDuplicates([uid]).select(*[F.col(f"`{c}`") for c in docs.columns])
