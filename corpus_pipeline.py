@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from testsieve.llm.bpe import bpe_stage
-from testsieve.llm.common import cut
+from testsieve.llm.common import cut, drop_since, held
 from testsieve.llm.decontam import decontam_stage
 from testsieve.llm.langid import langid_stage
 from testsieve.llm.line_dedup import line_dedup_stage
@@ -28,7 +28,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, applied to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), len(held())
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), "stage")
+        # what the stage and the ones before it wrote has had its last reader
+        drop_since(spark, mark, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
