@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import re._constants as sre
 import re._parser as sre_parser
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -117,7 +119,7 @@ class TestChat:
 class TestDigest:
     def test_entropy_of_every_window(self):
         data = np.random.default_rng(0).integers(97, 104, 400).astype(np.uint8)
-        plain = [sum(int(digest._TERM[c]) for c in np.bincount(data[i : i + 64]) if c) for i in range(len(data) - 63)]
+        plain = [sum(int(digest._TERM[c]) for c in np.bincount(data[i : i + digest.WINDOW]) if c) for i in range(len(data) - digest.WINDOW + 1)]
         assert digest.window_entropy(data).tolist() == plain
 
     def test_digest_doesnt_depend_on_neighbours(self):
@@ -128,6 +130,82 @@ class TestDigest:
             assert np.array_equal(d, digest.digests([t])[0])
         assert all(len(d) for d in together[1:]) and not len(together[0])
 
+    @staticmethod
+    def brute(text: bytes) -> list[set[int]]:
+        """The bits of each filter, by the definition."""
+        if not text:
+            return []
+
+        def mix(x):
+            for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                x = ((x ^ (x >> shift)) * times) % (1 << 64)
+            return x ^ (x >> 31)
+
+        base, w, r = 0x9E3779B97F4A7C15, digest.WINDOW, digest.RUN
+        order = sorted(digest.SHARES, key=lambda h: (h < digest.LOW, digest.SHARES[h], h))
+        windows = [text[i : i + w] for i in range(max(1, len(text) - w + 1))]
+        hashes = [mix(sum((b + 1) * base**k for k, b in enumerate(t)) % (1 << 64) ^ len(t)) for t in windows]
+        entropy = [-sum(c / w * math.log2(c / w) for c in Counter(t).values()) if len(t) == w else 0 for t in windows]
+        keys = [(order.index(int(64 * h + 1e-6)), x >> 40, i) for i, (h, x) in enumerate(zip(entropy, hashes))]
+        points = Counter(min(keys[max(0, i) : i + r])[2] for i in range(1 - r, len(keys)))
+        chosen = [hashes[i] for i in sorted(points) if points[i] >= digest.POINTS]
+        parts = [chosen[i : i + digest.FILTER_MOST] for i in range(0, len(chosen), digest.FILTER_MOST)]
+        return [{(x >> 11 * k) % digest.FILTER_BITS for x in part for k in range(digest.HASHES)} for part in parts]
+
+    @staticmethod
+    def brute_likeness(a: list[set[int]], b: list[set[int]]) -> float:
+        if not a or not b:
+            return float(a == b)
+        if a == b:
+            return 1.0
+        a, b = sorted((a, b), key=len)
+        best = []
+        for x in a:
+            some = []
+            for y in b:
+                chance = len(x) * len(y) / digest.FILTER_BITS
+                some.append(min(1.0, max(0.0, (len(x & y) - chance) / max(1, min(len(x), len(y)) - chance))))
+            best.append(max(some))
+        return sum(best) / len(best)
+
+    @pytest.mark.parametrize("piece", [200, 1 << 19])
+    def test_against_brute_force(self, monkeypatch, piece):
+        monkeypatch.setattr(digest, "PIECE", piece)
+        rng = random.Random(8)
+        texts = ["", "a", "ab", "abcdefg", "abcdefgh", "abcdefghi", "z" * 300, "01" * 200, "=" * 40 + "-" * 40, "é漢😀" * 30]
+        texts += ["".join(rng.choice("01") for _ in range(700)), "".join(rng.choice("abcdefgh ij") for _ in range(1500))]
+        texts += [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "x", "7"]) for _ in range(n)) for n in (1, 4, 30, 900)]
+        made, want = digest.digests([t.encode() for t in texts]), [self.brute(t.encode()) for t in texts]
+        for m, w in zip(made, want):
+            assert [set(np.flatnonzero(np.unpackbits(f, bitorder="little")).tolist()) for f in m] == w
+        for i in range(len(texts)):
+            for j in (i, (i + 1) % len(texts), (i + 5) % len(texts), len(texts) - 1):
+                assert digest.likeness(made[i], made[j]) == pytest.approx(self.brute_likeness(want[i], want[j]))
+
+    def test_texts_of_little_entropy_count_whole(self):
+        rng = random.Random(2)
+        head = "".join(rng.choice("01") for _ in range(100))
+        a, b = ("".join([head, *(rng.choice("01") for _ in range(1500))]).encode() for _ in range(2))
+        da, db = digest.digests([a, b])
+        assert digest.likeness(da, db) < 0.9
+
+    def test_query_against_brute_force(self, spark, tmp_path):
+        rng = random.Random(6)
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9))) for _ in range(500)]
+        texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 200))) for _ in range(30)] + [None, "", "é" * 90]
+        frame = spark.createDataFrame([(10 * i - 100, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, near_next string")
+        frame.write.parquet(str(tmp_path / "documents.parquet"))
+        got = {r["doc_id"]: r for r in digest.op2_rare_digest(spark, str(tmp_path)).collect()}
+        ordered = sorted(((10 * i - 100, t or "") for i, t in enumerate(texts)), reverse=True)
+        assert set(got) == {i for i, _ in ordered}
+        for (i, t), (_, after) in zip(ordered, ordered[1:] + ordered[:1]):
+            changed = digest.edited(t, after)
+            own, other, following = (self.brute(x.encode()) for x in (t, changed, after))
+            r = got[i]
+            assert (r["n_chars"], r["edited_sha256"]) == (len(t), sha(changed))
+            assert (r["fingerprint"] == got[max(got)]["fingerprint"]) == (t == ordered[0][1])
+            assert r["near_edited"] == pytest.approx(self.brute_likeness(own, other)) and r["near_next"] == pytest.approx(self.brute_likeness(own, following))
+
     def test_likeness(self):
         rng = random.Random(3)
         words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(4000)]

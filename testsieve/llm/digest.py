@@ -1,15 +1,16 @@
 """Improbable-feature digests: byte windows ranked by entropy-based rarity, in chained Bloom filters.
 
 Method. Every window of WINDOW bytes has an entropy, kept exactly by integer updates as the window slides. Its rarity rank
-comes from that entropy: windows of little entropy (repeats, padding) and the very common middle of ordinary text rank behind
-the rarer values. In every run of RUN windows the leftmost of the best rank gets a point; windows of at least POINTS points
-are the features. A feature's hash sets HASHES bits of the text's last Bloom filter of FILTER_BITS bits; a filter takes
-FILTER_MOST features, then the next one is chained. Likeness compares each filter of the shorter digest with its best match in
-the longer one: the bits that both have, less what two filters of these weights share by chance, divided by the most that they
-could share; averaged, 0 to 1.
+comes from that entropy: the fewer windows of ordinary text have it (SHARES, measured), the better; windows of little entropy
+(repeats, padding) rank last. In every run of RUN windows the one of the best rank gets a point (ties: the least hash, then the
+first); runs reach over both ends of a text, so that its first and last windows are in as many as others. Windows of at least
+POINTS points are the features; a text of fewer bytes than a window is one window. So one rule holds for texts of every size and
+kind, and each that isn't empty has a feature. A feature's hash sets HASHES bits of the text's last Bloom filter of FILTER_BITS
+bits; a filter takes FILTER_MOST features, then the next one is chained. Likeness compares each filter of the shorter digest with
+its best match in the longer one: the bits that both have, less what two filters of these weights share by chance, divided by
+the most that they could share; averaged, 0 to 1.
 
-Short texts have few windows that stand out, so texts under SHORT bytes have runs of SMALL bytes as features too. Equal texts
-give equal digests. Null and empty texts have the empty digest; it is like itself (1), and unlike any other (0).
+Equal texts give equal digests. Null and empty texts have the empty digest; it is like itself (1), and unlike any other (0).
 
 op2: documents are dealt into runs of neighbouring doc_id by quantiles of the ids; the first row of each run also goes to the
 run before, so each text is moved once (compressed) and the next one is at hand. Ties of doc_id are ordered by the text's hash;
@@ -27,17 +28,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import POWERS, gather, mix, read_table, with_batch_rows
+from .common import POWERS, gather, mix, read_table, spans, with_batch_rows
 
-WINDOW, RUN, POINTS = 64, 64, 6
-#: Texts under SHORT bytes have features of SMALL bytes too: every one under WINDOW + RUN - 1 bytes, else a quarter of them.
-SHORT, SMALL = 512, 8
+WINDOW, RUN, POINTS = 8, 32, 3
 FILTER_BITS, FILTER_MOST, HASHES = 2048, 160, 5
 #: Documents of a run of neighbours at least, and runs at most (the driver holds a bound and an id of each; longer runs are
 #: streamed, so their length costs no memory).
 RUN_DOCS, RUNS_MOST = 2000, 20_000
 #: Bytes that the kernels take at once.
-BLOCK = 1 << 17
+PIECE = 1 << 19
 
 _ONE = 1 << 40
 _C = np.arange(WINDOW + 1)
@@ -46,34 +45,37 @@ _TERM = np.where(_C > 0, np.rint(-(_C / WINDOW) * np.log2(np.maximum(_C, 1) / WI
 #: What the entropy gains when a byte that stood c times enters, and loses when one that stands c more times leaves.
 _GAIN = np.append(_TERM[1:] - _TERM[:-1], 0)
 
-#: Entropy in 1/64 bits, 0 to 6 bits. Ordinary text lies between COMMON's bounds; windows outside it are rarer the farther away
-#: they are on the upper side; under LOW they say nothing.
-_LOW, _COMMON = 2.0, (3.85, 4.25)
+#: Fixed values, measured over the documents of sf0.1: of a million windows of 8 bytes, how many have each entropy (in 1/64 bits).
+SHARES = {
+    0: 0, 34: 0, 51: 1, 61: 1, 64: 150, 67: 16, 83: 25, 89: 555, 96: 112, 99: 3862, 112: 3142, 115: 3585, 121: 13702, 128: 9024, 137: 67342, 144: 64667, 153: 65999,
+    160: 263432, 176: 360973, 192: 143412,
+}
+#: Windows under so many 64ths of a bit, of three different bytes at most, rank last.
+LOW = 96
 
 
-def _rank_table() -> np.ndarray:
-    h = np.arange(6 * 64 + 1) / 64
-    mid = sum(_COMMON) / 2
-    rank = np.where(h < _LOW, 1000, np.where(h > mid, 400 - 64 * (h - mid), 400 - 32 * (mid - h)))
-    return np.clip(np.rint(rank), 0, 1000).astype(np.uint32)
+def rank_table(shares: dict[int, int], low: int = LOW) -> np.ndarray:
+    """The rank of each entropy (in 1/64 bits): 0 is the rarest."""
+    order = sorted(shares, key=lambda h: (h < low, shares[h], h))
+    table = np.zeros(64 * 3 + 1, np.uint64)
+    for rank, h in enumerate(order):
+        table[h] = rank
+    return table
 
 
-_RANK = _rank_table()
+_RANK = rank_table(SHARES)
 
 
 def window_entropy(data: np.ndarray) -> np.ndarray:
     """The entropy of each window of WINDOW bytes, scaled by 2**40. Exact: the same window has the same value anywhere."""
+    if len(data) < WINDOW:
+        return np.zeros(0, np.int64)
     n = len(data) - WINDOW + 1
-    before, after = np.zeros(len(data), np.uint8), np.zeros(len(data), np.uint8)  # equal bytes among the 63 before and after
-    for a in range(0, len(data), BLOCK):
-        b = min(len(data), a + BLOCK)
-        for k in range(1, WINDOW):
-            if a + k >= len(data):
-                break
-            e = min(b, len(data) - k)
-            same = (data[a:e] == data[a + k : e + k]).view(np.uint8)
-            after[a:e] += same
-            before[a + k : e + k] += same
+    before, after = np.zeros(len(data), np.uint8), np.zeros(len(data), np.uint8)  # equal bytes among the others of a window before and after
+    for k in range(1, WINDOW):
+        same = (data[:-k] == data[k:]).view(np.uint8)
+        after[:-k] += same
+        before[k:] += same
     step = _GAIN[before[WINDOW:]] - _GAIN[after[: n - 1]]
     counts = np.bincount(data[:WINDOW])
     out = np.empty(n, np.int64)
@@ -84,49 +86,55 @@ def window_entropy(data: np.ndarray) -> np.ndarray:
 
 
 def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the features of all rows, by place."""
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    """(row, hash) of the features of all rows, by place, from PIECE bytes at once."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    for a, b in spans(offsets, PIECE):
+        at, end = int(offsets[a]), int(offsets[b])
+        if end - at <= PIECE:
+            row, _, hashes = _chosen(data[at:end], offsets[a : b + 1] - at)
+            found.append((row + a, hashes))
+            continue
+        # a window's points depend on the RUN - 1 windows before and after it
+        for lo in range(at, end - WINDOW + 1, PIECE):
+            first, last = max(at, lo - RUN + 1), min(end, lo + PIECE + RUN - 1 + WINDOW - 1)
+            _, place, hashes = _chosen(data[first:last], np.array([0, last - first]))
+            own = (place + first >= lo) & (place + first < lo + PIECE)
+            found.append((np.full(int(own.sum()), a), hashes[own]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _chosen(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first byte, hash) of the features."""
+    lens = np.diff(offsets)
+    rows = np.flatnonzero(lens)
+    if not len(rows):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     up, down = POWERS.get(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    lens = np.diff(offsets)
-    short = np.flatnonzero((lens > 0) & (lens < SHORT))
-    small = np.minimum(SMALL, lens[short])
-    n = lens[short] - small + 1
-    starts = [gather(offsets[short], n)]
-    ends = [starts[0] + np.repeat(small, n)]
-    thin = np.repeat(lens[short] >= WINDOW + RUN - 1, n)
-    thin &= (mix((sums[ends[0]] - sums[starts[0]]) * down[starts[0]]) & np.uint64(3)) != 0
-    starts[0], ends[0] = starts[0][~thin], ends[0][~thin]
-    if len(data) >= WINDOW:
-        index = window_entropy(data) >> 34
-        rank = _RANK[np.minimum(index, len(_RANK) - 1)].astype(np.uint64)
-        n = len(rank)
-        row_end = np.repeat(offsets[1:], lens)[:n]
-        inside = np.arange(n) + WINDOW <= row_end
-        rank[~inside] = 5000
-        key = (rank << np.uint64(32)) | np.arange(n, dtype=np.uint64)
-        best = key
-        for k in (1, 2, 4, 8, 16, 32):
-            best = np.minimum(best[: max(0, len(best) - k)], best[k:]) if len(best) > k else best[:0]
-        # only runs within a row count
-        best = best[(np.arange(len(best)) + RUN - 1 + WINDOW <= row_end[: len(best)])] & np.uint64(0xFFFFFFFF)
-        place, points = np.unique(best, return_counts=True) if len(best) else (best, best)
-        place = place[(points >= POINTS)].astype(np.int64)
-        place = place[rank[place] < 1000]
-        # a row in which no window stands out, such as one repeated character, still has its first window
-        got = np.bincount(np.searchsorted(offsets, place, side="right") - 1, minlength=len(lens))
-        bare = np.flatnonzero((lens >= WINDOW + RUN - 1) & (got == 0))
-        place = np.concatenate([place, offsets[bare]])
-        starts.append(place)
-        ends.append(place + WINDOW)
-    starts, ends = np.concatenate(starts), np.concatenate(ends)
-    order = np.argsort(starts, kind="stable")
-    starts, ends = starts[order], ends[order]
+    n = np.maximum(1, lens[rows] - WINDOW + 1)
+    starts = gather(offsets[rows], n)
+    ends = np.minimum(starts + WINDOW, np.repeat(offsets[rows + 1], n))
     hashes = mix(((sums[ends] - sums[starts]) * down[starts]) ^ (ends - starts).astype(np.uint64))
-    row = np.searchsorted(offsets, starts, side="right") - 1
-    return row, hashes
+    # the only window of a row of fewer bytes has any rank
+    index = np.zeros(len(data), np.int64)
+    entropy = (window_entropy(data) + (1 << 10)) >> 34  # what was rounded, rounded up
+    index[: len(entropy)] = entropy
+    key = (_RANK[index[starts]] << np.uint64(56)) | ((hashes >> np.uint64(40)) << np.uint64(32)) | np.arange(len(starts), dtype=np.uint64)
+    # rows lie RUN - 1 empty places apart, so that no run meets two of them
+    best = np.full(len(starts) + (RUN - 1) * (len(rows) + 1), _NONE)
+    best[np.arange(len(starts)) + np.repeat((RUN - 1) * np.arange(1, len(rows) + 1), n)] = key
+    width = 1
+    while width < RUN:
+        step = min(width, RUN - width)
+        best = np.minimum(best[:-step], best[step:])
+        width += step
+    place, points = np.unique(best[best != _NONE] & np.uint64(0xFFFFFFFF), return_counts=True)
+    place = place[points >= POINTS].astype(np.int64)
+    return np.repeat(rows, n)[place], starts[place], hashes[place]
+
+
+_NONE = np.uint64((1 << 64) - 1)
 
 
 def digests(texts: list[bytes]) -> list[np.ndarray]:
