@@ -1,10 +1,9 @@
-"""python -m testsieve ingest|cluster|analyze|validate|reduce ...: the engine from the command line."""
+"""python -m testsieve ingest|vectorize|cluster|analyze|validate|reduce ...: the engine from the command line."""
 
 from __future__ import annotations
 
 import argparse
 import json
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +22,7 @@ def _parser() -> argparse.ArgumentParser:
     ingest.add_argument("store")
     ingest.add_argument("--run", type=int, required=True)
     ingest.add_argument("--commit", default="unknown")
-    for name, text in (("reduce", "findings of a stored suite"), ("cluster", "clusters of a stored suite")):
+    for name, text in (("reduce", "findings of a suite"), ("cluster", "clusters of a suite"), ("vectorize", "vectors of a suite")):
         c = sub.add_parser(name, help=text)
         c.add_argument("sources", help="JSON map of test names to source texts")
         c.add_argument("coverage", help="JSON map of test names to file:line lists")
@@ -42,8 +41,8 @@ def main(args: list[str] | None = None) -> int:
     a = _parser().parse_args(args)
     spark = SparkSession.builder.appName("testsieve").getOrCreate()
     if a.command == "ingest":
-        head = spark.read.text(a.report).first()
-        clover = readers.detect_format(a.report, head["value"] if head else "") == "clover"
+        head = spark.read.text(a.report).limit(2).agg(F.coalesce(F.array_join(F.collect_list("value"), "\n"), F.lit("")).alias("head"))
+        clover = head.select(readers.format_of(F.lit(a.report), F.col("head"))).first()[0] == "clover"
         facts = readers.clover_lines(spark, a.report).withColumn("test", F.lit("Tests\\Unit\\DefaultTest::testGeneral")) if clover else readers.coverage_text(spark, a.report)
         sinks.append_facts(readers.identified(facts).select(F.lit(a.run).alias("test_run_id"), "path", "method", "file", "line"), f"{a.store}/coverage")
         sinks.create_run(spark, f"{a.store}/runs", a.run, a.commit)
@@ -57,11 +56,15 @@ def main(args: list[str] | None = None) -> int:
     else:
         settings = PRESETS[a.preset]
         if a.config:
-            settings = settings.with_overrides(json.loads(Path(a.config).read_text()))
+            settings = settings.with_overrides(json.loads("".join(r["value"] for r in spark.read.text(a.config, wholetext=True).collect())))  # a small file
         settings = settings.with_overrides({k: v for k, v in (("algorithm", a.algorithm), ("threshold", a.threshold), ("output_format", a.output_format)) if v is not None})
         sources = readers.test_sources(spark, a.sources).withColumn("id", F.xxhash64("name"))
         lines = readers.coverage_json(spark, a.coverage).select(F.xxhash64("name").alias("test_case_id"), "file", "line").distinct()
         tests = readers.identified(sources.select("id", "name"), "name").withColumn("exec_time_ms", F.lit(None).cast("double"))
+        if a.command == "vectorize":
+            rows = pipeline.vectors(spark, sources.select("id", "source"), lines, settings).join(sources.select("id", "name"), "id")
+            sinks.write_json_map(rows.select("name", F.col("v").alias("value")), a.output)
+            return 0
         result = pipeline.create(settings.algorithm)(spark, sources.select("id", "source"), lines, tests, settings)
         if a.command == "cluster":
             sinks.write_clusters(result.clusters, settings.as_dict(), a.output)

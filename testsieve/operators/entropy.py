@@ -44,6 +44,11 @@ def damp(rows: DataFrame, weights: DataFrame, split: int) -> DataFrame:
     return met.select("id", l2_normalize(F.transform("v", lambda x, i: F.when(i < split, x * F.col("ws")).otherwise(x * F.col("wc")))).alias("v"))
 
 
+def weights(quality_rows: DataFrame) -> DataFrame:
+    """(id, ws, wc): the weights that damp() takes, the qualities of both parts."""
+    return quality_rows.select("id", F.col("semantic_quality").alias("ws"), F.col("coverage_quality").alias("wc"))
+
+
 def summary(quality_rows: DataFrame) -> DataFrame:
     """One row: least, most, mean and population deviation of the three measures, and the rows of low quality."""
     out = []
@@ -52,4 +57,4 @@ def summary(quality_rows: DataFrame) -> DataFrame:
     return quality_rows.agg(*out, F.sum(F.col("low_quality").cast("long")).alias("low_quality"))
 
 
-__all__ = ["combine", "damp", "entropy_bits", "quality", "summary"]
+__all__ = ["combine", "damp", "entropy_bits", "quality", "summary", "weights"]

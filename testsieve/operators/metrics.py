@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pairs import euclidean_kernel, label_sums, pair_scores
+from .pairs import euclidean_kernel, label_sums, nearest, pair_scores
 
 NOISE = -1
 
@@ -162,12 +162,10 @@ def balance(clusters: DataFrame) -> DataFrame:
 
 
 def k_distances(rows: DataFrame, k: int) -> DataFrame:
-    """(id, distance): of each row the distance to its k-th nearest, itself being the first. Only the k least of a row in
-    each block pair would be needed; all pairs of a group pass, sorted by row."""
-    d = pair_scores(rows.select(F.lit(0).cast("long").alias("grp"), "id", "v"), euclidean_kernel)
-    both = d.select(F.col("a").alias("id"), "score").union(d.select(F.col("b").alias("id"), "score"))
-    ranked = both.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("score")))
-    return ranked.where(F.col("r") == k - 1).select("id", F.col("score").alias("distance")) if k > 1 else rows.select("id", F.lit(0.0).alias("distance"))
+    """(id, distance): of each row the distance to its k-th nearest, itself being the first."""
+    if k <= 1:
+        return rows.select("id", F.lit(0.0).alias("distance"))
+    return nearest(rows, k - 1).where(F.col("place") == k - 1).select("id", F.col("score").alias("distance"))
 
 
 def distance_stats(distances: DataFrame) -> DataFrame:
@@ -178,12 +176,9 @@ def distance_stats(distances: DataFrame) -> DataFrame:
 
 def density(rows: DataFrame, k: int = 5) -> DataFrame:
     """(id, mean_distance) to the k nearest others."""
-    d = pair_scores(rows.select(F.lit(0).cast("long").alias("grp"), "id", "v"), euclidean_kernel)
-    both = d.select(F.col("a").alias("id"), "score").union(d.select(F.col("b").alias("id"), "score"))
-    ranked = both.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("score"))).where(F.col("r") <= k)
-    return ranked.groupBy("id").agg(F.avg("score").alias("mean_distance"))
+    return nearest(rows, k).groupBy("id").agg(F.avg("score").alias("mean_distance"))
 
 
 def sample(rows: DataFrame, n: int) -> DataFrame:
     """At most n rows, the same ones on every run: those whose ids hash lowest."""
-    return rows.orderBy(F.xxhash64("id"), "id").limit(n)
+    return rows.orderBy(F.md5(F.col("id").cast("string")), "id").limit(n)

@@ -1,8 +1,8 @@
 """Pairwise work on vectors, in blocks.
 
-Vectors are dealt into blocks of about BLOCK rows; pairs of blocks meet by a join on their numbers and one matrix product does
-a whole pair of blocks in numpy. So no pair of rows is ever made by a join, tasks are of even size whatever a group's size is,
-and operators that need sums of distances let only the sums leave a task."""
+Vectors are dealt into blocks of about BLOCK rows. Every pair of blocks is a key of its own, to which both blocks are sent, so pairs
+of blocks spread over all tasks however large a group is, and one matrix product does a whole pair in numpy. No pair of rows is
+ever made by a join, and operators that need sums of distances, or the nearest rows, let only these leave a task."""
 
 from __future__ import annotations
 
@@ -11,25 +11,30 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 512
 
 
-def blocks(rows: DataFrame, size: int = BLOCK) -> DataFrame:
-    """rows(grp, id, v) -> (grp, blk, ids, flat, n): blocks of about `size` vectors of a group, by a hash of the id."""
+def blocks(rows: DataFrame, size: int = BLOCK, *more: str) -> DataFrame:
+    """rows(grp, id, v, more...) -> (grp, blks, blk, ids, flat, n, more as arrays): blocks of about `size` vectors of a group, by a
+    hash of the id; blks is how many the group has."""
     counts = rows.groupBy("grp").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / size)).alias("blks"))
     dealt = rows.join(counts, "grp").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blks")))
-    held = dealt.groupBy("grp", "blk").agg(F.collect_list(F.struct("id", "v")).alias("r"))
-    return held.select("grp", "blk", F.transform("r", lambda x: x["id"]).alias("ids"), F.flatten(F.transform("r", lambda x: x["v"])).alias("flat"), F.size("r").alias("n"))
+    held = dealt.groupBy("grp", "blks", "blk").agg(F.collect_list(F.struct("id", "v", *more)).alias("r"))
+    return held.select(
+        "grp", "blks", "blk", F.transform("r", lambda x: x["id"]).alias("ids"), F.flatten(F.transform("r", lambda x: x["v"])).alias("flat"), F.size("r").alias("n"),
+        *[F.col("r")[c].alias(c) for c in more],
+    )
 
 
-def _met(rows: DataFrame, size: int) -> DataFrame:
-    b = blocks(rows, size)
-    left = b.select("grp", *[F.col(c).alias(f"{c}_a") for c in ("blk", "ids", "flat", "n")])
-    right = b.select("grp", *[F.col(c).alias(f"{c}_b") for c in ("blk", "ids", "flat", "n")])
-    return left.join(right, "grp").where("blk_a <= blk_b")
+def _met(rows: DataFrame, size: int, *more: str) -> DataFrame:
+    """Pairs of blocks of a group, each pair once, blk_a <= blk_b."""
+    b, carried = blocks(rows, size, *more), ("ids", "flat", "n", *more)
+    left = b.select("grp", F.col("blk").alias("blk_a"), F.explode(F.sequence("blk", F.col("blks") - 1)).alias("blk_b"), *[F.col(c).alias(f"{c}_a") for c in carried])
+    right = b.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), "blk")).alias("blk_a"), F.col("blk").alias("blk_b"), *[F.col(c).alias(f"{c}_b") for c in carried])
+    return left.join(right, ["grp", "blk_a", "blk_b"])
 
 
 def cosine_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -104,12 +109,28 @@ def _summed(batches: Iterator[pa.RecordBatch], kernel: Callable) -> Iterator[pa.
 def label_sums(rows: DataFrame, kernel: Callable = euclidean_kernel, size: int = BLOCK) -> DataFrame:
     """rows(id, v, label) -> (id, own, other, total, n): of each row the summed score to all rows of each label, itself
     included. Only sums leave the tasks: rows times labels."""
-    keyed = rows.select(F.lit(0).cast("long").alias("grp"), "id", "v", "label")
-    total = keyed.count()
-    dealt = keyed.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-total // size)))))
-    held = dealt.groupBy("grp", "blk").agg(F.collect_list(F.struct("id", "v", "label")).alias("r"))
-    b = held.select("grp", "blk", F.transform("r", lambda x: x["id"]).alias("ids"), F.flatten(F.transform("r", lambda x: x["v"])).alias("flat"), F.transform("r", lambda x: x["label"].cast("long")).alias("labels"), F.size("r").alias("n"))
-    cols = ("blk", "ids", "flat", "labels", "n")
-    met = b.select("grp", *[F.col(c).alias(f"{c}_a") for c in cols]).join(b.select("grp", *[F.col(c).alias(f"{c}_b") for c in cols]), "grp").where("blk_a <= blk_b")
-    out = met.mapInArrow(partial(_summed, kernel=kernel), "id long, own long, other long, total double, n long")
+    keyed = rows.select(F.lit(0).cast("long").alias("grp"), "id", "v", F.col("label").cast("long").alias("labels"))
+    out = _met(keyed, size, "labels").mapInArrow(partial(_summed, kernel=kernel), "id long, own long, other long, total double, n long")
     return out.groupBy("id", "own", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
+def _closest(batches: Iterator[pa.RecordBatch], kernel: Callable, k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, ia, ib, a, b, same in _blocks_of(batch):
+            d = kernel(a, b)
+            if same:
+                np.fill_diagonal(d, np.inf)
+            for ids, m in [(ia, d)] if same else [(ia, d), (ib, d.T)]:
+                few = min(k, m.shape[1] - same)
+                if few < 1:
+                    continue
+                least = np.partition(m, few - 1, axis=1)[:, :few]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, few), pa.int64()), pa.array(least.ravel(), pa.float64())], ["id", "score"])
+
+
+def nearest(rows: DataFrame, k: int, kernel: Callable = euclidean_kernel, size: int = BLOCK) -> DataFrame:
+    """rows(id, v) -> (id, place, score) of the k nearest other rows, place from 1. Of each row only k distances leave a pair of
+    blocks."""
+    keyed = rows.select(F.lit(0).cast("long").alias("grp"), "id", "v")
+    found = _met(keyed, size).mapInArrow(partial(_closest, kernel=kernel, k=k), "id long, score double")
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("score"))).where(F.col("place") <= k)

@@ -157,17 +157,19 @@ def _tsne(x: np.ndarray, dims: int, perplexity: float, rounds: int, seed: int) -
 
 
 def tsne(rows: DataFrame, dims: int = 2, perplexity: float = 30.0, rounds: int = 500, seed: int = 42) -> DataFrame:
-    """(id, v) of at most TSNE_MOST rows, embedded in one task."""
+    """(id, v), all rows embedded in one task; an error for more than TSNE_MOST."""
     if dims > 3:
         raise ValueError("t-SNE embeds in at most 3 dimensions")
+    n = rows.count()
+    if n > TSNE_MOST:
+        raise ValueError(f"t-SNE takes at most {TSNE_MOST} rows, not {n}; reduce or sample them")
 
     def embed(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         x = np.array(pdf["v"].tolist(), dtype=float)
         return pd.DataFrame({"id": pdf["id"], "v": list(_tsne(x, dims, min(perplexity, max(1.0, len(x) - 1.0)), rounds, seed))})
 
-    few = rows.orderBy(F.xxhash64("id"), "id").limit(TSNE_MOST).select("id", "v", F.lit(0).alias("g"))
-    return few.groupBy("g").applyInPandas(lambda pdf: embed(pdf[["id", "v"]]), f"id {dict(rows.dtypes)['id']}, v array<double>")
+    return rows.select("id", "v", F.lit(0).alias("g")).groupBy("g").applyInPandas(lambda pdf: embed(pdf[["id", "v"]]), f"id {dict(rows.dtypes)['id']}, v array<double>")
 
 
 REDUCERS = {"pca": lambda rows, dim, **kw: PCA(dim, **kw).fit(rows).transform(rows), "tsne": lambda rows, dim, **kw: tsne(rows, dim, **kw), "random": lambda rows, dim, **kw: random_projection(rows, kw.pop("size"), dim, **kw)}

@@ -4,8 +4,7 @@ Rules look at names; equal names are one, and pairs are compared only between a
 
 from __future__ import annotations
 
-import re
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,25 +82,32 @@ def cluster_safety(names: DataFrame) -> DataFrame:
 
 
 def split_opposing(names: DataFrame) -> DataFrame:
-    """(cluster_id, sub, name): greedy groups; each takes the smallest name left and all that don't oppose it."""
-    ordered = [(w, re.compile(o)) for w, o in OPPOSITES]
+    """(cluster_id, sub, name): greedy groups; each takes the smallest name left and all that don't oppose it. The rules are
+    matched once a name; a group then costs one pass over bits, and words are compared only of names that oppose by a rule."""
+    low = F.lower("name")
+
+    def bits(match) -> Column:
+        return F.array_compact(F.array(*[F.when(match(*rule), F.lit(i)) for i, rule in enumerate(OPPOSITES)]))
 
-    def against(a: str, b: str) -> bool:
-        x, y = set(a.split("_")), set(b.split("_"))
-        if len(x & y) / len(x | y) > 0.8:
-            return False
-        return any((w in a and o.search(b)) or (w in b and o.search(a)) for w, o in ordered)
+    matched = names.select("cluster_id", "name").distinct().select("cluster_id", "name", bits(lambda w, o: F.contains(low, F.lit(w))).alias("words"), bits(lambda w, o: F.rlike(low, F.lit(o))).alias("opposites"))
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, out, sub = sorted(set(pdf["name"])), [], 0
-        while left:
-            seed = left[0].lower()
-            group = [left[0], *(n for n in left[1:] if not against(seed, n.lower()))]
-            out += [(sub, n) for n in group]
-            left, sub = [n for n in left if n not in set(group)], sub + 1
-        return pd.DataFrame({"cluster_id": pdf["cluster_id"].iloc[0], "sub": [s for s, _ in out], "name": [n for _, n in out]})
-
-    return names.groupBy("cluster_id").applyInPandas(split, "cluster_id long, sub long, name string")
+        pdf = pdf.sort_values("name")
+        name, low = pdf["name"].to_numpy(), [set(n.lower().split("_")) for n in pdf["name"]]
+        w, o = (np.array([sum(1 << int(i) for i in bits) for bits in pdf[c]], np.int64) for c in ("words", "opposites"))
+        left, sub = np.arange(len(name)), np.zeros(len(name), np.int64)
+        k = 0
+        while len(left):
+            seed = left[0]
+            against = ((w[seed] & o[left]) | (o[seed] & w[left])) != 0
+            for j in np.flatnonzero(against):
+                x, y = low[seed], low[left[j]]
+                against[j] = len(x & y) / len(x | y) <= 0.8
+            sub[left[~against]] = k
+            left, k = left[against], k + 1
+        return pd.DataFrame({"cluster_id": pdf["cluster_id"].to_numpy(), "sub": sub, "name": name})
+
+    return matched.groupBy("cluster_id").applyInPandas(split, "cluster_id long, sub long, name string")
 
 
 def split_unsafe(names: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
-"""Coverage sketches: Bloom positions, banded candidate search, weighted minimum hashes.
+"""Coverage sketches: Bloom positions, exact search for overlaps, weighted minimum hashes.
 
 Lines are (test_case_id, file, line) rows, each once per test."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metadata import line_key
@@ -31,32 +33,23 @@ def density(prints: DataFrame) -> DataFrame:
     return prints.select("test_case_id", (F.size("bits") / BITS).alias("density"))
 
 
-def bands_for(threshold: float) -> int:
-    return 10 if threshold >= 0.7 else 15 if threshold >= 0.5 else 20
-
-
-def candidates(prints: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) with a < b of the tests that agree on a band of bits. Bands without any bit are left out: they say nothing, and
-    nearly all sparse tests share them. Tests of equal bits are one before the join and are paired off only with verify().
-
-    A band that very many tests share pairs off by the join on (band, bits); equal whole prints are collapsed first, so it
-    holds each distinct print once."""
-    bands = bands_for(threshold)
-    rows = BITS // bands
-    distinct = prints.groupBy("bits").agg(F.min("test_case_id").alias("rep"))
-    banded = distinct.select("rep", "bits", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
-    banded = banded.withColumn("part", F.filter("bits", lambda p: F.floor(p / rows) == F.col("band"))).where(F.size("part") > 0)
-    left, right = banded.select("band", "part", F.col("rep").alias("a")), banded.select("band", "part", F.col("rep").alias("b"))
-    return left.join(right, ["band", "part"]).where("a < b").select("a", "b").distinct()
-
-
 def overlaps(prints: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """(a, b, similarity) of candidate tests whose bits' Jaccard similarity reaches the threshold; a and b stand for all tests
-    of equal bits."""
-    found = candidates(prints, threshold)
-    by = prints.select(F.col("test_case_id"), "bits")
-    met = found.join(by.withColumnsRenamed({"test_case_id": "a", "bits": "x"}), "a").join(by.withColumnsRenamed({"test_case_id": "b", "bits": "y"}), "b")
-    return met.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold)
+    """(a, b, similarity, kind) of tests whose bits' Jaccard similarity reaches the threshold, exactly: `pair` rows are of the first
+    tests (by id) of two classes of equal bits, a < b; `member` rows give each other test a its class's first test b.
+
+    Two sets of at least that similarity share one of the first |x| - ceil(threshold |x|) + 1 bits of each in any one order; in the
+    order of how few tests have them, so that few meet. Pairs are looked at only there, then counted whole."""
+    classes = prints.groupBy("bits").agg(F.min("test_case_id").alias("rep"))
+    members = prints.join(classes, "bits").where("test_case_id <> rep").select(F.col("test_case_id").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity"), F.lit("member").alias("kind"))
+    each = classes.where(F.size("bits") > 0).select("rep", "bits", F.explode("bits").alias("bit"))
+    # at most BITS rows
+    rarity = F.broadcast(each.groupBy("bit").agg(F.count(F.lit(1)).alias("n")))
+    ranked = each.join(rarity, "bit").withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("n", "bit")))
+    first = ranked.where(F.col("place") <= F.size("bits") - F.ceil(threshold * F.size("bits") - 1e-9) + 1).select("rep", "bits", "bit")
+    met = first.select("bit", F.col("rep").alias("a"), F.col("bits").alias("x")).join(first.select("bit", F.col("rep").alias("b"), F.col("bits").alias("y")), "bit").where("a < b")
+    met = met.groupBy("a", "b").agg(F.first("x").alias("x"), F.first("y").alias("y"))
+    pairs = met.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold)
+    return pairs.withColumn("kind", F.lit("pair")).union(members)
 
 
 def pair_jaccard(lines: DataFrame, tests: DataFrame) -> DataFrame:
@@ -74,16 +67,33 @@ def pair_jaccard(lines: DataFrame, tests: DataFrame) -> DataFrame:
     return common.select("group", "a", "b", "common", jaccard_.alias("jaccard"), *[f"{c}_{s}" for s in ("a", "b") for c in more])
 
 
-def weighted_minhash(lines: DataFrame, requested: DataFrame, n: int = PERMUTATIONS, skip_shared: bool = True, use_idf: bool = True) -> DataFrame:
+#: Families of hash functions: the i-th hash of a key as a number of [0, 1).
+FAMILIES = {
+    "xxhash64": lambda key, i: F.shiftrightunsigned(F.xxhash64(key, i), 1) / F.lit(float(1 << 63)),
+    "md5": lambda key, i: F.conv(F.substring(F.md5(F.concat(key, F.lit(":"), i.cast("string"))), F.lit(1), F.lit(13)), 16, 10).cast("long") / F.lit(float(1 << 52)),
+    "crc32": lambda key, i: F.crc32(F.concat(key, F.lit(":"), i.cast("string"))) / F.lit(float(1 << 32)),
+}
+
+
+def weighted_minhash(
+    lines: DataFrame, requested: DataFrame, n: int = PERMUTATIONS, skip_shared: bool = True, use_idf: bool = True, family: str = "xxhash64", progress: Callable[[str, int], None] | None = None
+) -> DataFrame:
     """(test_case_id, signature): of each of n hash functions the least hash / idf over the test's lines, in [0, 1]; tests
-    without lines get zeros. Minima are taken in the map tasks, one row per test and function leaves them."""
+    without lines get zeros. Minima are taken in the map tasks, one row per test and function leaves them.
+
+    progress, if given, is called with each step and its rows: the lines that count, and the tests that have a signature (each
+    count is a job of its own)."""
+    if family not in FAMILIES:
+        raise ValueError(f"unknown hash family {family}; there are {', '.join(sorted(FAMILIES))}")
     idf = line_idf(lines, requested)
     if skip_shared:
         idf = idf.where(~F.col("shared"))
     weighted = lines.join(idf.select("file", "line", "idf"), ["file", "line"]).select("test_case_id", line_key(F.col("file"), F.col("line")).alias("key"), (F.col("idf") if use_idf else F.lit(1.0)).alias("w"))
-    hashed = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.shiftrightunsigned(F.xxhash64(F.col("key"), i), 1) / F.lit(float(1 << 63)) / F.col("w"))
+    hashed = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: FAMILIES[family](F.col("key"), i) / F.col("w"))
     each = weighted.select("test_case_id", F.posexplode(hashed).alias("i", "h")).groupBy("test_case_id", "i").agg(F.min("h").alias("h"))
     signed = each.groupBy("test_case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda s: s["h"]).alias("signature"))
+    for step, df in (("lines", weighted), ("signatures", signed)) if progress else ():
+        progress(step, df.count())
     ids = requested.select(F.col("id").alias("test_case_id")).join(signed, "test_case_id", "left")
     return ids.select("test_case_id", F.coalesce("signature", F.array_repeat(F.lit(0.0), n)).alias("signature"))
 

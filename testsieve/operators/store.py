@@ -5,10 +5,14 @@ file, line), runs (id, git_commit_hash, executed_at, created_at)."""
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metadata import complexity, identifier, is_parameterized, line_key, normalized_name, test_kind
+from .settle import scratch
 
 #: How far from a changed line a covered one still counts.
 NEAR_LINES = 5
@@ -230,3 +234,32 @@ def text_blocks(lines: DataFrame) -> DataFrame:
     )
     final = facts.groupBy("source", "test").agg(F.max("block_pos").alias("block_pos"))
     return facts.join(final, ["source", "test", "block_pos"], "left_semi").select("source", "test", "file", "line")
+
+
+class RunCache:
+    """Results of queries by their name and run, kept as tables in the shared folder for some seconds, so that the views of a run
+    don't read its facts again. What is older, or cleared, is made anew."""
+
+    def __init__(self, seconds: float = 3600, clock: Callable[[], float] = time.monotonic) -> None:
+        self.seconds, self.clock = seconds, clock
+        self._held: dict[tuple[str, int], tuple[float, DataFrame, str]] = {}
+
+    def get(self, name: str, run_id: int, make: Callable[[], DataFrame]) -> DataFrame:
+        found = self._held.get((name, run_id))
+        if found is not None and self.clock() - found[0] < self.seconds:
+            return found[1]
+        self.clear(run_id, name)
+        df = make()
+        path = scratch(df.sparkSession, "cached")
+        df.write.parquet(path)
+        self._held[name, run_id] = (self.clock(), df.sparkSession.read.schema(df.schema).parquet(path), path)
+        return self._held[name, run_id][1]
+
+    def clear(self, run_id: int | None = None, name: str | None = None) -> int:
+        """Forgets what is kept of a run, of a name, or all; returns how many results."""
+        gone = [k for k in self._held if name in (None, k[0]) and run_id in (None, k[1])]
+        for k in gone:
+            _, df, path = self._held.pop(k)
+            hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        return len(gone)

@@ -37,7 +37,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _register_all() -> None:
-    from . import more_queries, safety_queries, store_queries, text_queries, vector_queries  # noqa: F401
+    from . import io_queries, more_queries, safety_queries, store_queries, text_queries, vector_queries  # noqa: F401
 
 
 _register_all()

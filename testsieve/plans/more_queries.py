@@ -94,7 +94,7 @@ def o08(spark, sf_dir):
     return _members(spark, sf_dir).withColumn("r", F.row_number().over(Window.partitionBy("cluster_id").orderBy("id"))).where("r <= 10").select("cluster_id", "id")
 
 
-@register("o09_sample")
+@register("o09_sample", _V + "SELECT id FROM vectors ORDER BY md5(CAST(id AS VARCHAR)), id LIMIT 100")
 def o09(spark, sf_dir):
     """A sample of a fixed size: the operator's own limit."""
     return metrics.sample(_members(spark, sf_dir), 100).select("id")

@@ -64,15 +64,18 @@ def cluster_rows(rows: DataFrame, settings: Settings) -> DataFrame:
     return cluster.get_clusterer(name)(rows)
 
 
+def vectors(spark: SparkSession, sources: DataFrame, lines: DataFrame, settings: Settings) -> DataFrame:
+    """(id, v): the semantic and the coverage part of every source."""
+    sem, cov = vectorize(spark, sources, settings), fingerprint(lines)
+    return entropy.combine(sem, cov, settings.semantic_dim, sketch.BITS).join(sources.select("id"), "id", "left_semi")
+
+
 def run(spark: SparkSession, sources: DataFrame, lines: DataFrame, tests: DataFrame, settings: Settings = Settings()) -> Result:  # noqa: B008
     """sources(id, source), lines(test_case_id, file, line), tests(id, path, method, exec_time_ms)."""
-    sem, cov = vectorize(spark, sources, settings), fingerprint(lines)
-    rows = entropy.combine(sem, cov, settings.semantic_dim, sketch.BITS).join(sources.select("id"), "id", "left_semi")
-    rows = settle(rows, "vectors")
+    rows = settle(vectors(spark, sources, lines, settings), "vectors")
     if settings.entropy_damping:
         parts = rows.select("id", F.slice("v", 1, settings.semantic_dim).alias("sem"), F.slice("v", settings.semantic_dim + 1, sketch.BITS).alias("cov"))
-        weights = entropy.quality(parts).select("id", F.col("semantic_quality").alias("ws"), F.col("coverage_quality").alias("wc"))
-        rows = settle(entropy.damp(rows, weights, settings.semantic_dim), "damped")
+        rows = settle(entropy.damp(rows, entropy.weights(entropy.quality(parts)), settings.semantic_dim), "damped")
     names = tests.select("id", F.concat_ws("::", "path", "method").alias("name"))
     found = settle(cluster_rows(rows, settings).select("id", F.col("cluster_id").cast("long").alias("cluster_id")).join(names, "id"), "clusters")
     safe = found
@@ -113,6 +116,39 @@ def create(name: str) -> Callable:
     return PIPELINES[name]
 
 
+def _probe(batches):
+    """What a worker can import, a row each."""
+    import importlib
+
+    import pyarrow as pa
+
+    for batch in batches:
+        names = batch.column("part").to_pylist()
+        told = []
+        for name in names:
+            try:
+                told.append(str(importlib.import_module(name).__version__))
+            except ImportError:
+                told.append(None)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(told, pa.string())], ["part", "told"])
+
+
+def environment(spark: SparkSession) -> DataFrame:
+    """(part, ok, told): whether workers start, have the libraries that the operators need, and share a folder that can be written."""
+    parts = spark.createDataFrame([(n,) for n in ("numpy", "pandas", "pyarrow", "pyspark")], "part string")
+    try:
+        found = parts.mapInArrow(_probe, "part string, told string").collect()  # four rows
+        rows = [("workers", True, "start"), *((r["part"], r["told"] is not None, r["told"] or "missing") for r in found)]
+    except Exception as e:  # noqa: BLE001 - whatever keeps workers from starting is the finding
+        rows = [("workers", False, str(e).splitlines()[0])]
+    try:
+        settle(spark.range(1), "probe").count()
+        rows.append(("checkpoint folder", True, "can be written"))
+    except Exception as e:  # noqa: BLE001
+        rows.append(("checkpoint folder", False, str(e).splitlines()[0]))
+    return spark.createDataFrame(rows, "part string, ok boolean, told string")
+
+
 def describe(result: Result) -> DataFrame:
     """One row: tests, clusters, findings and redundant tests of a run."""
     sizes = metrics.size_stats(result.clusters)

@@ -100,11 +100,32 @@ def q10(spark, sf_dir):
     return safety.semantic_split(_names(spark, sf_dir).distinct())
 
 
-@register("q05_greedy_split")
+def _against(seed: str, x: str) -> str:
+    rules = " OR ".join(f"(contains(lower({a}), {_q(w)}) AND regexp_matches(lower({b}), {_q(o)}))" for w, o in safety.OPPOSITES for a, b in ((seed, x), (x, seed)))
+    return f"(NOT ({_ALIKE.format(f'lower({seed})', f'lower({x})')}) AND ({rules}))"
+
+
+def _greedy(source: str) -> str:
+    """Each step of a cluster takes its smallest name left and all that don't oppose it."""
+    step = "SELECT cluster_id, {sub} AS sub, list_filter({l}, lambda x: NOT {own}) AS grp, list_filter({l}, lambda x: {own}) AS rest FROM {t}"
+    parts = [step.format(sub=sub, l=names, t=table, own=_against(f"{names}[1]", "x")) for sub, names, table in (("0", "l", "gl"), ("sub + 1", "rest", "gs WHERE len(rest) > 0"))]
+    return f", gl AS (SELECT cluster_id, list_sort(list(DISTINCT name)) AS l FROM {source} GROUP BY 1), gs AS ({parts[0]} UNION ALL {parts[1]}), parts AS (SELECT cluster_id, CAST(sub AS BIGINT) AS sub, unnest(grp) AS name FROM gs) "
+
+
+@register("q05_greedy_split", _N.replace("WITH ", "WITH RECURSIVE ", 1) + _greedy("names") + "SELECT cluster_id, sub, name FROM parts")
 def q05(spark, sf_dir):
     return safety.split_opposing(_names(spark, sf_dir))
 
 
-@register("q11_split_unsafe")
+_UNSAFE = _SAFE.replace("FROM names GROUP BY 1)", "FROM n GROUP BY 1)").replace("WITH ", "WITH RECURSIVE ", 1) + ", un AS (SELECT n.cluster_id, n.name FROM n JOIN r USING (cluster_id) WHERE reason NOT IN ('safe', 'small'))"
+
+
+@register(
+    "q11_split_unsafe",
+    _UNSAFE
+    + _greedy("un")
+    + ", nw AS (SELECT cluster_id, sub, count(*) AS size, row_number() OVER (ORDER BY cluster_id, sub) + (SELECT max(cluster_id) FROM n) AS new_id FROM parts GROUP BY cluster_id, sub) "
+    "SELECT new_id AS cluster_id, name FROM parts JOIN nw USING (cluster_id, sub) WHERE size >= 2 UNION ALL SELECT cluster_id, name FROM n WHERE cluster_id IN (SELECT cluster_id FROM r WHERE reason IN ('safe', 'small'))",
+)
 def q11(spark, sf_dir):
     return safety.split_unsafe(_names(spark, sf_dir).distinct())

@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import sketch, tfidf
 from .catalog import register
 from .fixtures import ctes, load
-from .store_queries import R, joined, rounded
+from .store_queries import _IDF, R, joined, rounded
 
 
 def _q(s: str) -> str:
@@ -117,10 +117,10 @@ def s16(spark, sf_dir):
     return s.select("id", body.alias("x")).select("id", F.length("x").cast("long").alias("n"), F.md5("x").alias("digest"))
 
 
-_DOCS = ctes("terms") + ", d AS (SELECT id, regexp_extract_all(lower(source), '[a-z]+') AS tokens FROM terms), w AS (SELECT id, unnest(tokens) AS term FROM d), c AS (SELECT id, term, count(*) AS n FROM w GROUP BY ALL), "
+_DOCS = ctes("terms") + ", d AS MATERIALIZED (SELECT id, regexp_extract_all(lower(source), '[a-z]+') AS tokens FROM terms), w AS (SELECT id, unnest(tokens) AS term FROM d), c AS MATERIALIZED (SELECT id, term, count(*) AS n FROM w GROUP BY ALL), "
 _VOCAB = (
     "t AS (SELECT count(*) AS docs FROM d), f AS (SELECT term, count(*) AS df, any_value(docs) AS docs FROM c, t GROUP BY term), k AS (SELECT * FROM f WHERE df >= floor(0.01e0 * docs) AND df <= floor(0.95e0 * docs) ORDER BY df DESC, term LIMIT 5000), "
-    "v AS (SELECT term, df, ln(docs * 1e0 / df) + 1 AS idf, row_number() OVER (ORDER BY term) - 1 AS idx FROM k) "
+    "v AS MATERIALIZED (SELECT term, df, ln(docs * 1e0 / df) + 1 AS idf, row_number() OVER (ORDER BY term) - 1 AS idx FROM k) "
 )
 
 
@@ -182,25 +182,51 @@ def b04(spark, sf_dir):
 @register(
     "b05_lsh_overlap",
     _BITS
-    + f""", s AS (SELECT test_case_id, string_agg(bit, ',' ORDER BY bit) AS bits FROM b GROUP BY 1), r AS (SELECT min(test_case_id) AS rep FROM s GROUP BY bits),
-    p AS (SELECT test_case_id, bit // 25 AS band, string_agg(bit, ',' ORDER BY bit) AS part FROM b WHERE test_case_id IN (SELECT rep FROM r) AND bit // 25 < 20 GROUP BY ALL),
-    c AS (SELECT DISTINCT x.test_case_id AS a, y.test_case_id AS b FROM p x JOIN p y USING (band, part) WHERE x.test_case_id < y.test_case_id),
-    j AS (SELECT c.a, c.b, (SELECT count(*) FROM b x JOIN b y USING (bit) WHERE x.test_case_id = c.a AND y.test_case_id = c.b) AS common FROM c), n AS (SELECT test_case_id, count(*) AS n FROM b GROUP BY 1)
-    SELECT a, j.b, {R("common * 1e0 / (na.n + nb.n - common)")} AS similarity FROM j JOIN n na ON na.test_case_id = a JOIN n nb ON nb.test_case_id = j.b WHERE common * 1e0 / (na.n + nb.n - common) >= 0.3""",
+    + f""", s AS (SELECT test_case_id, count(*) AS n, string_agg(bit, ',' ORDER BY bit) AS bits FROM b GROUP BY 1), r AS (SELECT bits, min(test_case_id) AS rep, min(n) AS n FROM s GROUP BY bits),
+    e AS (SELECT rep, n, bit FROM r JOIN b ON test_case_id = rep), j AS (SELECT x.rep AS a, y.rep AS b, count(*) * 1e0 / (x.n + y.n - count(*)) AS similarity FROM e x JOIN e y USING (bit) WHERE x.rep < y.rep GROUP BY x.rep, y.rep, x.n, y.n)
+    SELECT a, b, {R("similarity")} AS similarity, 'pair' AS kind FROM j WHERE similarity >= 0.3 UNION ALL SELECT test_case_id, rep, 1, 'member' FROM s JOIN r USING (bits) WHERE test_case_id <> rep""",
 )
 def b05(spark, sf_dir):
     return rounded(sketch.overlaps(sketch.bloom(load(spark, sf_dir, "dense"))))
 
 
-@register("b06_weighted_minhash")
+def _signed(n: int) -> str:
+    """The signatures by MD5 in long form, of tests that have lines which aren't shared."""
+    return _IDF + f""", g AS (SELECT test_case_id, h AS i, min(CAST(concat('0x', substr(md5(concat(s.file, ':', s.line, ':', h)), 1, 13)) AS BIGINT) / {float(1 << 52)}e0 / idf) AS h
+    FROM shared s JOIN i ON i.file = s.file AND i.line = s.line AND NOT i.shared, range({n}) r(h) GROUP BY ALL) """
+
+
+def _signatures(spark, sf_dir, n: int):
+    return sketch.weighted_minhash(load(spark, sf_dir, "shared"), load(spark, sf_dir, "requested"), n, family="md5")
+
+
+@register("b06_weighted_minhash", _signed(16) + f"SELECT id AS test_case_id, CAST(k AS BIGINT) AS i, {R('coalesce(g.h, 0)')} AS h FROM requested, range(16) q(k) LEFT JOIN g ON g.test_case_id = id AND g.i = k")
 def b06(spark, sf_dir):
-    out = sketch.weighted_minhash(load(spark, sf_dir, "shared"), load(spark, sf_dir, "requested"))
-    return out.select("test_case_id", F.size("signature").cast("long").alias("n"), F.aggregate("signature", F.lit(0.0), lambda s, x: s + x).alias("total"))
+    rows = _signatures(spark, sf_dir, 16).select("test_case_id", F.posexplode("signature").alias("i", "h"))
+    return rounded(rows.select("test_case_id", F.col("i").cast("long").alias("i"), "h"))
+
+
+@register("b07_hash_families", "SELECT * FROM (VALUES ('crc32', true, true), ('md5', true, true), ('xxhash64', true, true)) t(family, filled, bounded)")
+def b07(spark, sf_dir):
+    """Of each family whether all signatures of tests with lines have numbers, between 0 and 1."""
+    out = None
+    for family in sorted(sketch.FAMILIES):
+        s = sketch.weighted_minhash(load(spark, sf_dir, "shared"), load(spark, sf_dir, "requested"), 4, family=family)
+        told = s.agg(F.min(F.size("signature") == 4).alias("filled"), F.min(F.forall("signature", lambda x: (x >= 0) & (x <= 1))).alias("bounded")).select(F.lit(family).alias("family"), "filled", "bounded")
+        out = told if out is None else out.union(told)
+    return out
+
+
+@register("b10_progress", _IDF + "SELECT 'lines' AS step, count(*) AS rows FROM shared s JOIN i ON i.file = s.file AND i.line = s.line AND NOT i.shared UNION ALL SELECT 'signatures', count(DISTINCT test_case_id) FROM shared s JOIN i ON i.file = s.file AND i.line = s.line AND NOT i.shared")
+def b10(spark, sf_dir):
+    told: list[tuple[str, int]] = []
+    sketch.weighted_minhash(load(spark, sf_dir, "shared"), load(spark, sf_dir, "requested"), 4, progress=lambda step, rows: told.append((step, rows)))
+    return spark.createDataFrame(told, "step string, rows long")
 
 
-@register("b08_signature_similarity")
+@register("b08_signature_similarity", _signed(32) + f"SELECT x.test_case_id, {R('avg(CASE WHEN abs(x.h - y.h) < 1e-4 THEN 1e0 ELSE 0e0 END)')} AS similarity FROM g x JOIN g y ON y.test_case_id = x.test_case_id + 1 AND y.i = x.i GROUP BY x.test_case_id")
 def b08(spark, sf_dir):
-    """Each test's signature against that of the next test id."""
-    sig = sketch.weighted_minhash(load(spark, sf_dir, "shared"), load(spark, sf_dir, "requested"))
+    """Each test's signature against that of the next test id, where both have lines that count."""
+    sig = _signatures(spark, sf_dir, 32).where(F.exists("signature", lambda x: x != 0))
     other = sig.select((F.col("test_case_id") - 1).alias("test_case_id"), F.col("signature").alias("other"))
-    return sig.join(other, "test_case_id").select("test_case_id", sketch.signature_similarity(F.col("signature"), F.col("other")).alias("similarity"))
+    return rounded(sig.join(other, "test_case_id").select("test_case_id", sketch.signature_similarity(F.col("signature"), F.col("other")).alias("similarity")))

@@ -248,7 +248,7 @@ def c01(spark, sf_dir):
 
 @register("c02_best_k")
 def c02(spark, sf_dir):
-    return spark.createDataFrame([(cluster.best_k(_vectors(spark, sf_dir).select("id", "v"), 2, 6),)], "k long")
+    return spark.createDataFrame([(cluster.best_k(_vectors(spark, sf_dir).select("id", "v")),)], "k long")
 
 
 @register("c08_ward")
@@ -306,7 +306,7 @@ def d03(spark, sf_dir):
 
 @register("d02_tsne")
 def d02(spark, sf_dir):
-    return reduce.tsne(_vectors(spark, sf_dir).select("id", "v"), rounds=100)
+    return reduce.tsne(_vectors(spark, sf_dir).select("id", "v"), rounds=500)
 
 
 def _parts(spark, sf_dir):

@@ -16,26 +16,28 @@ def whole_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), "value")
 
 
-def json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
-    """(name, value) of JSON objects whose values have one type; an error where a file isn't such an object."""
+def json_map(spark: SparkSession, path: str, value: str, lines: bool = False) -> DataFrame:
+    """(name, value) of JSON objects whose values have one type; an error where a file isn't such an object. With lines, each line
+    of a file is an object, so that files of any size are read in parts."""
     parsed = F.from_json("value", f"map<string,{value}>", {"mode": "FAILFAST"})
     checked = F.when(F.startswith(F.ltrim("value", F.lit(" \t\r\n")), F.lit("{")), parsed).otherwise(F.raise_error(F.lit("not a JSON object")).cast(f"map<string,{value}>"))
-    return whole_text(spark, path).select(F.explode(checked).alias("name", "value"))
+    texts = spark.read.text(path).where(F.trim("value") != "") if lines else whole_text(spark, path)
+    return texts.select(F.explode(checked).alias("name", "value"))
 
 
-def test_sources(spark: SparkSession, path: str) -> DataFrame:
-    return json_map(spark, path, "string").withColumnRenamed("value", "source")
+def test_sources(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return json_map(spark, path, "string", lines).withColumnRenamed("value", "source")
 
 
-def coverage_json(spark: SparkSession, path: str) -> DataFrame:
+def coverage_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(name, file, line) of {test: ["file:line", ...]}."""
-    rows = json_map(spark, path, "array<string>").select("name", F.explode("value").alias("key"))
+    rows = json_map(spark, path, "array<string>", lines).select("name", F.explode("value").alias("key"))
     return rows.select("name", F.regexp_extract("key", "^(.*):[^:]*$", 1).alias("file"), F.regexp_extract("key", ":([^:]*)$", 1).try_cast("int").alias("line"))
 
 
-def vectors_json(spark: SparkSession, path: str) -> DataFrame:
+def vectors_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(name, v): numbers are read in single precision and widened."""
-    return json_map(spark, path, "array<float>").select("name", F.col("value").cast("array<double>").alias("v"))
+    return json_map(spark, path, "array<float>", lines).select("name", F.col("value").cast("array<double>").alias("v"))
 
 
 def clusters_json(spark: SparkSession, path: str) -> DataFrame:
@@ -44,6 +46,19 @@ def clusters_json(spark: SparkSession, path: str) -> DataFrame:
     return whole_text(spark, path).select(F.explode(parsed["clusters"]).alias("cluster_id", "names")).select(F.col("cluster_id").cast("long").alias("cluster_id"), F.explode("names").alias("name"))
 
 
+def saved_clusters(spark: SparkSession, path: str) -> DataFrame:
+    """(cluster_id, name) of what write_clusters() left: a JSON line per cluster, and one of metadata."""
+    parsed = F.from_json("value", "struct<cluster_id:bigint,tests:array<string>>")
+    return spark.read.text(path).select(parsed.alias("c")).where("c.tests is not null").select("c.cluster_id", F.explode("c.tests").alias("name"))
+
+
+def serialized_coverage(spark: SparkSession, path: str) -> DataFrame:
+    """(test, file, line) of a serialized coverage object. The native form of such objects is a program's memory, which only that
+    program can read; it is taken as JSON, {file: {line: [tests]}}, an object a file."""
+    lines = json_map(spark, path, "map<string,array<string>>").select(F.col("name").alias("file"), F.explode("value").alias("line", "tests"))
+    return inverted_coverage(lines.select("file", F.col("line").cast("long").alias("line"), "tests"))
+
+
 def coverage_text(spark: SparkSession, path: str) -> DataFrame:
     """(source, test, file, line) of text reports; each file is one ordered block of lines."""
     lines = whole_text(spark, path).select("source", F.posexplode(F.split("value", "\r?\n")).alias("pos", "text"))
@@ -102,13 +117,11 @@ def junit_tests(spark: SparkSession, path: str) -> DataFrame:
     return cases.select(attribute("class").alias("path"), attribute("name").alias("method"), F.floor(F.coalesce(attribute("time").try_cast("double"), F.lit(0.0)) * 1000).cast("double").alias("exec_time_ms"), failed.cast("double").alias("recent_fail_rate"))
 
 
-def detect_format(name: str, head: str) -> str:
+def format_of(name: Column, head: Column) -> Column:
     """clover or cov, by a file's name and beginning."""
-    if name.endswith(".xml") and ("<coverage" in head or "clover.xml" in head):
-        return "clover"
-    if name.endswith(".cov"):
-        return "cov"
-    return "clover" if head.lstrip().startswith("<?xml") else "cov"
+    report = F.contains(head, F.lit("<coverage")) | F.contains(head, F.lit("clover.xml"))
+    xml = F.startswith(F.ltrim(head, F.lit(" \t\r\n")), F.lit("<?xml"))
+    return F.when(F.endswith(name, F.lit(".xml")) & report, "clover").when(F.endswith(name, F.lit(".cov")), "cov").when(xml, "clover").otherwise("cov")
 
 
 def table(spark: SparkSession, path: str, run_id: int | None = None) -> DataFrame:
@@ -123,24 +136,26 @@ def identified(rows: DataFrame, column: str = "test") -> DataFrame:
     return rows.withColumn("path", path).withColumn("method", method)
 
 
+FEEDBACK = "cluster_id long, action string, reason string, timestamp string"
+
+
 def feedback_log(spark: SparkSession, path: str) -> DataFrame:
-    """(cluster_id, action, reason, timestamp, pos) of a log of JSON lines; blank and broken lines are left out. pos orders
-    the lines of the log."""
-    rows = spark.read.text(path).select(F.from_json("value", "cluster_id bigint, action string, reason string, timestamp string").alias("r"), F.monotonically_increasing_id().alias("pos"))
-    return rows.select("r.*", "pos").where("cluster_id is not null and action is not null")
+    """(cluster_id, action, reason, timestamp, pos) of a log of JSON lines; blank and broken lines are left out. pos is a number by
+    timestamp and place in the file, so that a later line has a larger one whatever files the log lies in."""
+    rows = spark.read.text(path).select(F.from_json("value", FEEDBACK).alias("r"), F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")).alias("place"))
+    rows = rows.select("r.*", "place").where("cluster_id is not null and action is not null")
+    order = Window.partitionBy("cluster_id").orderBy("timestamp", "place.file", "place.line")
+    return rows.withColumn("pos", F.row_number().over(order).cast("long")).drop("place")
 
 
 def vectors(spark: SparkSession, path: str) -> DataFrame:
-    """(name, v) from JSON, or from YAML where the library for it is there."""
+    """(name, v) from JSON, or from YAML files of the form `name: [numbers]`, a line each."""
     if not path.endswith((".yaml", ".yml")):
         return vectors_json(spark, path)
-    try:
-        import yaml
-    except ImportError as e:
-        raise ValueError("reading YAML needs the yaml package") from e
-    with open(path, encoding="utf-8") as f:
-        rows = [(str(k), [float(x) for x in v]) for k, v in yaml.safe_load(f).items()]
-    return spark.createDataFrame(rows, "name string, v array<double>")
+    rows = spark.read.text(path).where(F.trim("value") != "")
+    name = F.trim(F.regexp_extract("value", r"""^["']?(.*?)["']?\s*:\s*\[""", 1))
+    numbers = F.from_json(F.regexp_extract("value", r":\s*(\[[^\]]*\])\s*$", 1), "array<float>", {"mode": "FAILFAST"})
+    return rows.select(name.alias("name"), numbers.cast("array<double>").alias("v"))
 
 
 def test_code(tests: DataFrame, files: DataFrame) -> DataFrame:
@@ -155,6 +170,15 @@ def test_code(tests: DataFrame, files: DataFrame) -> DataFrame:
     return met.select("id", F.concat(head, source).alias("source"))
 
 
+def require_files(spark: SparkSession, *paths: str) -> None:
+    """An error that names the paths that aren't there."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    missing = [p for p, h in zip(paths, found) if not h.getFileSystem(conf).exists(h)]
+    if missing:
+        raise FileNotFoundError(f"missing: {', '.join(missing)}")
+
+
 def require_columns(df: DataFrame, required: list[str]) -> DataFrame:
     missing = sorted(set(required) - set(df.columns))
     if missing:

@@ -7,12 +7,12 @@ import html
 import json
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.findings import ordered
+from .readers import FEEDBACK, feedback_log
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -58,6 +58,13 @@ def write_json_map(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.map_from_arrays(F.array("name"), F.array("value"))).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_json_objects(df: DataFrame, path: str, names: int = 5000) -> None:
+    """df(name, value) as files of one JSON object each, of about so many names."""
+    files = max(1, -(-df.count() // names))
+    maps = df.groupBy(F.pmod(F.xxhash64("name"), F.lit(files)).alias("file")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("name", "value")))).alias("value"))
+    maps.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
 def write_clusters(clusters: DataFrame, metadata: dict, path: str) -> None:
     """clusters(cluster_id, name): one JSON line per cluster and one of metadata."""
     rows = clusters.groupBy("cluster_id").agg(F.array_sort(F.collect_list("name")).alias("tests"))
@@ -130,18 +137,22 @@ FORMATS = {"json": _json_lines, "yaml": _yaml_lines, "markdown": markdown, "md":
 
 
 def save_findings(found: DataFrame, counts: DataFrame, fmt: str, path: str) -> None:
-    """Writes a report on the driver, a finding at a time."""
+    """Writes a report as one file, a finding at a time, wherever the path lies."""
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt}; there are {', '.join(sorted(FORMATS))}")
-    with Path(path).open("w", encoding="utf-8") as out:
+    fs, target = _filesystem(found.sparkSession, path)
+    out = fs.create(target, True)
+    try:
         for line in FORMATS[fmt](found, counts.first()):
-            out.write(line + "\n")
+            out.write(bytearray(f"{line}\n", "utf-8"))
+    finally:
+        out.close()
 
 
 def append_feedback(spark: SparkSession, path: str, cluster_id: int, action: str, reason: str, timestamp: str) -> None:
     if action not in ("keep", "ignore", "merge"):
         raise ValueError(f"unknown action {action}")
-    spark.createDataFrame([(cluster_id, action, reason, timestamp)], "cluster_id long, action string, reason string, timestamp string").write.mode("append").json(path)
+    spark.createDataFrame([(cluster_id, action, reason, timestamp)], FEEDBACK).write.mode("append").json(path)
 
 
 def update_run(spark: SparkSession, path: str, run_id: int, **values: str) -> None:
@@ -153,8 +164,8 @@ def update_run(spark: SparkSession, path: str, run_id: int, **values: str) -> No
 
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
     """The log's latest line of each cluster, by timestamp."""
-    rows = spark.read.schema("cluster_id long, action string, reason string, timestamp string").json(path).where("cluster_id is not null")
-    return rows.groupBy("cluster_id").agg(F.max_by(F.struct("action", "reason", "timestamp"), F.col("timestamp")).alias("f")).select("cluster_id", "f.*")
+    rows = feedback_log(spark, path)
+    return rows.groupBy("cluster_id").agg(F.max_by(F.struct("action", "reason", "timestamp"), F.col("pos")).alias("f")).select("cluster_id", "f.*")
 
 
 def _rewrite_json(df: DataFrame, path: str) -> None:
@@ -186,7 +197,7 @@ def export_feedback(spark: SparkSession, path: str, to: str) -> None:
 
 def import_feedback(spark: SparkSession, path: str, exported: str) -> None:
     """Appends exported feedback; an error where it isn't feedback."""
-    rows = spark.read.schema("cluster_id long, action string, reason string, timestamp string").json(exported)
+    rows = spark.read.schema(FEEDBACK).json(exported)
     if not rows.where("cluster_id is null or action is null").isEmpty():
         raise ValueError("invalid feedback")
     rows.write.mode("append").json(path)
