@@ -197,7 +197,7 @@ class TestSimhash:
         edges = [(node[r["a"]], node[r["b"]]) for r in simhash.link(spark.createDataFrame(signed, "fp long, s0 long, s1 long"), rule, most).collect()]
         assert roots(len(rows), edges) == roots(len(rows), zip(*(k.tolist() for k in np.nonzero(rule.near(x[:, None], x[None])))))
 
-    def test_stage(self, spark):
+    def test_stage(self, spark, tmp_path):
         w = Words(3)
         base = [w.text(200) for _ in range(6)]
         docs = frame(spark, base + [base[0], w.changed(base[1])] + ODD).withColumn("_uid", F.lit(1))
@@ -208,6 +208,10 @@ class TestSimhash:
         kept = sorted(r["doc_id"] for r in got.collect())
         assert kept[:6] == list(range(6)) and 6 not in kept and len(kept) == len(set(kept)) and len(prints) == 8
         assert simhash.dedup_stage(spark, docs.where("false"), "").count() == 0
+        maps = docs.withColumn("rep", F.create_map(F.lit("a"), F.col("doc_id"))).withColumn("node", F.array(F.create_map(F.lit(1), F.lit("x"))))
+        assert sorted(r["doc_id"] for r in simhash.dedup_stage(spark, maps.union(maps.where("doc_id < 3")), "").collect()) == kept
+        docs.where("false").write.parquet(str(tmp_path / "documents.parquet"))
+        assert simhash.op10_simhash_neardup(spark, str(tmp_path)).count() == 0
 
 
 class TestLineDedup:
@@ -405,6 +409,21 @@ class TestDecontamination:
 
 
 class TestPipeline:
+    def test_clashing_names_nulls_and_repeats(self, spark, tmp_path):
+        """Stages that filter keep all columns, whatever their names; the last one gives its own."""
+        from testsieve.llm import langid
+
+        w = Words(21)
+        docs = frame(spark, [w.text(30), w.text(30), "123", *ODD]).withColumns({"score": F.lit("s"), "rejected": F.lit(None).cast("int"), "ids": F.lit(1), "n_tokens": F.lit("n")})
+        docs = docs.union(docs.where("doc_id = 0")).union(docs.where("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long")))
+        kept = langid.langid_stage(spark, docs, "")
+        assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} >= {0, 1, None}
+        assert kept.where("doc_id = 0").count() == 2 and kept.where("doc_id = 2 or text is null").count() == 0
+        last = bpe.bpe_stage(spark, docs, "")
+        assert last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and last.count() == docs.count()
+        for stage in (langid.langid_stage, bpe.bpe_stage):
+            assert stage(spark, docs.where("false"), "").count() == 0
+
     def test_stages(self, spark, tmp_path):
         w = Words(8)
         items = [w.text(25)]

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import zlib
+from pyspark.sql import functions as F
 
 from testsieve.llm import bpe, chat, digest, langid, licenses, secrets, toxicity
 
@@ -471,6 +472,20 @@ class TestModels:
         auc = np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg])
         assert auc > 0.9
 
+    def test_empty_tables(self, spark, empty, tmp_path):
+        empty.write.parquet(str(tmp_path / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+        assert langid.op6_lang_id(spark, str(tmp_path)).count() == 0
+        assert toxicity.op9_toxicity(spark, str(tmp_path)).count() == 0
+
+    def test_repeated_rows_are_drawn_once(self, spark):
+        rows = spark.createDataFrame([(1, "the same text", "en")], "doc_id long, text string, lang string")
+        many = rows.crossJoin(spark.range(5000)).drop("id").union(spark.createDataFrame([(2, "un autre", "fr"), (3, "encore", "fr")], rows.schema))
+        texts, langs = langid.sample(many, 2)
+        assert sorted(zip(texts, langs)) == [("encore", "fr"), ("the same text", "en"), ("un autre", "fr")]
+        drawn = many.select("text", (F.col("lang") == "fr").cast("int").alias("toxic"), F.col("doc_id").alias("draw"))
+        assert toxicity.sample(drawn) == (["the same text", "un autre", "encore"], [0, 1, 1])
+
     def test_windows_cover_every_word(self):
         for n in range(0, 80):
             starts, k = toxicity.window_starts(np.array([n]))

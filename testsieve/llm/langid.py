@@ -152,8 +152,8 @@ def calibrate(model: Model, texts: list[str], y: np.ndarray) -> Model:
 def sample(labelled: DataFrame, per_language: int = SAMPLE) -> tuple[list[str], list[str]]:
     """Texts and languages of at most per_language rows of each language, the same rows whatever the partitioning."""
     rows = labelled.where("lang is not null")
-    # the bound of each language's draw follows from its count, so few rows more than wanted leave the tasks
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    # the bound of each language's draw follows from how many ids it has, so few rows more than wanted leave the tasks
+    counts = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()}
     if not counts:
         return [], []
     wanted = F.lit(False)

@@ -1,7 +1,8 @@
 """The registered queries of this folder: each applies one operator to its whole table.
 
-Those whose rows SQL can express are held against it (oracles.py). tests/llm holds each against a brute-force version, an exact
-round trip or held-out accuracy."""
+Chat formatting, line dedup and secret scans are held against SQL (oracles.py). In tests/llm, digests, license scans, benchmark
+decontamination, line dedup, secret scans and near-dedup are held against brute-force versions, chat formatting and BPE against
+a version that goes event by event, the library and exact round trips, language ID and toxicity against held-out rows."""
 
 from __future__ import annotations
 
