@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What a kind of test weighs in the complexity score.
+#: What a kind of test weighs in the complexity score.
 KIND_WEIGHTS = {"unit": 0.2, "integration": 0.6, "api": 0.8, "e2e": 1.0}
 
 
@@ -19,6 +19,7 @@ def line_key(file: Column, line: Column) -> Column:
 
 def normalized_name(name: Column) -> Column:
     """A test's identifier without what tells its data sets apart."""
+    # fixed values: how runners write data sets
     for pattern in (r""" with data set ["']?[^"']*["']?$""", r" with data set #[0-9]+$", r"\s*\([^)]*\)\s*$"):
         name = F.regexp_replace(name, pattern, "")
     return name

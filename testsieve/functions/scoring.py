@@ -55,6 +55,7 @@ def one_decimal(x: Column) -> Column:
     return F.format_string("%.1f", F.floor(x * 10 + 0.5) / 10)
 
 
+# The sentences of recommendations and rationales.
 def recommendation(score: Column, redundant: Column, high: float = HIGH, medium: float = MEDIUM) -> Column:
     p, n = percent(score), redundant.cast("string")
     return (

@@ -156,19 +156,36 @@ def insert_new(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return fresh.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
 
 
+#: Characters of a name by which it looks for the paths that may hold it.
+GRAM = 4
+
+
+def _holding(names: DataFrame, paths: DataFrame) -> DataFrame:
+    """names(file, name), paths(path) -> (file, path) where the path holds the name. Names meet the paths that have their first
+    GRAM characters (all of a shorter name) somewhere, by equality, and only these are searched."""
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(GRAM)), lambda n: F.transform(F.sequence(F.lit(1), F.length("path") + 1), lambda i: F.substring("path", i, n)))))
+    met = names.withColumn("gram", F.substring("name", 1, GRAM)).join(paths.select("path", F.explode(grams).alias("gram")), "gram")
+    return met.where(F.contains("path", F.col("name"))).select("file", "path").distinct()
+
+
+def _all_paths(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """Files that take every path: here the result itself is all pairs."""
+    return files.select("file").crossJoin(paths.select("path"))
+
+
 def associate(files: DataFrame, tests: DataFrame) -> DataFrame:
     """files(file) with the tests(id, path) that are taken to cover them: those whose path has the file's base name, every
     test for files named like tests, tests in Unit or Feature folders for every file; files without any take all tests.
 
-    Only the base-name rule compares pairs; the others are facts of one side. Paths are few and distinct, so they are
-    compared, not the tests."""
+    Distinct paths are compared, not the tests."""
     base = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.php$", "")
-    files = files.select("file").distinct().withColumn("base", base)
+    files = files.select("file").distinct().withColumn("name", base)
     paths = tests.select("path").distinct()
-    rule = F.contains("path", F.col("base")) | F.contains("base", F.lit("Test")) | F.contains("path", F.lit("Unit")) | F.contains("path", F.lit("Feature"))
-    met = files.crossJoin(paths).where(rule).select("file", "path")
+    general = F.contains("path", F.lit("Unit")) | F.contains("path", F.lit("Feature"))
+    like_tests = F.contains("name", F.lit("Test"))
+    met = _holding(files.where(~like_tests), paths.where(~general)).union(_all_paths(files.where(like_tests), paths)).union(_all_paths(files.where(~like_tests), paths.where(general)))
     none = files.join(met.select("file").distinct(), "file", "left_anti")
-    met = met.union(none.select("file").crossJoin(paths))
+    met = met.union(_all_paths(none, paths))
     return met.join(tests.select("id", "path"), "path").select("file", F.col("id").alias("test_case_id"))
 
 
@@ -176,12 +193,12 @@ def associate_by_parts(files: DataFrame, tests: DataFrame) -> DataFrame:
     """As associate(), by the parts of a file's path: paths that have `<base>Test` or any part; files named Test.php without
     any take all tests."""
     base = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.php$", "")
-    files = files.select("file").distinct().withColumn("base", base).withColumn("parts", F.filter(F.split("file", "/"), lambda p: p != ""))
+    files = files.select("file").distinct()
+    parts = F.filter(F.split("file", "/"), lambda p: p != "")
     paths = tests.select("path").distinct()
-    rule = F.contains("path", F.concat("base", F.lit("Test"))) | F.exists("parts", lambda p: F.contains(F.col("path"), p))
-    met = files.crossJoin(paths).where(rule).select("file", "path")
+    met = _holding(files.select("file", F.explode(F.array_distinct(F.concat(F.array(F.concat(base, F.lit("Test"))), parts))).alias("name")), paths)
     none = files.where(F.contains("file", F.lit("Test.php"))).join(met.select("file").distinct(), "file", "left_anti")
-    met = met.union(none.select("file").crossJoin(paths))
+    met = met.union(_all_paths(none, paths))
     return met.join(tests.select("id", "path"), "path").select("file", F.col("id").alias("test_case_id"))
 
 
