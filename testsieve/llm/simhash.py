@@ -344,15 +344,16 @@ def link(prints: DataFrame, rule: Rule = STRICT, most: int = GROUP_MOST) -> Data
     # how many rows meet at a value follows from the histograms
     largest = max(int(_met(h, k).max()) for h, k in zip(histograms, ways) if k >= 0)
     while True:
+        fit, rest = rows, None
         if largest > most and len(masks) * (rule.radius + 1) <= MASKS_MOST:
-            large = rows.groupBy("mask", "value").count().where(F.col("count") > most).select("mask", "value")
-            fit, rest = rows.join(large, ["mask", "value"], "left_anti"), rows.join(large, ["mask", "value"], "left_semi")
-        else:
-            fit, rest = rows, None
+            # written once a level, so that the next ones read them and don't begin anew
+            large = cut(rows.groupBy("mask", "value").count().where(F.col("count") > most).select("mask", "value"), "large")
+            if not large.isEmpty():
+                fit, rest = rows.join(large, ["mask", "value"], "left_anti"), cut(rows.join(large, ["mask", "value"], "left_semi"), "rest")
         got = fit.repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(partial(_link, rule=rule), "a long, b long")
         edges = got if edges is None else edges.union(got)
         masks = [m for m in masks if m != -1]
-        if rest is None or not masks or rest.isEmpty():
+        if rest is None or not masks:
             return edges
         rows, masks = _divide(rest, masks, rule)
 
