@@ -29,7 +29,7 @@ def blocks(rows: DataFrame, size: int = BLOCK, *more: str) -> DataFrame:
     )
 
 
-def _met(rows: DataFrame, size: int, *more: str) -> DataFrame:
+def block_pairs(rows: DataFrame, size: int, *more: str) -> DataFrame:
     """Pairs of blocks of a group, each pair once, blk_a <= blk_b."""
     b, carried = blocks(rows, size, *more), ("ids", "flat", "n", *more)
     left = b.select("grp", F.col("blk").alias("blk_a"), F.explode(F.sequence("blk", F.col("blks") - 1)).alias("blk_b"), *[F.col(c).alias(f"{c}_a") for c in carried])
@@ -84,7 +84,7 @@ def _scored(batches: Iterator[pa.RecordBatch], kernel: Callable, least: float |
 
 def pair_scores(rows: DataFrame, kernel: Callable = cosine_kernel, least: float | None = None, most: float | None = None, size: int = BLOCK) -> DataFrame:
     """rows(grp, id, v) -> (grp, a, b, score) of all pairs a < b of a group whose score lies in [least, most]."""
-    return _met(rows, size).mapInArrow(partial(_scored, kernel=kernel, least=least, most=most), "grp long, a long, b long, score double")
+    return block_pairs(rows, size).mapInArrow(partial(_scored, kernel=kernel, least=least, most=most), "grp long, a long, b long, score double")
 
 
 def _summed(batches: Iterator[pa.RecordBatch], kernel: Callable) -> Iterator[pa.RecordBatch]:
@@ -110,7 +110,7 @@ def label_sums(rows: DataFrame, kernel: Callable = euclidean_kernel, size: int =
     """rows(id, v, label) -> (id, own, other, total, n): of each row the summed score to all rows of each label, itself
     included. Only sums leave the tasks: rows times labels."""
     keyed = rows.select(F.lit(0).cast("long").alias("grp"), "id", "v", F.col("label").cast("long").alias("labels"))
-    out = _met(keyed, size, "labels").mapInArrow(partial(_summed, kernel=kernel), "id long, own long, other long, total double, n long")
+    out = block_pairs(keyed, size, "labels").mapInArrow(partial(_summed, kernel=kernel), "id long, own long, other long, total double, n long")
     return out.groupBy("id", "own", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
@@ -132,5 +132,5 @@ def nearest(rows: DataFrame, k: int, kernel: Callable = euclidean_kernel, size:
     """rows(id, v) -> (id, place, score) of the k nearest other rows, place from 1. Of each row only k distances leave a pair of
     blocks."""
     keyed = rows.select(F.lit(0).cast("long").alias("grp"), "id", "v")
-    found = _met(keyed, size).mapInArrow(partial(_closest, kernel=kernel, k=k), "id long, score double")
+    found = block_pairs(keyed, size).mapInArrow(partial(_closest, kernel=kernel, k=k), "id long, score double")
     return found.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("score"))).where(F.col("place") <= k)

@@ -4,13 +4,18 @@ Lines are (test_case_id, file, line) rows, each once per test."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.metadata import line_key
 from ..functions.vectors import jaccard
+from .pairs import BLOCK, block_pairs
 from .store import line_idf
 
 BITS, HASHES, SEED, PERMUTATIONS = 512, 3, 42, 256
@@ -52,19 +57,71 @@ def overlaps(prints: DataFrame, threshold: float = 0.3) -> DataFrame:
     return pairs.withColumn("kind", F.lit("pair")).union(members)
 
 
+#: Pairs that the lines of two blocks are multiplied out to at once.
+PAIRS_AT_ONCE = 1 << 21
+
+
+def _common_counts(a: np.ndarray, own_a: np.ndarray, b: np.ndarray, own_b: np.ndarray, na: int, nb: int) -> np.ndarray:
+    """How many values each of na sets shares with each of nb; a, b: all values, own_a, own_b: the set of each."""
+    a_order, b_order = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+    own_a, own_b = own_a[a_order], own_b[b_order]
+    ka, at_a, n_a = np.unique(a[a_order], return_index=True, return_counts=True)
+    kb, at_b, n_b = np.unique(b[b_order], return_index=True, return_counts=True)
+    _, i, j = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+    out, ends = np.zeros(na * nb, np.int64), np.cumsum(n_a[i] * n_b[j])
+    first = 0
+    while first < len(i):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PAIRS_AT_ONCE, side="right")))
+        x, y = i[first:last], j[first:last]
+        times = n_a[x] * n_b[y]
+        step = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        width = np.repeat(n_b[y], times)
+        left, right = own_a[np.repeat(at_a[x], times) + step // width], own_b[np.repeat(at_b[y], times) + step % width]
+        out += np.bincount(left * nb + right, minlength=na * nb)
+        first = last
+    return out.reshape(na, nb)
+
+
+def _overlapping(batches: Iterator[pa.RecordBatch], more: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in range(batch.num_rows):
+            get = lambda c: batch.column(c)[r].values  # noqa: E731, B023
+            sizes = [get(f"n_lines_{s}").to_numpy(zero_copy_only=False).astype(np.int64) for s in "ab"]
+            owners = [np.repeat(np.arange(len(n)), n) for n in sizes]
+            common = _common_counts(get("flat_a").to_numpy(zero_copy_only=False), owners[0], get("flat_b").to_numpy(zero_copy_only=False), owners[1], len(sizes[0]), len(sizes[1]))
+            i, j = np.nonzero(common)
+            ids = pa.concat_arrays([get("ids_a"), get("ids_b")])
+            j = j + len(sizes[0])
+            number = ids.to_numpy(zero_copy_only=False)
+            if batch.column("blk_a")[r].as_py() == batch.column("blk_b")[r].as_py():
+                once = number[i] < number[j]
+                i, j = i[once], j[once]
+            n = np.concatenate(sizes)
+            counts = common[i, j - len(sizes[0])]
+            turned = number[i] > number[j]
+            i, j = pa.array(np.where(turned, j, i)), pa.array(np.where(turned, i, j))
+            out = [pa.repeat(batch.column("grp")[r], len(counts)), ids.take(i), ids.take(j), pa.array(counts), pa.array(counts / (n[i] + n[j] - counts))]
+            for c in more:
+                both = pa.concat_arrays([get(f"{c}_a"), get(f"{c}_b")])
+                out += [both.take(i), both.take(j)]
+            yield pa.RecordBatch.from_arrays(out, schema=schema)
+
+
 def pair_jaccard(lines: DataFrame, tests: DataFrame) -> DataFrame:
     """lines, tests(test_case_id, group, more...) -> (group, a, b, common, jaccard, more_a..., more_b...) of all tests of a group
-    that share a line, by counting common lines: the join on the line lets only pairs meet that have one.
+    that share a line.
 
-    What belongs to a test travels with its lines, which are fewer than pairs, so pairs are shuffled once, for their count."""
+    Tests are dealt into blocks with their lines as 64-bit hashes, and pairs of blocks are keys of their own: a line that very many
+    tests cover is multiplied out inside a pair of blocks, a bounded number of pairs at once, and only the counts leave it."""
     more = [c for c in tests.columns if c not in ("test_case_id", "group")]
-    sizes = lines.groupBy("test_case_id").agg(F.count(F.lit(1)).alias("n"))
-    keyed = lines.join(tests.join(sizes, "test_case_id"), "test_case_id")
-    sides = [keyed.select("group", "file", "line", F.col("test_case_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", *more)]) for s in ("a", "b")]
-    carried = [f"{c}_{s}" for s in ("a", "b") for c in ("n", *more)]
-    common = sides[0].join(sides[1], ["group", "file", "line"]).where("a < b").groupBy("group", "a", "b").agg(F.count(F.lit(1)).alias("common"), *[F.max(c).alias(c) for c in carried])
-    jaccard_ = F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
-    return common.select("group", "a", "b", "common", jaccard_.alias("jaccard"), *[f"{c}_{s}" for s in ("a", "b") for c in more])
+    sets = lines.groupBy("test_case_id").agg(F.collect_set(F.xxhash64("file", "line")).alias("v"))
+    rows = tests.join(sets, "test_case_id").select(F.col("group").alias("grp"), F.col("test_case_id").alias("id"), "v", F.size("v").alias("n_lines"), *more)
+    kinds = dict(tests.dtypes)
+    schema = f"`group` {kinds['group']}, a {kinds['test_case_id']}, b {kinds['test_case_id']}, common long, jaccard double"
+    schema += "".join(f", {c}_{s} {kinds[c]}" for c in more for s in "ab")
+    arrow = to_arrow_schema(lines.sparkSession.createDataFrame([], schema).schema)
+    out = block_pairs(rows, BLOCK, "n_lines", *more).mapInArrow(partial(_overlapping, more=more, schema=arrow), schema)
+    return out.select("group", "a", "b", "common", "jaccard", *[f"{c}_{s}" for s in "ab" for c in more])
 
 
 #: Families of hash functions: the i-th hash of a key as a number of [0, 1).
