@@ -462,6 +462,15 @@ class TestModels:
         both, _, _ = langid.predict_rows(pa.array(texts), model)
         assert both == [langid.predict_rows(pa.array([t]), model)[0][0] for t in texts]
 
+    def test_texts_in_pieces(self, monkeypatch):
+        model = langid.train(["the cat sat on the mat"] * 20 + ["der hund und die katze"] * 20, ["en"] * 20 + ["de"] * 20)
+        texts = pa.array(["the cat " * 40, "", "ab", None, "der hund und " * 90, "é 12", "mat"])
+        whole = langid.predict_rows(texts, model)
+        for piece in (1, 7, 100):
+            monkeypatch.setattr(langid, "PIECE", piece)
+            got = langid.predict_rows(texts, model)
+            assert got[0] == whole[0] and np.allclose(got[1], whole[1], atol=1e-12) and (got[2] == whole[2]).all()
+
     def test_toxicity_on_held_out_rows(self, spark, small):
         small = small.replace("0.001", "0.1")
         labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{small}/labels.parquet").collect()}

@@ -28,6 +28,8 @@ GRAMS, BUCKETS, DIM = (3, 4), 1 << 16, 16
 SAMPLE, SAMPLE_CHARS, EPOCHS, RATE, REJECT, SEED = 600, 20_000, 6, 0.5, 0.001, 7
 #: A draw is a number below DRAWS. So many times the wanted rows are drawn, as long ones drop out then.
 DRAWS, DRAWN = 1 << 62, 2
+#: Windows whose logits are held at once. Texts go to the model in chunks of as many bytes; a longer one goes piece by piece.
+PIECE = CHUNK_BYTES // 2
 
 _FOLD = LOWER.copy()
 _FOLD[:65] = _FOLD[91:97] = _FOLD[123:128] = 32
@@ -53,27 +55,25 @@ class Model:
 
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Of every row the logits before the temperature."""
-        folded = _FOLD[data]
         rows = len(offsets) - 1
         total, count = np.zeros((rows, len(self.languages))), np.zeros(rows)
-        blank = folded == 32
         for n in GRAMS:
-            if len(folded) < n:
-                continue
-            code = grams(folded, n)
-            void = blank[: len(code)].copy()
-            for j in range(1, n):
-                void &= blank[j : j + len(code)]
-            values = self.table[code]
-            values[void] = 0
-            begin, end = np.minimum(offsets[:-1], len(code)), np.clip(offsets[1:] - n + 1, 0, len(code))
-            full = np.flatnonzero(end > begin)
-            if len(full):
-                cuts = np.column_stack([begin[full], end[full]]).ravel()
-                cuts = cuts[:-1] if cuts[-1] == len(code) else cuts
-                total[full] += np.add.reduceat(values, cuts, axis=0, dtype=np.float64)[::2]
-                held = np.add.reduceat(~void, cuts, dtype=np.int64)[::2]
-                count[full] += held
+            # only a text of more than PIECE bytes makes more than one turn
+            for lo in range(0, len(data) - n + 1, PIECE):
+                folded = _FOLD[data[lo : lo + PIECE + n - 1]]
+                code, blank = grams(folded, n), folded == 32
+                void = blank[: len(code)].copy()
+                for j in range(1, n):
+                    void &= blank[j : j + len(code)]
+                values = self.table[code]
+                values[void] = 0
+                begin, end = np.clip(offsets[:-1] - lo, 0, len(code)), np.clip(offsets[1:] - n + 1 - lo, 0, len(code))
+                full = np.flatnonzero(end > begin)
+                if len(full):
+                    cuts = np.column_stack([begin[full], end[full]]).ravel()
+                    cuts = cuts[:-1] if cuts[-1] == len(code) else cuts
+                    total[full] += np.add.reduceat(values, cuts, axis=0, dtype=np.float64)[::2]
+                    count[full] += np.add.reduceat(~void, cuts, dtype=np.int64)[::2]
         return total / np.maximum(count, 1)[:, None] + self.bias
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +182,7 @@ def predict_rows(text: pa.Array, model: Model | None) -> tuple[list[str], np.nda
     if model is None:
         return langs.tolist(), scores, rejected
     names = np.array(model.languages, object)
-    for a, b in spans(offsets, CHUNK_BYTES // 2):
+    for a, b in spans(offsets, PIECE):
         part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         ok = has_letter(part, at)
         best, p = model.predict(part, at)
