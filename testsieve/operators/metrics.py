@@ -7,9 +7,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pairs import euclidean_kernel, label_sums, nearest, pair_scores
+from .pairs import euclidean_kernel, label_sums, nearest, pair_quantiles, pair_scores
 
 NOISE = -1
+PERCENTILES = (10, 25, 50, 75, 90)
 
 
 def silhouettes(rows: DataFrame) -> DataFrame:
@@ -168,9 +169,16 @@ def k_distances(rows: DataFrame, k: int) -> DataFrame:
     return nearest(rows, k - 1).where(F.col("place") == k - 1).select("id", F.col("score").alias("distance"))
 
 
+def pair_distance_stats(rows: DataFrame) -> DataFrame:
+    """rows(id, v) -> one row as distance_stats(), over the distances of all pairs; nulls without a pair."""
+    s = pair_quantiles(rows.select(F.lit(0).cast("long").alias("grp"), "id", "v"), euclidean_kernel, [q / 100 for q in PERCENTILES])
+    columns = {c: F.col(c) for c in ("min", "max", "mean", "std")} | {f"p{q}": F.col("quantiles")[i] for i, q in enumerate(PERCENTILES)}
+    return s.agg(*[F.max(c).alias(name) for name, c in columns.items()])
+
+
 def distance_stats(distances: DataFrame) -> DataFrame:
     d = F.col("distance")
-    p = [F.percentile(d, q / 100).alias(f"p{q}") for q in (10, 25, 50, 75, 90)]
+    p = [F.percentile(d, q / 100).alias(f"p{q}") for q in PERCENTILES]
     return distances.agg(F.min(d).alias("min"), F.max(d).alias("max"), F.avg(d).alias("mean"), F.stddev_pop(d).alias("std"), *p)
 
 

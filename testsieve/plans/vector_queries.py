@@ -211,8 +211,7 @@ def a20(spark, sf_dir):
 
 @register("a21_distances", _ALL + f"SELECT {_STATS} FROM d WHERE i < j")
 def a21(spark, sf_dir):
-    d = pairs.pair_scores(_vectors(spark, sf_dir).select(F.lit(0).cast("long").alias("grp"), "id", "v"), pairs.euclidean_kernel)
-    return rounded(metrics.distance_stats(d.select(F.col("score").alias("distance"))))
+    return rounded(metrics.pair_distance_stats(_vectors(spark, sf_dir)))
 
 
 @register("a25_unique_vectors", _V + "SELECT count(DISTINCT v[1:1]) AS first_values, count(DISTINCT v) AS vectors FROM vectors")
