@@ -54,3 +54,17 @@ def test_tiles_of_wide_blocks(spark, crowded):
     scored = pairs.pair_scores(frame(spark, x, grp=[0] * 1300), pairs.euclidean_kernel, most=0.5)
     i, j = np.nonzero(np.triu(d <= 0.5, 1))
     assert {(r["a"], r["b"]) for r in scored.collect()} == set(zip(i.tolist(), j.tolist(), strict=True))
+
+
+def test_thresholds_of_groups(spark, crowded):
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(size=(1400, 3)), [[0.0, 0, 0]] * 3])
+    group = [0 if i < 900 else 1 if i < 1402 else 2 for i in range(1403)]
+    rows = frame(spark, x, grp=group)
+    got = {r["grp"]: r["threshold"] for r in metrics.threshold(rows, 0.3).collect()}
+    want = {}
+    for g in (0, 1):
+        y = x[np.array(group) == g]
+        s = pairs.cosine_kernel(y, y)[np.triu_indices(len(y), 1)]
+        want[g] = np.quantile(s, 0.3)
+    assert got == pytest.approx(want, abs=1e-9)

@@ -4,10 +4,12 @@ rows(id, v array<double>, label). Noise is label -1."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pairs import euclidean_kernel, label_sums, nearest, pair_quantiles, pair_scores
+from .pairs import cosine_kernel, euclidean_kernel, label_sums, nearest, pair_quantiles, pair_scores
 
 NOISE = -1
 PERCENTILES = (10, 25, 50, 75, 90)
@@ -74,9 +76,9 @@ def similarity_matrix(rows: DataFrame) -> DataFrame:
     return d.join(F.broadcast(most), "grp").select("grp", "a", "b", F.when(F.col("most") > 0, 1 - F.col("score") / F.col("most")).otherwise(1.0).alias("similarity"))
 
 
-def threshold(scores: DataFrame, share: float = 0.9) -> DataFrame:
-    """(grp, threshold): an exact percentile of pair scores."""
-    return scores.groupBy("grp").agg(F.percentile("score", share).alias("threshold"))
+def threshold(rows: DataFrame, share: float = 0.9, kernel: Callable = cosine_kernel) -> DataFrame:
+    """rows(grp, id, v) -> (grp, threshold): an exact percentile of the scores of a group's pairs, without a row for each pair."""
+    return pair_quantiles(rows, kernel, [share]).select("grp", F.col("quantiles")[0].alias("threshold"))
 
 
 def cohesion(rows: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def m08(spark, sf_dir):
 
 @register("m11_threshold", _PAIRS + f"SELECT grp, {R('quantile_cont(list_cosine_similarity(va, vb), 0.9)')} AS threshold FROM p GROUP BY grp")
 def m11(spark, sf_dir):
-    return rounded(metrics.threshold(pairs.pair_scores(_grouped(spark, sf_dir))))
+    return rounded(metrics.threshold(_grouped(spark, sf_dir)))
 
 
 _SIL = _ALL + """, n AS (SELECT own, count(DISTINCT i) AS n FROM d GROUP BY own), s AS (SELECT i, own, other, sum(d) AS t, any_value(n.n) AS n FROM d JOIN n ON n.own = d.other GROUP BY i, d.own, other),
