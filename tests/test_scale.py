@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from testsieve.operators import metrics, pairs
+from testsieve.operators import cluster, metrics, pairs
 
 
 def frame(spark, x, **more):
@@ -68,3 +68,26 @@ def test_thresholds_of_groups(spark, crowded):
         s = pairs.cosine_kernel(y, y)[np.triu_indices(len(y), 1)]
         want[g] = np.quantile(s, 0.3)
     assert got == pytest.approx(want, abs=1e-9)
+
+
+@pytest.fixture
+def passes(monkeypatch):
+    """Grows by one with each pass over all pairs of blocks."""
+    made, paired = [], pairs._paired
+    monkeypatch.setattr(pairs, "_paired", lambda b, *more: made.append(1) or paired(b, *more))
+    return made
+
+
+def test_best_k_sees_the_pairs_once(spark, passes):
+    rng = np.random.default_rng(7)
+    rows = frame(spark, np.vstack([rng.normal(c, 0.5, (40, 2)) for c in ((0, 0), (9, 9), (-9, 9), (9, -9))]))
+    assert cluster.best_k(rows) == 4
+    assert len(passes) == 1
+
+
+def test_silhouettes_of_several_labellings(spark, crowded):
+    rng = np.random.default_rng(8)
+    x, a, b = rng.normal(size=(1300, 3)), rng.integers(0, 4, 1300), np.minimum(np.arange(1300), 2)
+    got = metrics.mean_silhouettes(frame(spark, x, a=a.tolist(), b=b.tolist(), c=[0] * 1300), ["a", "b", "c"])
+    want = [metrics.silhouettes(frame(spark, x, label=y.tolist())).agg(F.avg("silhouette")).first()[0] for y in (a, b, np.zeros(1300, int))]
+    assert got == pytest.approx(want)

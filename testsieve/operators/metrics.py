@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pairs import cosine_kernel, euclidean_kernel, label_sums, nearest, pair_quantiles, pair_scores
+from .pairs import cosine_kernel, euclidean_kernel, hot_sums, label_sums, nearest, pair_quantiles, pair_scores
 
 NOISE = -1
 PERCENTILES = (10, 25, 50, 75, 90)
@@ -25,6 +25,25 @@ def silhouettes(rows: DataFrame) -> DataFrame:
     return s.select("id", F.col("own").alias("label"), "a", "b", F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
 
 
+def mean_silhouettes(rows: DataFrame, labels: list[str]) -> list[float | None]:
+    """The mean silhouette of each of several labellings, columns of few labels from 0, by one pass over the pairs. The driver holds
+    the sizes of the clusters."""
+    if not labels:
+        return []
+    counted = rows.select(F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col(c).cast("int").alias("l")) for t, c in enumerate(labels)])).alias("x")).groupBy("x").count().collect()
+    sizes = sorted((r["x"]["t"], r["x"]["l"], r["count"]) for r in counted)
+    place = {(t, c): k for k, (t, c, _) in enumerate(sizes)}
+    sums = hot_sums(rows, [F.map_from_arrays(F.array(*[F.lit(c) for u, c, _ in sizes if u == t]), F.array(*[F.lit(k) for (u, _), k in place.items() if u == t]))[F.col(name).cast("int")] for t, name in enumerate(labels)], len(sizes))
+    means = []
+    for t in range(len(labels)):
+        own = [(F.col(f"k{t}") == place[u, c], F.col(f"s{place[u, c]}"), n) for u, c, n in sizes if u == t]
+        a, b = F.lit(None).cast("double"), F.least(*[F.when(~at, s / n) for at, s, n in own], F.lit(None), F.lit(None))
+        for at, s, n in own:
+            a = F.when(at & F.lit(n > 1), s / max(n - 1, 1)).otherwise(a)
+        means.append(F.avg(F.when(a.isNull() | b.isNull(), 0.0).otherwise((b - a) / F.greatest(a, b))))
+    return list(sums.agg(*means).first())
+
+
 def _centroids(rows: DataFrame) -> DataFrame:
     """(label, n, c): the mean vector of each cluster."""
     parts = rows.select("label", F.posexplode("v").alias("k", "x")).groupBy("label", "k").agg(F.avg("x").alias("x"), F.count(F.lit(1)).alias("n"))

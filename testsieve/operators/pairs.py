@@ -252,6 +252,35 @@ def label_sums(rows: DataFrame, kernel: Callable = euclidean_kernel, size: int =
     return out.groupBy("id", "own", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
+def _hot_summed(batches: Iterator[pa.RecordBatch], kernel: Callable, labellings: int, labels: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r, (_, ia, ib, a, b, whole) in enumerate(_blocks_of(batch)):
+            sides = []
+            for s, ids in (("a", ia), ("b", ib)):
+                at = np.array(batch.column(f"labels_{s}")[r].values.flatten()).reshape(len(ids), labellings)
+                hot = np.zeros((len(ids), labels))
+                hot[np.arange(len(ids))[:, None], at] = 1
+                sides.append((ids, at, hot, np.zeros((len(ids), labels))))
+            (_, _, hot_a, sums_a), (_, _, hot_b, sums_b) = sides
+            for p, q, same in _tiles(a, b, whole):
+                d = kernel(a[p], b[q])
+                sums_a[p] += d @ hot_b[q]
+                if not same:
+                    (sums_a if whole else sums_b)[q] += d.T @ hot_a[p]
+            for ids, at, _, sums in sides[:1] if whole else sides:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, at.T), *map(pa.array, sums.T)], ["id", *[f"k{t}" for t in range(labellings)], *[f"s{k}" for k in range(labels)]])
+
+
+def hot_sums(rows: DataFrame, places: list, labels: int, kernel: Callable = euclidean_kernel, size: int = BLOCK) -> DataFrame:
+    """rows(id, v, ...) with several labellings, whose labels are numbered through (places: a row's number in each) -> (id, k0.., s0..):
+    of each row its numbers, and the summed score to all rows of each label, itself included. For few labels."""
+    keyed = rows.select(F.lit(0).cast("long").alias("grp"), "id", "v", F.array(*[p.cast("long") for p in places]).alias("labels"))
+    own, sums = [f"k{t}" for t in range(len(places))], [f"s{k}" for k in range(labels)]
+    schema = ", ".join(["id long", *[f"{c} long" for c in own], *[f"{c} double" for c in sums]])
+    out = block_pairs(keyed, size, "labels", wide=True).mapInArrow(partial(_hot_summed, kernel=kernel, labellings=len(places), labels=labels), schema)
+    return out.groupBy("id").agg(*[F.max(c).alias(c) for c in own], *[F.sum(c).alias(c) for c in sums])
+
+
 def _closest(batches: Iterator[pa.RecordBatch], kernel: Callable, k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, ia, ib, a, b, whole in _blocks_of(batch):
