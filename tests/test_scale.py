@@ -112,3 +112,9 @@ def test_linkage_by_rounds_is_that_of_one_task(spark, linkage):
     for k in (2, 3, 7):
         labels = [r["cluster_id"] for r in cluster.agglomerative(frame(spark, x), linkage, k=k, most=12).orderBy("id").collect()]
         assert labels == cluster.cut_tree(want, len(x), k).tolist()
+
+
+def test_linkage_of_ties_and_copies_ends(spark):
+    grid = np.array([[i, j] for i in range(12) for j in range(12)] + [[50, 50]] * 40)
+    got = cluster.dendrogram(frame(spark, grid), "single", most=5).collect()
+    assert sorted(r["distance"] for r in got)[:-1] == pytest.approx([0] * 39 + [1] * 143)
