@@ -118,3 +118,12 @@ def test_linkage_of_ties_and_copies_ends(spark):
     grid = np.array([[i, j] for i in range(12) for j in range(12)] + [[50, 50]] * 40)
     got = cluster.dendrogram(frame(spark, grid), "single", most=5).collect()
     assert sorted(r["distance"] for r in got)[:-1] == pytest.approx([0] * 39 + [1] * 143)
+
+
+def test_more_rows_than_one_task_takes(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "AGGLOMERATIVE_MOST", 5)
+    rng = np.random.default_rng(12)
+    x = np.vstack([rng.normal(c, 0.5, (20, 2)) for c in ((0, 0), (9, 9), (-9, 9))])
+    labels = [r["cluster_id"] for r in cluster.agglomerative(frame(spark, x), "average").orderBy("id").collect()]
+    assert labels == [0] * 20 + [1] * 20 + [2] * 20
+    assert cluster.dendrogram(frame(spark, x)).count() == 59
