@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from testsieve.operators import cluster, metrics, pairs, sketch
+from testsieve.operators import cluster, metrics, pairs, reduce, sketch, tsne
 from testsieve.plans import catalog
 
 
@@ -179,3 +179,42 @@ def test_names_meet_by_blocks(spark, crowded):
 def test_name_similarity_joins_no_pairs_of_names(spark, small):
     plan = catalog.queries()["u06_name_similarity"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "array_intersect" not in plan and "MapInArrow" in plan
+
+
+@pytest.mark.parametrize("cells", [tsne.CELLS, 0])
+def test_tsne_of_more_rows_than_one_task_takes(spark, monkeypatch, cells):
+    # on the grid, and with the repulsion of all pairs in the tasks
+    x = np.vstack([np.random.default_rng(k).normal(size=(40, 5)) + 8 * k for k in range(3)])
+    monkeypatch.setattr(reduce, "TSNE_MOST", 100)
+    monkeypatch.setattr(tsne, "CELLS", cells)
+    monkeypatch.setattr(tsne, "FAR", 2)
+    run = lambda **k: [(r["id"], r["v"]) for r in reduce.tsne(frame(spark, x), **k).orderBy("id").collect()]
+    # 30 perplexities' neighbours are a part of the rows, 40 all of them
+    got = run(perplexity=30, rounds=60)
+    assert [i for i, _ in got] == list(range(120)) and np.isfinite(np.array([v for _, v in got])).all()
+    got = np.array([v for _, v in run(perplexity=40, rounds=12)])
+    want = reduce._tsne(x, 2, 40, 12, 42)
+    assert np.abs(got - want).max() < 1e-3 * np.abs(want).max()
+
+
+def test_tsne_grid_repels_as_all_pairs_do():
+    for scale, bound in ((1e-4, 1e-9), (1, 1e-3), (8, 1e-2)):
+        y = np.random.default_rng(0).normal(size=(3000, 2)) * scale
+        y[:3] *= 100
+        (got, total), (want, all_pairs) = tsne.Grid().push(y), tsne.push(y, y)
+        assert tsne.far(y).sum() >= 3
+        assert np.linalg.norm(got - want) < bound * np.linalg.norm(want) and total == pytest.approx(all_pairs, rel=1e-3)
+
+
+def test_tsne_neighbours_of_copies():
+    x = np.random.default_rng(0).normal(size=(500, 8))
+    x[100:] = x[100]
+    chosen = np.zeros(500, int)
+    for rows, near, d in tsne.nearest(x, 0, 500, 16):
+        assert near.shape == (len(rows), 16) and (near != rows[:, None]).all()
+        assert all(len(set(n)) == 16 for n in near.tolist())
+        want = np.sort(np.where(np.arange(500) == rows[:, None], np.inf, ((x[rows][:, None] - x) ** 2).sum(2)), axis=1)[:, :16]
+        assert np.sort(d, axis=1) == pytest.approx(want, abs=1e-9)
+        np.add.at(chosen, near[rows >= 100], 1)
+    # none is the neighbour of most copies
+    assert chosen[:100].sum() == 0 and chosen[100:].max() < 64

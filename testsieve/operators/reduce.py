@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tsne import descend
+from .tsne import embed as embed_all
+
 
 def _matrix(col: pa.Array) -> np.ndarray:
     return np.array(col.to_pylist(), dtype=float) if len(col) else np.zeros((0, 0))
@@ -120,7 +123,7 @@ def random_projection(rows: DataFrame, size: int, dim: int, seed: int = 42) -> D
     return linear(rows, np.zeros(size), np.random.RandomState(seed).randn(size, dim) / np.sqrt(dim))
 
 
-#: Rows that one task embeds; t-SNE is no distributed method.
+#: Rows that one task embeds with all their distances; more are embedded by all tasks.
 TSNE_MOST = 5000
 
 
@@ -142,27 +145,22 @@ def _tsne(x: np.ndarray, dims: int, perplexity: float, rounds: int, seed: int) -
             beta = beta * 2 if np.isinf(high) else (low + high) / 2
         p[i, np.arange(n) != i] = w / s
     p = np.maximum((p + p.T) / (2 * n), 1e-12)
-    rng = np.random.RandomState(seed)
-    y, step, gain = rng.randn(n, dims) * 1e-4, np.zeros((n, dims)), np.ones((n, dims))
-    for t in range(rounds):
+
+    def gradient(y: np.ndarray, more: float) -> np.ndarray:
         q = 1 / (1 + np.maximum((y * y).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * y @ y.T, 0))
         np.fill_diagonal(q, 0)
-        w = ((p * (12 if t < rounds // 4 else 1)) - q / q.sum()) * q
-        grad = 4 * (w.sum(1)[:, None] * y - w @ y)
-        gain = np.where(np.sign(grad) != np.sign(step), gain + 0.2, gain * 0.8).clip(0.01)
-        step = (0.5 if t < rounds // 4 else 0.8) * step - max(n / 48, 50) * gain * grad
-        y = y + step
-        y -= y.mean(axis=0)
-    return y
+        w = ((p * more) - q / q.sum()) * q
+        return 4 * (w.sum(1)[:, None] * y - w @ y)
+
+    return descend(n, dims, rounds, seed, gradient)
 
 
 def tsne(rows: DataFrame, dims: int = 2, perplexity: float = 30.0, rounds: int = 500, seed: int = 42) -> DataFrame:
-    """(id, v), all rows embedded in one task; an error for more than TSNE_MOST."""
+    """(id, v) of all rows: up to TSNE_MOST in one task, more by tsne.embed()."""
     if dims > 3:
         raise ValueError("t-SNE embeds in at most 3 dimensions")
-    n = rows.count()
-    if n > TSNE_MOST:
-        raise ValueError(f"t-SNE takes at most {TSNE_MOST} rows, not {n}; reduce or sample them")
+    if rows.count() > TSNE_MOST:
+        return embed_all(rows, dims, perplexity, rounds, seed)
 
     def embed(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
