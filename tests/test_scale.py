@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,6 +177,33 @@ def test_names_meet_by_blocks(spark, crowded):
     assert got == want
 
 
+@pytest.fixture
+def gathered_anew(spark):
+    """Rows that come in another order on each reading, as from executors."""
+
+    def shuffled(batches):
+        for batch in batches:
+            yield batch.take(pa.array(np.random.default_rng().permutation(batch.num_rows)))
+
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    yield lambda df: df.mapInArrow(shuffled, df.schema)
+    spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_a_block_meets_itself_in_one_order(spark, gathered_anew):
+    names = [f"test_{i % 7}_{i % 11}_{'_'.join('abc'[: i % 4])}_{i}" for i in range(300)]
+    rows = gathered_anew(spark.createDataFrame([(0, n, n.split("_")) for n in names], "grp long, id string, v array<string>").withColumn("v", F.array_distinct("v")))
+    got = sorted((r["a"], r["b"], r["similarity"]) for r in sketch.set_pairs(rows).collect())
+    assert got == sorted((min(a, b), max(a, b), likeness(a.split("_"), b.split("_"))) for k, a in enumerate(names) for b in names[:k])
+
+
+def test_a_vector_is_not_its_own_neighbour_in_any_order(spark, gathered_anew):
+    x = np.random.default_rng(14).normal(size=(700, 3))
+    got = {r["id"]: r["score"] for r in pairs.nearest(gathered_anew(frame(spark, x)), 1, size=1000).collect()}
+    d = distances(x) + np.diag(np.full(len(x), np.inf))
+    assert [got[i] for i in range(len(x))] == pytest.approx(d.min(axis=1))
+
+
 def test_name_similarity_joins_no_pairs_of_names(spark, small):
     plan = catalog.queries()["u06_name_similarity"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "array_intersect" not in plan and "MapInArrow" in plan

@@ -47,7 +47,10 @@ def _paired(b: DataFrame, *more: str) -> DataFrame:
     carried = ("ids", "flat", "n", *more)
     left = b.select("grp", F.col("blk").alias("blk_a"), F.explode(F.sequence("blk", F.col("blks") - 1)).alias("blk_b"), *[F.col(c).alias(f"{c}_a") for c in carried])
     right = b.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), "blk")).alias("blk_a"), F.col("blk").alias("blk_b"), *[F.col(c).alias(f"{c}_b") for c in carried])
-    return left.join(right, ["grp", "blk_a", "blk_b"])
+    met = left.join(right, ["grp", "blk_a", "blk_b"])
+    # a block is gathered once for each side, and executors send its rows in any order: with itself it meets in one order
+    same = F.col("blk_a") == F.col("blk_b")
+    return met.withColumns({f"{c}_b": F.when(same, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")) for c in carried})
 
 
 def cosine_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
